@@ -58,7 +58,7 @@ def _rule_stacks(rules: DataFrame) -> DataFrame:
     return (
         around.join(clean, ["rule_host", "rule_path"])
         .groupBy("rule_host", "inner_path")
-        .agg(F.sort_array(F.collect_list(F.struct(F.length("rule_path").alias("n"), "rule_path", "verdict"))).alias("stack"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.length("rule_path").alias("n"), "rule_path", "verdict", "rule_host"))).alias("stack"))
         .select("rule_host", F.concat(_reversed(F.col("rule_host")), F.lit(MARK), "inner_path").alias("key"), "stack")
     )
 
@@ -100,11 +100,10 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
         swept.select("range_no").distinct().join(ends, "range_no", "left")
         .select("range_no", F.last("started", ignorenulls=True).over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     )
-    active = F.filter(F.coalesce("started", "carried"), lambda s: F.col("path").startswith(s["rule_path"]))
-    own_key = lambda s: F.concat(_reversed(F.col("rule_host")), F.lit(MARK), s["rule_path"])
+    covers = lambda s: (s["rule_host"] == F.col("rule_host")) & F.col("path").startswith(s["rule_path"])
     winners = (
         swept.where("kind = 1").join(F.broadcast(carried), "range_no")
-        .withColumn("top", F.try_element_at(F.filter(active, lambda s: F.col("key").startswith(own_key(s))), F.lit(-1)))
+        .withColumn("top", F.try_element_at(F.filter(F.coalesce("started", "carried"), covers), F.lit(-1)))
         .where("top is not null")
         .select("host", "path", F.concat("rule_host", "top.rule_path").alias("rule"), "top.verdict", F.length("rule_host").alias("n_host"))
         .groupBy("host", "path")
