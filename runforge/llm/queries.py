@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from runforge.llm import decontaminate, line_dedup, url_filter
+from runforge.llm import bpe, decontaminate, line_dedup, quality, simhash, url_filter
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_bpe": bpe.op4_bpe,
+    "op6_quality": quality.op6_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
