@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runforge.llm import bpe, context_tree, decontaminate, html_extract, line_dedup, quality, simhash, url_filter
+from runforge.llm import bpe, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, simhash, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_context_tree": context_tree.op7_context_tree,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_repeats": repeats.op9_repeats,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
