@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from runforge.llm.common import load
 
-#: Encodings of distinct words and pieces that a worker keeps before it starts afresh; bounds memory only.
-CACHE_ENTRIES = 400_000
+#: Pieces, and pairs of tokens, that a worker remembers in each of two generations; bounds memory only.
+CACHE_ENTRIES = 120_000
 END = "</w>"
 
 
@@ -49,9 +49,9 @@ class TrieEncoder:
         self.pieces_between = regex.compile("[^\t-\r \x85\xa0  -     　]+")
         # Printable ASCII stands for itself in the byte-level alphabet.
         self.plain = re.compile(r"[!-~]+\Z")
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.word_ids: dict[str, tuple[int, ...]] = {}
+        self.apart: dict[int, bool] = {}
         self.piece_ids: dict[str, tuple[int, ...]] = {}
+        self.older_ids: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: the lowest rank first, leftmost among equals."""
@@ -63,13 +63,14 @@ class TrieEncoder:
         return symbols
 
     def stays_apart(self, left: str, right: str) -> bool:
-        known = self.apart.get((left, right))
+        pair = self.vocab[left] << 32 | self.vocab[right]
+        known = self.apart.get(pair)
         if known is None:
-            if len(self.apart) > 4 * CACHE_ENTRIES:
+            if len(self.apart) > 2 * CACHE_ENTRIES:
                 self.apart.clear()
             body, end = (right[: -len(END)], END) if right.endswith(END) else (right, "")
             symbols = [*left, *body[:-1], body[-1] + end]
-            known = self.apart[left, right] = self.merged(symbols) == [left, right]
+            known = self.apart[pair] = self.merged(symbols) == [left, right]
         return known
 
     def last_token(self, text: str, end: str, states: list[str]) -> str:
@@ -86,8 +87,9 @@ class TrieEncoder:
                 return token
         raise ValueError(f"no token ends {text!r}")
 
-    def encode_words(self, words: set[str]) -> None:
-        """Adds the ids of words, given in the byte-level alphabet, to word_ids."""
+    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of each of the words, which are given in the byte-level alphabet."""
+        out = {}
         states = [""]  # states[i]: the last token of the first i characters of the current path
         before = ""
         for w in sorted(words):
@@ -106,7 +108,8 @@ class TrieEncoder:
                 token = states[at]
                 ids.append(self.vocab[token])
                 at -= len(token)
-            self.word_ids[w] = tuple(reversed(ids))
+            out[w] = ids[::-1]
+        return out
 
     def words_of(self, piece: str) -> list[str]:
         """The words of a piece without white space, in the byte-level alphabet."""
@@ -121,8 +124,7 @@ class TrieEncoder:
         """The ids of each text; null is empty."""
         cut_up, new = [], set()
         if len(self.piece_ids) > CACHE_ENTRIES:
-            self.piece_ids.clear()
-            self.word_ids.clear()
+            self.older_ids, self.piece_ids = self.piece_ids, {}
         for t in texts:
             parts = self.split_special.split(t) if t and self.split_special else [t or ""]
             found = []
@@ -134,10 +136,12 @@ class TrieEncoder:
                     found += self.pieces(part)
             new.update(found)
             cut_up.append(found)
+        new.difference_update(self.piece_ids)
+        self.piece_ids.update((p, self.older_ids[p]) for p in new if p in self.older_ids)
         new = {p: self.words_of(p) for p in new if p not in self.piece_ids}
-        self.encode_words({w for found in new.values() for w in found if w not in self.word_ids})
+        word_ids = self.encode_words({w for found in new.values() for w in found})
         for p, found in new.items():
-            self.piece_ids[p] = tuple(i for w in found for i in self.word_ids[w])
+            self.piece_ids[p] = tuple(i for w in found for i in word_ids[w])
         get = self.piece_ids.__getitem__
         return [[i for ids in map(get, found) for i in ids] for found in cut_up]
 
