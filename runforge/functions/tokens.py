@@ -9,19 +9,24 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType
 
 #: Longer patterns don't fit a bigint.
 MAX_BITS = 62
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """LCS of two arrays of at most MAX_BITS items in a, bit-parallel (Hyyro 2004), without leaving the JVM.
 
     Bit i of a mask stands for item i of a; each item of b advances the row V by
     V = (V + (V & M)) | (V & ~M), and zeros among the low bits are matches.
     """
-    full = F.shiftleft(F.lit(1).cast("bigint"), F.size(a)) - 1
-    mask = lambda y: F.aggregate(F.transform(a, lambda x, i: F.when(x == y, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    full = _bit(F.size(a)) - 1
+    mask = lambda y: F.aggregate(F.transform(a, lambda x, i: F.when(x == y, _bit(i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
     def step(v: Column, y: Column) -> Column:
         return F.aggregate(F.array(mask(y)), v, lambda v, m: ((v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))).bitwiseAND(full))
@@ -29,7 +34,7 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.size(a) - F.bit_count(F.aggregate(b, full, step))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def lcs_length_long(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same for any length, by Python's big integers."""
     out = []
@@ -60,14 +65,14 @@ def count_tokens(text: Column, encoder: Callable[[list[str]], list[int]] | None
     if encoder is None:
         return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z_]\w*|\d+|[^\sA-Za-z_\d]")), F.lit(0))
 
-    @pandas_udf("int")
+    @pandas_udf(IntegerType())
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(encoder(s.fillna("").tolist()), dtype="int32")
 
     return run(text)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def hash_fraction(ids: pd.Series) -> pd.Series:
     """blake2b of the id, 8 bytes big-endian, over 2 ** 64; null for null."""
     return ids.map(lambda x: None if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / 2**64).astype("float64")
