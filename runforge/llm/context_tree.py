@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from runforge.llm.common import cut, load, row_key, shuffle_partitions
 
 DEPTH = 4
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 #: No byte of UTF-8: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFE, 0xFF
 
@@ -253,7 +253,14 @@ def _written(df: DataFrame) -> DataFrame:
     if folder is None:
         return cut(df)
     path = f"{folder}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    # The texts' shuffle files aren't needed any more once the table is written.
+    clean_up = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean_up)
+    spark.conf.set(clean_up, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean_up, before)
     return spark.read.parquet(path)
 
 
