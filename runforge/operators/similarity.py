@@ -21,6 +21,12 @@ def _elements(files: DataFrame) -> DataFrame:
     return each.select("f", "n", "token", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ"))
 
 
+def _bags(files: DataFrame, elements: DataFrame) -> DataFrame:
+    """(f, tokens, bag): each file with its elements as strings."""
+    bag = elements.groupBy("f").agg(F.collect_list(F.concat_ws("\x00", "token", F.col("occ").cast("string"))).alias("bag"))
+    return files.select("f", "tokens").join(bag, "f")
+
+
 def _rare(elements: DataFrame, common: DataFrame, t: float) -> DataFrame:
     """The prefix of each file by rising frequency; elements that no file has are rarest."""
     ranked = elements.join(common, ["token", "occ"], "left").withColumn("_freq", F.coalesce("freq", F.lit(0)))
@@ -44,14 +50,10 @@ def similar_files(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     pb = _rare(b, common, t).toDF("f_right", "b", "token", "occ")
     near = F.lit(2.0) * F.least("a", "b") >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9
     pairs = pa.join(pb, ["token", "occ"]).where(near).select("f_left", "a", "f_right", "b").distinct()
-    lt, rt = left.toDF("f_left", "left_tokens"), right.toDF("f_right", "right_tokens")
+    lt, rt = _bags(left, a).toDF("f_left", "left_tokens", "left_bag"), _bags(right, b).toDF("f_right", "right_tokens", "right_bag")
     texts = pairs.join(lt, "f_left").join(rt, "f_right")
-    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    bag = F.aggregate(
-        F.array_intersect("left_tokens", "right_tokens"), F.lit(0),
-        lambda s, x: s + F.least(F.size(F.filter("left_tokens", lambda y: y == x)), F.size(F.filter("right_tokens", lambda y: y == x))),
-    )
-    left_over = texts.where(shared > 0).where(F.lit(2.0) * bag >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9)
+    overlap = F.size(F.array_intersect("left_bag", "right_bag"))
+    left_over = texts.where(F.lit(2.0) * overlap >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9).drop("left_bag", "right_bag")
     shorter, longer = (F.when((F.col("a") <= F.col("b")) == first, F.col("left_tokens")).otherwise(F.col("right_tokens")) for first in (True, False))
     fits = F.least("a", "b") <= MAX_BITS
     native = left_over.where(fits).withColumn("lcs", lcs_length(shorter, longer))
