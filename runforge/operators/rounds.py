@@ -20,7 +20,7 @@ def post_round_best(entries: Column, r: Column) -> Column:
     rounds = F.filter(entries, lambda e: e["round_index"].isNotNull())
     following = F.try_element_at(F.filter(rounds, lambda e: e["round_index"] == r + 1), F.lit(-1))["best_cov_result"]
     final = F.try_element_at(F.filter(entries, lambda e: e["round_index"].isNull() & e["final_best_cov_result"].isNotNull()), F.lit(-1))["final_best_cov_result"]
-    latest = F.array_max(F.transform(rounds, lambda e: F.struct(e["round_index"].alias("i"), e["best_cov_result"].alias("best"))).cast("array<struct<i: int, best: struct<is_pass_xrun: boolean, has_coverage: boolean, is_pass_targets: boolean, overall_coverage: double>>>"))["best"]
+    latest = F.array_max(F.transform(rounds, lambda e: F.struct(e["round_index"].alias("i"), _slim(e["best_cov_result"]).alias("best"))))["best"]
     slim = "struct<is_pass_xrun: boolean, has_coverage: boolean, is_pass_targets: boolean, overall_coverage: double>"
     return F.coalesce(_slim(following).cast(slim), _slim(final).cast(slim), latest)
 
