@@ -15,7 +15,6 @@ that it has. Nothing that grows with the corpus is broadcast or collected.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -205,9 +204,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
             "n": pa.array(np.concatenate([np.array([taught[w] for w in words], np.int64), counts.astype(np.int64)])),
         })
 
-    has = _written(blocks.groupBy("block").applyInArrow(contents, "block int, word binary, gram bigint, n bigint"))
-    words = has.where("word is not null").groupBy("word").agg(F.sum("n").cast("double").alias("value"))
-    counted = cut(words)
+    has = cut(blocks.groupBy("block").applyInArrow(contents, "block int, word binary, gram bigint, n bigint"))
+    counted = cut(has.where("word is not null").groupBy("word").agg(F.sum("n").cast("double").alias("value")))
     n_train, n_distinct = counted.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.count(F.when(F.col("value") > 0, 1))).first()
     probs = gram_probabilities(has.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), depth)
     for_words = has.where("word is not null").select("block", "word").join(counted, "word").select("block", "word", F.lit(None).cast("bigint").alias("gram"), "value")
@@ -246,24 +244,6 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
     )
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage like cut(), as a Parquet table in the shared folder, which packs long columns better."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return cut(df)
-    path = f"{folder}/{uuid.uuid4()}"
-    # The texts' shuffle files aren't needed any more once the table is written.
-    clean_up = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean_up)
-    spark.conf.set(clean_up, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean_up, before)
-    return spark.read.parquet(path)
-
-
 def op7_context_tree(spark, sf_dir: str) -> DataFrame:
     scored = score_texts(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
