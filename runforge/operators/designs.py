@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runforge.functions.text import strip_verilog
 from runforge.functions.tokens import count_tokens, hash_fraction, md5_fraction
+from runforge.lineage import cut
 from runforge.schemas import FILE
 
 #: Words that may stand where a module's name stands in an instance (fixed values).
@@ -129,7 +130,7 @@ def normalize_verified(raw: DataFrame, dataset: str, *order: str) -> DataFrame:
     if not order:
         raise ValueError("an order is needed: ids are row positions")
     ranged = raw.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_range": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    numbered = cut(ranged.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_range": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}))
     counts = numbered.groupBy("_range").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_range")) - F.col("_c"))
     placed = numbered.join(F.broadcast(counts.drop("_c")), "_range")
     spec = F.when(F.col("verified"), F.array(_file("spec.md", F.col("question")))).otherwise(F.array().cast(f"array<{FILE}>"))

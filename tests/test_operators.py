@@ -173,7 +173,7 @@ def test_extract(spark, raw, code, name):
 
 
 def test_whitespace_tokens_are_unicode(spark):
-    s = "a\x1cb\x85c\xa0d  e"
+    s = "a\x1cb\x85c\xa0d e　f g"
     assert spark.createDataFrame([(s,)], "t string").select(text.whitespace_tokens(F.col("t"))).first()[0] == s.split()
 
 
