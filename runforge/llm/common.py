@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runforge.lineage import cut  # noqa: F401  the operators take it from here
+
 #: The white space of the contracts: space, \t, \n, \v, \f, \r.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,31 +19,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as a Parquet table to the shared folder and goes on from there.
-
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary one is taken. Shuffle files that only the write needed go with
-    it. What is written stays until the folder is cleared.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
-    path = f"{folder}/{uuid.uuid4()}"
-    clean_up = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean_up)
-    spark.conf.set(clean_up, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean_up, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@functools.cache
-def _temporary() -> str:
-    return tempfile.mkdtemp(prefix="spark-runforge-")
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else, as lower() would also change other letters."""
     return F.translate(c, UPPER, LOWER)

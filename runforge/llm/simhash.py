@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.llm.common import cut, load, row_key
@@ -79,8 +79,8 @@ def fingerprints(docs: DataFrame, n_words: int = 3, lanes: int = 1) -> DataFrame
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in range(0, b.num_rows, 1000):
-                c = b.slice(part, 1000)
+            for part in range(0, b.num_rows, 300):
+                c = b.slice(part, 300)
                 prints, seqs, counts = [], [], []
                 for t in c.column(2).to_pylist():
                     found = (t or "").encode().lower().split()
@@ -152,7 +152,7 @@ def _wide_keys() -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, row_key, component_id) for every row of docs: near copies by Jaccard similarity of shingles.
+    """(doc_id, row_key, label, component_id) for every row of docs: near copies by Jaccard similarity of shingles.
 
     At such a similarity 64-bit fingerprints differ in about ten bits and need not share a
     byte, so the byte index is built over wider ones: LANES times 64 bits, posting lists of
@@ -160,23 +160,21 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     first and the previous one; where a longer list holds several components after that,
     all its pairs across components are. Pairs pass if their bits differ in no more than four
     standard deviations above the expected count, and are verified on the sets of shingles. Documents with the same words are one
-    before the search; those without words are copies of each other. Null doc_id: as in
-    simhash_components().
+    before the search; those without words are copies of each other. label tells components
+    apart, component_id is the smallest doc_id in one. Null doc_id: as in simhash_components().
     """
     rows = cut(fingerprints(docs, n_words, LANES))
     texts = cut(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.any_value("prints").alias("prints"), F.max("n_words").alias("n_words")).withColumn("node", F.xxhash64("s1", "s2")))
     where = _wide_keys()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            flat = np.array(b.column(1).flatten(), np.int64).astype(">i8").view(np.uint8).reshape(b.num_rows, 8 * LANES)
-            three = flat[:, where].astype(np.int64)
-            key = (np.arange(len(where)) << 24) + (three[:, :, 0] << 16) + (three[:, :, 1] << 8) + three[:, :, 2]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0)), len(where))), pa.array(key.ravel())], names=["node", "key"])
-
-    from pyspark.sql import Window
+        for whole in batches:
+            for part in range(0, whole.num_rows, 500):
+                b = whole.slice(part, 500)
+                flat = np.array(b.column(1).flatten(), np.int64).astype(">i8").view(np.uint8).reshape(b.num_rows, 8 * LANES)
+                three = flat[:, where].astype(np.int64)
+                key = (np.arange(len(where)) << 24) + (three[:, :, 0] << 16) + (three[:, :, 1] << 8) + three[:, :, 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0)), len(where))), pa.array(key.ravel())], names=["node", "key"])
 
     posted = texts.where("n_words > 0").select("node", "prints").mapInArrow(keys, "node bigint, key bigint")
     in_list = Window.partitionBy("key").orderBy("node")
@@ -185,7 +183,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     links = _verified(docs, texts, tested, n_words, similarity)
     labels = connected_components(links)
     # Longer lists in which components meet: every pair across them.
-    member = listed.join(labels.toDF("node", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    member = listed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 3 and lo <> hi").select("key")
     member = member.join(mixed, "key")
     rest = member.toDF("key", "a", "la").join(member.toDF("key", "b", "lb"), "key").where("a < b and la <> lb").select("a", "b").distinct()
@@ -193,7 +191,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     labels = connected_components(links.union(more))
     found = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = found.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return rows.join(found.join(ids, "label").select("s1", "s2", "component_id"), ["s1", "s2"]).select("doc_id", "row_key", "component_id")
+    return rows.join(found.join(ids, "label").select("s1", "s2", "label", "component_id"), ["s1", "s2"]).select("doc_id", "row_key", "label", "component_id")
 
 
 def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n_words: int, similarity: float) -> DataFrame:
@@ -207,7 +205,7 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n_words: int,
     close = cut(both.where(distance <= most).select("a", "b"))
     wanted = close.select("a").union(close.select("b")).distinct().toDF("node")
     of = texts.join(wanted, "node").select("node", F.col("row.doc_id").alias("t_id"), F.col("row.row_key").alias("t_key"))
-    src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").dropDuplicates(["doc_id", "row_key"])
+    src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +214,7 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n_words: int,
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([np.unique(shingle_hashes(t, n_words)).view(np.int64) for t in c.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "s"])
 
     found = of.join(src, of["t_id"].eqNullSafe(src["doc_id"]) & (of["t_key"] == src["row_key"])).select("node", "text").mapInArrow(sets, "node bigint, s array<bigint>")
-    s = cut(found)
+    s = cut(found).dropDuplicates(["node"])  # repeated rows have one node
     both = close.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     n = F.size(F.array_intersect("sa", "sb"))
     return cut(both.where(n >= F.lit(similarity) * (F.size("sa") + F.size("sb") - n) - 1e-9).select("a", "b"))
@@ -229,7 +227,7 @@ def keep_one_of_each(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     any doc_id keeps one row.
     """
     found = near_duplicates(docs, n_words, similarity)
-    best = found.withColumn("group_key", F.coalesce(F.xxhash64("component_id"), "row_key")).groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("keep"))
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("keep"))
     keep = best.select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_key").alias("keep_key")).distinct()
     marked = docs.withColumn("keep_row", row_key("doc_id", "text")).dropDuplicates(["doc_id", "keep_row"])
     return marked.join(keep, marked["doc_id"].eqNullSafe(keep["keep_id"]) & (marked["keep_row"] == keep["keep_key"]), "left_semi").drop("keep_row")
