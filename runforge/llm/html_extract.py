@@ -26,6 +26,8 @@ from runforge.llm.url_filter import url_host
 
 #: A valid class occurs in this share of a host's pages at least.
 MIN_SUPPORT = 0.5
+#: Parts into which the pages of a host are dealt for extraction, as one host may have most of them.
+HOST_PARTS = 32
 #: Elements on a path at most.
 MAX_DEPTH = 64
 
@@ -226,8 +228,10 @@ def extract_text(pages: DataFrame, min_support: float = MIN_SUPPORT) -> DataFram
     open elements end with what surrounds them. Columns text, host and slot are replaced.
     """
     src = pages.drop("text", "host", "slot").withColumn("host", url_host(F.col("url")))
-    slots = host_templates(src, min_support).select(F.col("host").alias("t_host"), "slot")
-    joined = src.join(slots, src["host"] == slots["t_host"], "left").drop("t_host", "host")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))).alias("t_part")
+    slots = host_templates(src, min_support).select(F.col("host").alias("t_host"), parts, "slot")
+    part = F.pmod(F.xxhash64("page_id", "html"), F.lit(HOST_PARTS))
+    joined = src.join(slots, (src["host"] == slots["t_host"]) & (part == slots["t_part"]), "left").drop("t_host", "t_part", "host")
     at, slot = joined.columns.index("html"), joined.columns.index("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
