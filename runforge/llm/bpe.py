@@ -10,6 +10,7 @@ once.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -19,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runforge.llm.common import load
+from runforge.llm.common import cut, load
 
 #: Pieces, and pairs of tokens, that a worker remembers in each of two generations; bounds memory only.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 250_000
 END = "</w>"
 
 
@@ -41,15 +42,17 @@ class TrieEncoder:
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.tails = {t[k:] for t in self.vocab for k in range(len(t))}
+        # The ends of tokens, with the token's id where the end is a token itself.
+        self.tails = dict.fromkeys((t[k:] for t in self.vocab for k in range(1, len(t))), -1) | self.vocab
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         # str.split() also splits at these four, which are no white space to the tokenizer.
         self.controls = re.compile("[\x1c-\x1f]")
-        self.pieces_between = regex.compile("[^\t-\r \x85\xa0  -     　]+")
+        self.pieces_between = regex.compile(r"[^\t-\r \x85\xa0  -     　]+")
         # Printable ASCII stands for itself in the byte-level alphabet.
         self.plain = re.compile(r"[!-~]+\Z")
-        self.apart: dict[int, bool] = {}
+        self.apart: set[int] = set()
+        self.merging: set[int] = set()
         self.piece_ids: dict[str, tuple[int, ...]] = {}
         self.older_ids: dict[str, tuple[int, ...]] = {}
 
@@ -62,53 +65,59 @@ class TrieEncoder:
             symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
         return symbols
 
-    def stays_apart(self, left: str, right: str) -> bool:
-        pair = self.vocab[left] << 32 | self.vocab[right]
-        known = self.apart.get(pair)
-        if known is None:
-            if len(self.apart) > 2 * CACHE_ENTRIES:
-                self.apart.clear()
-            body, end = (right[: -len(END)], END) if right.endswith(END) else (right, "")
-            symbols = [*left, *body[:-1], body[-1] + end]
-            known = self.apart[pair] = self.merged(symbols) == [left, right]
-        return known
-
-    def last_token(self, text: str, end: str, states: list[str]) -> str:
-        """The last token of text + end; states has the last tokens of its proper prefixes."""
-        ends = []
-        for k in range(len(text) - 1, -1, -1):
-            tail = text[k:] + end
-            if tail not in self.tails:
+    def stays_apart(self, pair: int) -> bool:
+        """Whether two tokens, the ids in the halves of a number, are still two after a merge of all their symbols."""
+        left, right = self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]
+        body, end = (right[: -len(END)], END) if right.endswith(END) else (right, "")
+        stays = self.merged([*left, *body[:-1], body[-1] + end]) == [left, right]
+        known = self.apart if stays else self.merging
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        known.add(pair)
+        return stays
+
+    def last_token(self, w: str, n: int, end: str, ids: list[int]) -> tuple[int, int]:
+        """Id and start of the last token of the first n characters of w and end; ids has the last tokens of shorter prefixes."""
+        tail_id, ends = self.tails.get, []
+        for k in range(n - 1, -1, -1):
+            t = tail_id(w[k:n] + end)
+            if t is None:
                 break
-            if tail in self.vocab:
-                ends.append((k, tail))
-        for k, token in reversed(ends):
-            if k == 0 or self.stays_apart(states[k], token):
-                return token
-        raise ValueError(f"no token ends {text!r}")
+            if t >= 0:
+                ends.append((k, t))
+        for k, t in reversed(ends):
+            if k == 0:
+                return t, k
+            pair = ids[k] << 32 | t
+            if pair in self.apart or (pair not in self.merging and self.stays_apart(pair)):
+                return t, k
+        raise ValueError(f"no token ends {w[:n]!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """The ids of each of the words, which are given in the byte-level alphabet."""
         out = {}
-        states = [""]  # states[i]: the last token of the first i characters of the current path
+        # Id and start of the last token of the first i characters of the current path.
+        ids, starts = [0], [0]
         before = ""
         for w in sorted(words):
-            shared = 0
+            shared, n = 0, len(w)
             for a, b in zip(before, w, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del states[min(shared, len(w) - 1) + 1 :]
-            for i in range(len(states), len(w)):
-                states.append(self.last_token(w[:i], "", states))
-            before = w[: len(states) - 1]
-            token = self.last_token(w, END, states)
-            ids, at = [self.vocab[token]], len(w) - len(token) + len(END)
+            keep = min(shared, n - 1) + 1
+            del ids[keep:], starts[keep:]
+            for i in range(len(ids), n):
+                t, k = self.last_token(w, i, "", ids)
+                ids.append(t)
+                starts.append(k)
+            before = w[: n - 1]
+            t, at = self.last_token(w, n, END, ids)
+            found = [t]
             while at:
-                token = states[at]
-                ids.append(self.vocab[token])
-                at -= len(token)
-            out[w] = ids[::-1]
+                found.append(ids[at])
+                at = starts[at]
+            out[w] = found[::-1]
         return out
 
     def words_of(self, piece: str) -> list[str]:
@@ -117,6 +126,10 @@ class TrieEncoder:
             return self.words.findall(piece.lower())
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
 
+    def forget(self) -> None:
+        """Frees what was remembered of texts: a worker lives on, also for other work."""
+        self.piece_ids, self.older_ids = {}, {}
+
     def pieces(self, text: str) -> list[str]:
         return self.pieces_between.findall(text) if self.controls.search(text) else text.split()
 
@@ -156,6 +169,15 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
+@functools.cache
+def token_names(path: str) -> list[str]:
+    """The tokens of a tokenizer file by id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [names.get(i, "") for i in range(max(names) + 1)]
+
+
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Adds ids array<int> to every row of docs: the whole text encoded without special tokens around it.
 
@@ -168,10 +190,11 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for b in batches:
-            for part in range(0, b.num_rows, 1000):
-                c = b.slice(part, 1000)
+            for part in range(0, b.num_rows, 2000):
+                c = b.slice(part, 2000)
                 ids = pa.array(model.encode(c.column(at).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*c.columns, ids], names=[*c.schema.names, "ids"])
+        model.forget()
 
     return out.mapInArrow(run, _with(out, "ids", "array<int>"))
 
@@ -186,8 +209,7 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = out.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = encoder(path).names
-        tokens = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
+        tokens = pa.array(token_names(path), pa.large_string())
         for b in batches:
             for part in range(0, b.num_rows, 1000):
                 c = b.slice(part, 1000)
@@ -219,7 +241,8 @@ def tokenizer_path() -> str:
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    ids = bpe_encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    # Cut, as one stage with both would hold two Python workers for each task.
+    ids = cut(bpe_encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"))
     return bpe_decode(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
