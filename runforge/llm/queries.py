@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from runforge.llm import bpe, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, simhash, url_filter
+from runforge.llm import bpe, chroma, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, simhash, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_simhash": simhash.op2_simhash,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_bpe": bpe.op4_bpe,
+    "op5_chroma": chroma.op5_chroma,
     "op6_quality": quality.op6_quality,
     "op7_context_tree": context_tree.op7_context_tree,
     "op8_decontaminate": decontaminate.op8_decontaminate,
