@@ -140,70 +140,85 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, spans array<struct<first, end>>): bytes of each document that some repeated string covers; spans may overlap.
 
-    docs has doc_id (an integer), text_hash and text, one row for each of them and no null text. A string of
-    length bytes is repeated if it also starts earlier: in a smaller (doc_id, text_hash), or
-    before in the same document. Anchors are compared by two 64-bit hashes, what decides
-    in the construction by bytes.
+    docs has doc_id (an integer), text_hash (64 bits) and text, which may not be null. Rows of
+    one (doc_id, text_hash) are one document: wherever places meet, the same place of the same
+    document counts once, which spares a shuffle of whole texts. A string of length bytes is
+    repeated if it also starts earlier: in a smaller (doc_id, text_hash), or before in the same
+    document. Anchors are compared by two 64-bit hashes, what decides in the construction by bytes.
     """
     side = length - gram
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, marks = b.column(0), b.column(1).to_numpy()
+            ranks, nulls = ids.fill_null(-(2**63)).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
             sizes = np.array([len(x.as_buffer()) for x in b.column(2)])
             for lo, hi in _chunks(sizes):
                 joined = b"".join(x.as_py().encode() for x in b.column(2).slice(lo, hi - lo))
                 doc, place, value, around = window_anchors(sizes[lo:hi], np.frombuffer(joined, np.uint8), length, gram)
-                at = (marks[lo + doc] << 32) | place
+                row = lo + doc
                 # Of occurrences alike all around only the first goes on; the others are known
                 # to repeat and are given anchors of their own, so that none gathers in one task.
-                order = np.lexsort((at, ids.take(pa.array(lo + doc)).fill_null(-(2**63)).to_numpy(), around, value))
-                v, r = value[order], around[order]
-                again = np.zeros(len(doc), bool)
-                again[order[1:]] = (v[1:] == v[:-1]) & (r[1:] == r[:-1])
-                value = np.where(again, _mix(value ^ _mix(at.view(np.uint64) + np.arange(len(at), dtype=np.uint64) * np.uint64(_BASE))), value)
+                # Places met again in a row alike are left out.
+                order = np.lexsort((place, marks[row], ranks[row], ~nulls[row], around, value))
+                keys = [x[order] for x in (value, around, nulls[row], ranks[row], marks[row], place)]
+                same = [x[1:] == x[:-1] for x in keys]
+                again, alike = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+                again[order[1:]] = same[0] & same[1]
+                alike[order[1:]] = np.logical_and.reduce(same)
+                own = _mix(marks[row].view(np.uint64) + place.astype(np.uint64) * np.uint64(_INVERSE) + np.arange(len(doc), dtype=np.uint64) * np.uint64(_BASE))
+                value = np.where(again, _mix(value ^ own), value)
+                row, place, value, around, again = (x[~alike] for x in (row, place, value, around, again))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(around.view(np.int64)), ids.take(pa.array(lo + doc)), pa.array(at), pa.array(again)], names=["anchor", "around", "doc_id", "at", "again"]
+                    [pa.array(value.view(np.int64)), pa.array(around.view(np.int64)), ids.take(pa.array(row)), pa.array(marks[row]), pa.array(place), pa.array(again)],
+                    names=["anchor", "around", "doc_id", "text_hash", "place", "again"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    all_anchors = docs.select("doc_id", "text_hash", "text").mapInArrow(anchors, f"anchor bigint, around bigint, doc_id {kind}, at bigint, again boolean")
+    all_anchors = docs.select("doc_id", "text_hash", "text").mapInArrow(anchors, f"anchor bigint, around bigint, doc_id {kind}, text_hash bigint, place bigint, again boolean")
     of_anchor = Window.partitionBy("anchor")
-    in_order = of_anchor.orderBy("around", "doc_id", "at")
+    in_order = of_anchor.orderBy("around", "doc_id", "text_hash", "place")
+    me = F.struct("around", "doc_id", "text_hash", "place")
     marked = cut(
-        all_anchors.withColumn("first", F.coalesce(F.lag("around").over(in_order) != F.col("around"), F.lit(True)))
+        all_anchors.withColumns({"first": F.coalesce(F.lag("around").over(in_order) != F.col("around"), F.lit(True)), "alike": F.lag(me).over(in_order).eqNullSafe(me)})
         .withColumn("kinds", F.sum(F.col("first").cast("int")).over(of_anchor))
-        .where("again or not first or kinds > 1")
-        .select("anchor", "doc_id", "at", (F.col("again") | ~F.col("first")).alias("whole"), (F.col("kinds") > hot).alias("hot"))
+        .where("not alike and (again or not first or kinds > 1)")
+        .select("anchor", "doc_id", "text_hash", "place", (F.col("again") | ~F.col("first")).alias("whole"), (F.col("kinds") > hot).alias("hot"))
     )
-    text_hash, place = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    marked = marked.withColumns({"text_hash": text_hash, "place": place})
     whole = marked.where("whole").select("doc_id", "text_hash", (F.col("place") - side).alias("first"), (F.col("place") + length).alias("end"))
 
-    asked = marked.where("not whole").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "place", "at", "hot")).alias("asked"))
+    asked = marked.where("not whole").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("asked"))
     a = asked.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "asked")
     text_of = docs.select("doc_id", "text_hash", "text")
-    around_of = text_of.join(a, text_of["doc_id"].eqNullSafe(a["a_id"]) & (text_of["text_hash"] == a["a_hash"])).select("doc_id", "text", "asked")
+    around_of = text_of.join(a, text_of["doc_id"].eqNullSafe(a["a_id"]) & (text_of["text_hash"] == a["a_hash"])).select("doc_id", "text_hash", "text", "asked")
 
     def texts_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             for part in range(0, b.num_rows, 200):
                 rows = []
                 for r in b.slice(part, 200).to_pylist():
+                    # Most rows alike follow each other here; construct() passes over the others.
+                    if last == (last := (r["doc_id"], r["text_hash"])):
+                        continue
                     raw = r["text"].encode()
                     for x in r["asked"]:
                         p = x["place"]
                         left, right = raw[max(0, p - side) : p], raw[p : p + length]
-                        rows.append((x["anchor"], r["doc_id"], x["at"], x["hot"], left.rjust(side, b"\xff") + right.ljust(length, b"\xff")))
-                cols = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int64(), b.schema.field("doc_id").type, pa.int64(), pa.bool_(), pa.binary()], strict=True)], names=["anchor", "doc_id", "at", "hot", "around"])
+                        rows.append((x["anchor"], r["doc_id"], r["text_hash"], p, x["hot"], left.rjust(side, b"\xff") + right.ljust(length, b"\xff")))
+                cols = zip(*rows, strict=True) if rows else [[]] * 6
+                kinds = [pa.int64(), b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "doc_id", "text_hash", "place", "hot", "around"])
 
-    around_of = around_of.mapInArrow(texts_around, f"anchor bigint, doc_id {kind}, at bigint, hot boolean, around binary")
+    around_of = around_of.mapInArrow(texts_around, f"anchor bigint, doc_id {kind}, text_hash bigint, place bigint, hot boolean, around binary")
 
     def construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_anchors(batches):
-            order = np.lexsort((t["at"].to_numpy(), t["doc_id"].combine_chunks().fill_null(-(2**63)).to_numpy()))
-            t = t.take(pa.array(order))
+            ids = t["doc_id"].combine_chunks()
+            keys = (t["anchor"].to_numpy(), t["place"].to_numpy(), t["text_hash"].to_numpy(), ids.fill_null(-(2**63)).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False))
+            order = np.lexsort(keys)
+            new = np.append(True, np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys]))
+            t = t.take(pa.array(order[new]))
             texts = np.frombuffer(b"".join(t["around"].to_pylist()), np.uint8).reshape(t.num_rows, side + length)
             found = column_wise_repeats(texts, length, side + 1)
             # Strings that reach outside of their document are none.
@@ -212,15 +227,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             to_right = side + length - np.argmax(inside[:, ::-1], axis=1)
             j = np.arange(side + 1)
             row, first, last = _runs(found & (j >= from_left[:, None]) & (j + length <= to_right[:, None]))
-            place = t["at"].to_numpy()[row] & 0xFFFFFFFF
+            place = t["place"].to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks().take(pa.array(row)), pa.array((t["at"].to_numpy()[row] >> 32).astype(np.int32)), pa.array(place - side + first), pa.array(place - side + last + length)],
+                [t["doc_id"].combine_chunks().take(pa.array(row)), pa.array(t["text_hash"].to_numpy()[row]), pa.array(place - side + first), pa.array(place - side + last + length)],
                 names=["doc_id", "text_hash", "first", "end"],
             )
 
-    spans = f"doc_id {kind}, text_hash int, first bigint, end bigint"
+    spans = f"doc_id {kind}, text_hash bigint, first bigint, end bigint"
     n = shuffle_partitions(docs.sparkSession)
-    edges = around_of.where("not hot").select("anchor", "doc_id", "at", "around").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(construct, spans)
+    edges = around_of.where("not hot").select("anchor", "doc_id", "text_hash", "place", "around").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(construct, spans)
     every = whole.unionByName(edges)
     if marked.where("hot").head(1):
         every = every.unionByName(_hot_spans(around_of.where("hot"), length, side))
@@ -231,15 +246,15 @@ def _hot_spans(around_of: DataFrame, length: int, side: int) -> DataFrame:
     """Spans of anchors with very many surroundings: their windows are compared one by one, grouped by content."""
     window = F.substring(F.col("around"), F.col("j") + 1, F.lit(length))
     each = (
-        around_of.select("anchor", "doc_id", "at", "around", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("j"))
+        around_of.select("anchor", "doc_id", "text_hash", "place", "around", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("j"))
         .withColumn("w", window)
         .where(~F.hex("w").rlike("^(..)*FF"))  # strings that reach outside of their document
-        .select("anchor", "j", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"), F.struct("doc_id", "at").alias("me"))
+        .select("anchor", "j", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"), F.struct("doc_id", "text_hash", "place").alias("me"))
     )
     firsts = each.groupBy("anchor", "j", "w1", "w2").agg(F.min("me").alias("least"))
     again = each.join(firsts, ["anchor", "j", "w1", "w2"]).where(~F.col("me").eqNullSafe(F.col("least")))
-    place = F.col("me.at").bitwiseAND(F.lit(0xFFFFFFFF)) - side + F.col("j")
-    return again.select("me.doc_id", F.shiftright("me.at", 32).cast("int").alias("text_hash"), place.alias("first"), (place + length).alias("end"))
+    place = F.col("me.place") - side + F.col("j")
+    return again.select("me.doc_id", "me.text_hash", place.alias("first"), (place + length).alias("end"))
 
 
 def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -280,13 +295,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     Texts are UTF-8 bytes, null is empty. Removed is each byte that a string of length bytes
     covers which also starts earlier: in a document with a smaller doc_id, or before in the
     same one. removed has the maximal runs in order, kept all other bytes. Rows alike in
-    doc_id and text are one document; rows of one doc_id with different texts are ordered by
-    a hash of the text, a null doc_id comes first. Texts under length bytes stay whole.
+    doc_id and text are one document, and each of them has what it keeps; rows of one doc_id
+    with different texts are told apart and ordered by a 64-bit hash of the text, a null
+    doc_id comes first. Texts under length bytes stay whole.
     doc_id is an integer; other columns are ignored.
     """
     if not 0 < gram <= length <= 250:
         raise ValueError("gram and length must satisfy 0 < gram <= length <= 250")
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(src, length, gram, hot)
     s = spans.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans")
     joined = src.join(s, src["doc_id"].eqNullSafe(s["s_id"]) & (src["text_hash"] == s["s_hash"]), "left").select("doc_id", "text", "spans")

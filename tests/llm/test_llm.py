@@ -276,6 +276,30 @@ def test_remove_repeats(spark):
     assert repeats.remove_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_alike_are_one_document(spark):
+    """Repeated rows of 100 bytes and more, null ids and one id with two texts, against brute force."""
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, twice = own(150), own(120)
+    texts = [(1, own(300)), (2, own(100) + shared + own(50)), (2, own(90) + shared), (3, twice + own(40) + twice), (None, own(200)), (None, own(80) + shared), (4, shared), (5, own(99))]
+    rows = [r for r in texts for _ in range(3)] + texts[:2] * 40
+    mark = {t: xxhash.xxh64_intdigest(t.encode(), 42) for _, t in texts}
+    in_order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, mark[r[1]] - (mark[r[1]] >> 63 << 64)))
+    seen, want = set(), {}
+    for i, t in in_order:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(t[k : k + 100])
+        want[i, t] = hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()
+    expected = collections.Counter((i, want[i, t]) for i, t in rows)
+    # Few partitions put rows alike into one chunk, many into several.
+    for parts, hot in ((1, repeats.HOT), (7, repeats.HOT), (7, 1)):
+        got = repeats.remove_repeats(docs_of(spark, rows).repartition(parts), hot=hot).select("doc_id", F.sha2("kept", 256).alias("h")).collect()
+        assert keys(got, "doc_id", "h") == expected
+
+
 # 10
 
 
