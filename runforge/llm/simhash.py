@@ -30,7 +30,7 @@ LONG_LIST = 256
 #: 64-bit lanes of the wide fingerprint that near_duplicates() searches by.
 LANES = 8
 #: The steps between the three bytes of a key of the wide index (fixed values).
-STEPS = ((1, 3), (5, 14), (9, 32))
+STEPS = ((1, 3), (5, 14), (9, 32), (2, 21), (7, 27), (11, 40))
 
 
 def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
@@ -70,11 +70,11 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, n_words: int = 3, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, n_words: int = 3, lanes: int = 1, repeats: bool = True) -> DataFrame:
     """(doc_id, row_key, s1, s2, n_words, prints) for every row of docs (doc_id, text).
 
     A-Z is lower-cased, words lie between white space, shingles count as often as they
-    occur; a text of fewer words is one shingle, null is empty, no words give zero. prints
+    occur, or once each without repeats; a text of fewer words is one shingle, null is empty, no words give zero. prints
     has one signed number for each lane, s1 and s2 hash the sequence of words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,8 @@ def fingerprints(docs: DataFrame, n_words: int = 3, lanes: int = 1) -> DataFrame
                     found = (t or "").encode().lower().split()
                     seqs.append(xxhash.xxh128_intdigest(b" ".join(found)))
                     counts.append(len(found))
-                    prints.append(fingerprint(shingle_hashes(t, n_words), lanes))
+                    h = shingle_hashes(t, n_words)
+                    prints.append(fingerprint(h if repeats else np.unique(h), lanes))
                 s1 = np.array([s & 2**64 - 1 for s in seqs], np.uint64).view(np.int64)
                 s2 = np.array([s >> 64 for s in seqs], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(s1), pa.array(s2), pa.array(counts, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=names)
@@ -155,7 +156,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     """(doc_id, row_key, label, component_id) for every row of docs: near copies by Jaccard similarity of shingles.
 
     At such a similarity 64-bit fingerprints differ in about ten bits and need not share a
-    byte, so the byte index is built over wider ones: LANES times 64 bits, posting lists of
+    byte, so the byte index is built over wider ones, of the distinct shingles as similarity is
+    one of sets: LANES times 64 bits, posting lists of
     three positional bytes, 64 lists for each of STEPS. Members of a list are tallied with the
     first and the previous one; where a longer list holds several components after that,
     all its pairs across components are. Pairs pass if their bits differ in no more than four
@@ -163,7 +165,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     before the search; those without words are copies of each other. label tells components
     apart, component_id is the smallest doc_id in one. Null doc_id: as in simhash_components().
     """
-    rows = cut(fingerprints(docs, n_words, LANES))
+    rows = cut(fingerprints(docs, n_words, LANES, repeats=False))
     texts = cut(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.any_value("prints").alias("prints"), F.max("n_words").alias("n_words")).withColumn("node", F.xxhash64("s1", "s2")))
     where = _wide_keys()
 

@@ -117,6 +117,17 @@ def test_near_duplicates(spark):
     assert "row_key" in kept.columns
 
 
+def test_near_duplicates_with_other_repeats(spark):
+    """Passages that one copy has six times leave the set of shingles, and so the similarity, almost as it is."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(12):
+        w = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(w[:100] + w[60:100] * 5 + w[100:]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 # 3
 
 
