@@ -3,7 +3,8 @@
 Lines become (hash, document, position); these are range-partitioned by hash and document,
 so that the occurrences of a frequent line spread over as many ranges as they need, and
 sorted by position within. The first occurrence in each document is streamed off and
-counted; texts never leave their rows. The result is a compressed keep bitmap for each
+counted; texts never leave their rows. Occurrences of hot lines are found by broadcasting
+those lines, of which there can only be so many, all others by a join. The result is a compressed keep bitmap for each
 document: the runs of lines that stay.
 """
 
@@ -16,6 +17,8 @@ from runforge.llm.common import ascii_lower, cut, load, row_key, shuffle_partiti
 
 MIN_CODE_POINTS = 1
 MIN_DOCS = 10
+#: Lines with at least this share of all occurrences count as hot; there are at most HOT_KEYS of them.
+HOT_KEYS = 10_000
 
 
 def text_lines(text: str = "text") -> Column:
@@ -35,10 +38,10 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points
     least min_docs documents lose all their lines, or all but the very first occurrence (by
     doc_id and position) with keep_first. keep_runs is array<struct<first, n>>: the runs of
     lines that stay, counted from 0; null runs never occur, all lines gone is an empty array.
-    row_key is row_key("doc_id", "text"): rows of one doc_id with different texts are
-    documents of their own, rows alike in both are one. Empty lines have no key if
-    min_code_points >= 1. Other columns of docs are ignored. Keys are compared by two
-    64-bit hashes.
+    row_key is row_key("doc_id", "text"): rows of one doc_id with different texts get bitmaps
+    of their own but count as one document, as do rows alike in both; texts without an id
+    count each. Empty lines have no key if min_code_points >= 1. Other columns of docs are
+    ignored, an empty table gives no rows. Keys are compared by two 64-bit hashes.
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), text_lines().alias("lines"))
@@ -51,15 +54,16 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points
     # Cut, as range bounds are found by a pass of their own.
     occ = cut(occ)
     ranged = occ.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc_id", "row_key")
-    in_doc = Window.partitionBy("h1", "h2", "doc_id", "row_key").orderBy("pos")
-    firsts = ranged.withColumn("k", F.row_number().over(in_doc)).where("k = 1")
-    frequent = (
+    in_doc = Window.partitionBy("h1", "h2", "doc_id", "no_id").orderBy("row_key", "pos")
+    firsts = ranged.withColumn("no_id", F.when(F.col("doc_id").isNull(), F.col("row_key"))).withColumn("k", F.row_number().over(in_doc)).where("k = 1")
+    frequent = cut(
         firsts.groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "row_key", "pos")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
-        .drop("n_docs")
     )
-    gone = occ.join(frequent, ["h1", "h2"])
+    hot = F.col("n_docs") * HOT_KEYS >= occ.count()
+    keys = ["h1", "h2"]
+    gone = occ.join(F.broadcast(frequent.where(hot).drop("n_docs")), keys).unionByName(occ.join(frequent.where(~hot).drop("n_docs"), keys))
     if keep_first:
         gone = gone.where(~F.struct("doc_id", "row_key", "pos").eqNullSafe(F.col("first")))
     dropped = gone.groupBy("doc_id", "row_key").agg(F.any_value("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("dropped"))
