@@ -2,17 +2,22 @@
 
 A pair of token lists of sizes a and b with F1 >= t has 2 min(a, b) / (a + b) >= t, shares a
 multiset of at least t (a + b) / 2 tokens, and one of the rarest |x| - ceil(|x| t / (2 - t)) + 1
-(token, occurrence) elements of each. Candidates meet in those elements, so that frequent
-tokens join nothing; the longest common subsequence is computed on what is left.
+(token, occurrence) elements of each. Files whose size no file of the other side can match
+are left out before their tokens are looked at. Candidates meet in the rare elements, so that
+frequent tokens join nothing; bags and tokens are taken of candidates only, and the longest
+common subsequence is computed on what is left.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.text import whitespace_tokens
 from runforge.functions.tokens import MAX_BITS, lcs_length, lcs_length_long, rouge_l_f1
+from runforge.lineage import cut
 
 
 def _elements(files: DataFrame) -> DataFrame:
@@ -21,9 +26,17 @@ def _elements(files: DataFrame) -> DataFrame:
     return each.select("f", "n", "token", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ"))
 
 
-def _bags(files: DataFrame, elements: DataFrame) -> DataFrame:
-    """(f, tokens, bag): each file with its elements as strings."""
-    bag = elements.groupBy("f").agg(F.collect_list(F.concat_ws("\x00", "token", F.col("occ").cast("string"))).alias("bag"))
+def _of_size(files: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """The files whose size some size between the smallest and the largest of others can match."""
+    lo, hi = others.agg(F.min(F.size("tokens")), F.max(F.size("tokens"))).first()
+    n = F.size("tokens")
+    return files.where(n.between(math.ceil(lo * t / (2 - t) - 1e-9), math.floor(hi * (2 - t) / t + 1e-9))) if lo else files.where("false")
+
+
+def _bags(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(f, tokens, bag): the wanted files with their elements as strings."""
+    files = files.join(wanted, "f", "left_semi")
+    bag = _elements(files).groupBy("f").agg(F.collect_list(F.concat_ws("\x00", "token", F.col("occ").cast("string"))).alias("bag"))
     return files.select("f", "tokens").join(bag, "f")
 
 
@@ -37,23 +50,25 @@ def _rare(elements: DataFrame, common: DataFrame, t: float) -> DataFrame:
 def similar_files(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(f_left, f_right, lcs, f1) for all pairs of files (f bigint, tokens array<string>) with F1 of threshold or more.
 
-    right is the side whose token frequencies rank the elements; it should be the smaller
-    one. Files without tokens match nothing but each other, and only those of threshold 1 or
-    less do so with F1 = 1; they are left out here.
+    Token frequencies of right rank the elements, whichever side is larger. Files without
+    tokens match nothing and are left out, as are null token lists; f tells files apart.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold must be in (0, 1]: {threshold}")
     t = threshold
+    left, right = (x.where(F.size("tokens") > 0).select("f", "tokens") for x in (left, right))
+    left = cut(_of_size(left, right, t))
     a, b = _elements(left), _elements(right)
     common = b.groupBy("token", "occ").agg(F.count("*").alias("freq"))
     pa = _rare(a, common, t).toDF("f_left", "a", "token", "occ")
     pb = _rare(b, common, t).toDF("f_right", "b", "token", "occ")
     near = F.lit(2.0) * F.least("a", "b") >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9
-    pairs = pa.join(pb, ["token", "occ"]).where(near).select("f_left", "a", "f_right", "b").distinct()
-    lt, rt = _bags(left, a).toDF("f_left", "left_tokens", "left_bag"), _bags(right, b).toDF("f_right", "right_tokens", "right_bag")
+    pairs = cut(pa.join(pb, ["token", "occ"]).where(near).select("f_left", "a", "f_right", "b").distinct())
+    lt, rt = (_bags(x, pairs.select(F.col(f"f_{side}").alias("f")).distinct()).toDF(f"f_{side}", f"{side}_tokens", f"{side}_bag") for x, side in ((left, "left"), (right, "right")))
     texts = pairs.join(lt, "f_left").join(rt, "f_right")
     overlap = F.size(F.array_intersect("left_bag", "right_bag"))
-    left_over = texts.where(F.lit(2.0) * overlap >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9).drop("left_bag", "right_bag")
+    # Cut, or the optimizer would have the subsequences of all candidates computed.
+    left_over = cut(texts.where(F.lit(2.0) * overlap >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9).drop("left_bag", "right_bag"))
     shorter, longer = (F.when((F.col("a") <= F.col("b")) == first, F.col("left_tokens")).otherwise(F.col("right_tokens")) for first in (True, False))
     fits = F.least("a", "b") <= MAX_BITS
     native = left_over.where(fits).withColumn("lcs", lcs_length(shorter, longer))

@@ -220,7 +220,7 @@ def f7_f8_apply_patches(spark, sf):
     return patches.apply_patches(rows).select("p_partkey", "patched", F.size("failed").alias("n_failed"))
 
 
-@query("select p_partkey, '// File: m.sv' || chr(10) || p_name || case when p_size % 2 = 0 then '// File: s.md' || chr(10) || p_type else '// No specification files provided.' end || chr(10) || 'do' as content, 'rules' as system from part")
+@query("select p_partkey, '// File: m.sv' || chr(10) || p_name || case when p_size % 2 = 0 then '// File: s.md' || chr(10) || p_type else '(no spec)' end || chr(10) || 'do' as content, 'rules' as system from part")
 def f10_render_initial_prompt(spark, sf):
     p = staging.load(spark, sf, "part")
     f = lambda n, c: F.array(F.struct(F.lit(n).alias("name"), F.col(c).alias("content")))
@@ -229,8 +229,8 @@ def f10_render_initial_prompt(spark, sf):
     return p.select("p_partkey", m.alias("m")).select("p_partkey", F.col("m")[1]["content"].alias("content"), F.col("m")[0]["content"].alias("system"))
 
 
-@query("""select p_partkey, 'Response parse result:' || chr(10) || '- type: ' || case when p_size % 2 = 0 then 'patch' else 'full' end || case when p_size % 2 = 0 then chr(10) || chr(10) || 'Current testbench contents:' || chr(10) || p_name else '' end
- || chr(10) || chr(10) || 'EDA result:' || chr(10) || '- status: ' || p_type || chr(10) || chr(10) || 'Instruction for next round:' || chr(10) || 'go on' as content from part""")
+@query("""select p_partkey, 'Parsed:' || chr(10) || '- type: ' || case when p_size % 2 = 0 then 'patch' else 'full' end || case when p_size % 2 = 0 then chr(10) || chr(10) || 'File now:' || chr(10) || p_name else '' end
+ || chr(10) || chr(10) || 'Run:' || chr(10) || '- status: ' || p_type || chr(10) || chr(10) || 'Next:' || chr(10) || 'go on' as content from part""")
 def f11_render_followup(spark, sf):
     p = staging.load(spark, sf, "part")
     kind = F.when(F.col("p_size") % 2 == 0, "patch").otherwise("full")
