@@ -48,18 +48,84 @@ def test_article_of_a_page():
         "<article><h1>One &amp; two</h1><p>a  <b>b<br>c<p>d &lt; e<!-- no --><aside>no</aside><form>no</form><div id='comments'><p>no</p></div><ul><li>f<li>g</ul></article><footer>no</footer>"
     )
     assert html_extract.article(page, None) == "One & two\na b c\nd < e\nf\ng"
-    assert html_extract.article(page, "html>body.has-sidebar>article") == html_extract.article(page, None)
-
-
-def test_extract_text(spark):
+    for n in (5, 70, 5000):
+        assert html_extract.article("<body>" + "<div>" * n + "<p>other chrome</p><article>deep article" + "</article>", None) == "deep article"
+
+
+def test_names_only_break_ties():
+    one = lambda page: html_extract.article(page, None)
+    assert one("<body><article><h1>h</h1><div class='related-work'>own words</div><div class='related'>no</div></article></body>") == "h\nown words"
+    assert one("<body><article><div class='post-header'><h1>h</h1></div><p>a</article>") == "h\na"
+    assert one("<body><article><header><h1>h</h1></header><p>a</article><header>no</header>") == "h\na"
+    for name in ("post comments-open", "entry share-enabled", "content header-main"):
+        assert one(f"<body><nav>no</nav><div class='{name}'><h1>h</h1><p>{'words ' * 9}</p></div></body>") == "h\n" + ("words " * 9).strip()
+    assert one(f"<body><form id=aspnetForm><h1>h</h1><p>{'words ' * 9}</p></form></body>") == "h\n" + ("words " * 9).strip()
+    # More comments than article are comments still.
+    assert one(f"<body><article><p>short article</p><div id=comments>{'<p>no no no</p>' * 30}</div></article>") == "short article"
+    # Links alone make a list in an article boilerplate if its name says so too.
+    assert one("<body><article><p>some text</p><div class='more-related'><a href=x>no</a> <a href=y>no</a></div></article>") == "some text"
+
+
+def made_pages(n, make):
+    rng = random.Random(21)
+    return [(i, f"http://a.org/{i}", make(i, " ".join(f"w{rng.randint(0, 999)}" for _ in range(40)))) for i in range(n)]
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_template_without_names(spark):
+    """What a host's pages always say goes although nothing is named; an introduction that all articles share stays, as does what copies of a page share."""
+    rows = made_pages(20, lambda i, t: f"<html><body><div class=x1>Home About Contact</div><div class=x2><h1>title {i}</h1><p>same words everywhere</p><p>{t}</p><div class=x4>Read this</div></div><div class=x3>All rights reserved</div></body></html>")
+    got = texts_of(spark, rows)
+    for i, _, page in rows:
+        t = page.split("<p>")[2].split("</p>")[0]
+        assert got[i] == f"title {i}\nsame words everywhere\n{t}"
+        assert html_extract.article(page, None) != got[i]
+    inline = made_pages(20, lambda i, t: f"<body><div class=x1>Home About Contact</div><p>{t}</p><div class=x3>All rights reserved</div>")
+    assert all(t.startswith("w") and "Home" not in t and "rights" not in t for t in texts_of(spark, inline).values())
+    copies = [(i, f"http://a.org/{i}", "<body><div class=a><div class=b>the only text</div></div>") for i in range(9)]
+    assert set(texts_of(spark, copies).values()) == {"the only text"}
+
+
+def test_token_classes_equal_brute_force(spark):
+    rng = random.Random(22)
+    make = lambda: "<body>" + "".join(f"<div class={rng.choice('abc')}><p>{rng.choice(['same', str(rng.random())])}</p>{'<b>x</b>' * rng.randint(0, 1)}</div>" for _ in range(rng.randint(1, 3)))
+    rows = [(i, f"http://{'ab'[i % 2]}.org", make()) for i in range(30)]
+    rows += rows[:4]
+    src = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.regexp_extract("url", "://(.*)", 1)).repartition(3)
+    want = collections.defaultdict(set)
+    for host in ("a.org", "b.org"):
+        pages = [(i, html_extract.Page(h).tokens()) for i, u, h in rows if host in u]
+        n_host, whole = len(pages), {i: t[0]["said"] for i, t in pages}
+        for path in {p for _, t in pages for p in t}:
+            has = [(i, t[path]) for i, t in pages if path in t]
+            said = collections.defaultdict(list)
+            for i, t in has:
+                said[t["said"]].append(i)
+            constant = max((len(ids) if len({whole[i] for i in ids}) > 1 else 0) for ids in said.values())
+            if len(has) >= html_extract.SEEN * n_host:
+                vector = tuple(sorted((i, t["count"]) for i, t in has))
+                want[host, vector].add((path, len(has), max(t["count"] for _, t in has), constant, sum(t["whole"] for _, t in has), n_host))
+    got = collections.defaultdict(set)
+    for r in html_extract.token_classes(src).collect():
+        got[r.host, r.v1, r.v2].add((r.path, r.n_pages, r.most, r.constant, r.whole, r.n_host))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_extract_text(spark, monkeypatch):
     page = "<html><body><nav>{0}</nav><div class=story><p>same words everywhere</p><p>text {0} &eacute;</p></div><div class=ad>{0}</div></body></html>"
-    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(8)] + [(8, "http://a.org/8", None), (9, None, ""), (10, "nohost", "<p>a<p>b"), (11, "http://b.org", "plain"), (11, "http://b.org", "plain"), (12, "http://c.org", "<div>" * 5000 + "deep")]
-    df = clashing(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
-    out = html_extract.extract_text(df).collect()
-    assert len(out) == len(rows)
-    got = {r.page_id: r.text for r in out}
-    assert all(got[i] == f"same words everywhere\ntext {i} {html.unescape('&eacute;')}" for i in range(8))
-    assert (got[8], got[9], got[10], got[11], got[12]) == ("", "", "a\nb", "plain", "deep")
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(8)] + [(8, "http://a.org/8", None), (9, None, ""), (10, "nohost", "<p>a<p>b"), (11, "http://b.org", "plain"), (11, "http://b.org", "plain"), (12, "http://c.org", "<div>" * 5000 + "deep"), (None, None, None)]
+    df = clashing(spark.createDataFrame(rows, "page_id bigint, url string, html string")).withColumns({c: F.lit("clash") for c in ("text", "t_host", "page", "found", "n_host", "said")})
+    for hot in (html_extract.HOT_HOSTS, 1):
+        monkeypatch.setattr(html_extract, "HOT_HOSTS", hot)
+        out = html_extract.extract_text(df).collect()
+        assert len(out) == len(rows)
+        got = {r.page_id: r.text for r in out}
+        assert all(got[i] == f"same words everywhere\ntext {i} {html.unescape('&eacute;')}" for i in range(8))
+        assert (got[8], got[9], got[10], got[11], got[12], got[None]) == ("", "", "a\nb", "plain", "deep", "")
+        assert out[0].host == out[0].found == "clash"
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
@@ -117,15 +183,41 @@ def test_near_duplicates(spark):
     assert "row_key" in kept.columns
 
 
-def test_near_duplicates_with_other_repeats(spark):
-    """Passages that one copy has six times leave the set of shingles, and so the similarity, almost as it is."""
+def brute_near_duplicates(rows, t=0.8):
+    """The smallest id of every row's component by Jaccard similarity of all pairs."""
+    words = [tuple((x or "").encode().lower().split()) for _, x in rows]
+    sets = [{w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        n = len(sets[i] & sets[j])
+        if group[i] != group[j] and (words[i] == words[j] or n and n >= t * (len(sets[i]) + len(sets[j]) - n) - 1e-9):
+            old, new = group[j], group[i]
+            group = [new if g == old else g for g in group]
+    least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in set(group)}
+    return collections.Counter((r[0], least[g]) for r, g in zip(rows, group, strict=True))
+
+
+@pytest.mark.parametrize("buckets", [1 << 20, 64])
+def test_near_duplicates_equal_the_exact_join(spark, monkeypatch, buckets):
+    """Copies around the threshold, repeats, a passage that a third of all share, groups that only meet by way of others; few buckets are all frequent."""
     rng = random.Random(13)
-    rows = []
-    for g in range(12):
-        w = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
-        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(w[:100] + w[60:100] * 5 + w[100:]))]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
-    assert got == {i: i // 10 * 10 for i, _ in rows}
+    monkeypatch.setattr(simhash, "BUCKETS", buckets)
+    passage = [f"p{i}" for i in range(60)]
+    rows = list(EDGES)
+    for g in range(40):
+        w = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([8, 20, 60, 200]))] + (passage if g % 3 == 0 else [])
+        for c in range(6):
+            v = list(w)
+            for k in rng.sample(range(len(v)), min(len(v), rng.choice([0, 1, 2, 3, 5]))):
+                v[k] = f"new{rng.random()}"
+            if rng.random() < 0.3:
+                v = v[: len(v) // 2] + v[len(v) // 3 : len(v) // 2] * 5 + v[len(v) // 2 :]
+            rows.append((1000 + 10 * g + c, " ".join(v)))
+    rows += [(5000 + i, " ".join([*passage, f"own{i}", f"own{i}b"])) for i in range(30)] + rows[20:40]
+    want = brute_near_duplicates(rows)
+    got = simhash.near_duplicates(clashing(docs_of(spark, rows))).collect()
+    assert keys(got, "doc_id", "component_id") == want
+    assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
 # 3
@@ -237,10 +329,46 @@ def test_context_tree(spark):
     assert context_tree.score_texts(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_grams_in_windows_and_trees_in_slices(monkeypatch):
+    """Whatever the size of windows and slices, texts give the same grams and no tree is torn apart."""
+    import pyarrow as pa
+
+    texts = [b"", b"abcab", "héé".encode(), b"abc" * 9]
+    naive = [[tuple(s[p - k] for k in range(1, 5)) + (s[p],) for p in range(4, len(s))] for t in texts for s in [bytes([0xFE]) * 4 + t + b"\xff"]]
+    of = np.array([1, 0, 2, 1])
+    for window in (1, 7, 1000):
+        monkeypatch.setattr(context_tree, "WINDOW", window)
+        g = context_tree.Grams(texts)
+        k, n = g.counts(of)
+        want = collections.Counter()
+        for i, x in enumerate(naive):
+            for y in x:
+                want[int.from_bytes(bytes(y), "big")] += int(of[i])
+        assert dict(zip(k.tolist(), n.tolist(), strict=True)) == dict(want)
+        value = np.arange(len(k), dtype=float)
+        assert g.sums(k, value, 4).tolist() == [sum(value[np.searchsorted(k, int.from_bytes(bytes(y), "big"))] for y in x) for x in naive]
+    grams = np.sort(k.view(np.int64))
+    monkeypatch.setattr(context_tree, "SLICE", 5)
+    parts = [t[0].to_numpy() for t in context_tree._slices((pa.RecordBatch.from_arrays([pa.array(grams[i : i + 3])], names=["gram"]) for i in range(0, len(grams), 3)), 4)]
+    assert np.concatenate(parts).tolist() == grams.tolist()
+    assert len(parts) > 2
+    trees = [set((p >> 16).tolist()) for p in parts]
+    assert all(not a & b for a, b in itertools.combinations(trees, 2))
+
+
+def test_depth_helps_on_held_out_text(spark):
+    """The held-out texts cost fewer bits under the tree than under the words alone."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice(["the cat sat", "on the mat", "a dog ran"]) for _ in range(30))) for i in range(200)]
+    got = [r for r in context_tree.score_texts(docs_of(spark, rows)).collect() if r.held_out]
+    assert len(got) > 10
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 # 8
 
 
-def test_contained_items(spark):
+def test_contained_items(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 30)))) for i in range(20)] + [(50, None), (51, "a b"), (52, "a b c d e f")]
     rows = list(EDGES)
@@ -260,6 +388,22 @@ def test_contained_items(spark):
     got = decontaminate.contained_items(clashing(docs_of(spark, rows)), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert len(want) > 10
     assert keys(got, "doc_id", "item_id", "n_item", "n_shared") == want
+    tables = clashing(docs_of(spark, rows)), spark.createDataFrame(items, "item_id bigint, text string")
+    assert decontaminate.contained_items(tables[0].limit(0), tables[1]).count() == decontaminate.contained_items(tables[0], tables[1].limit(0)).count() == 0
+    # What the search doesn't find is not counted.
+    search = decontaminate.candidate_pairs
+    monkeypatch.setattr(decontaminate, "candidate_pairs", lambda *a: search(*a).where("item_id % 2 = 0"))
+    got = decontaminate.contained_items(*tables).collect()
+    assert keys(got, "doc_id", "item_id") == collections.Counter((d, i) for d, i, *_ in want if i % 2 == 0)
+
+
+def test_sketches_by_size():
+    """Any set that holds a share t of an item holds part of the sketch that its size class asks for."""
+    for t in (0.5, 0.8, 1.0):
+        for n in range(1, 200):
+            largest = 2 ** (int(math.log2(n)) + 1) - 1
+            sketch = largest - math.ceil(largest * t - 1e-9) + 1
+            assert sketch > n - math.ceil(n * t - 1e-9)
 
 
 # 9
@@ -314,7 +458,7 @@ def test_rows_alike_are_one_document(spark):
 # 10
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rows = [*EDGES, *((100 + i, f"  Common LINE\t\nown {i}\n\ncommon line\n{'rare' if i < 9 else 'x'}") for i in range(12))]
     docs = clashing(docs_of(spark, rows))
     out = line_dedup.apply_keep_bitmaps(docs, line_dedup.line_keep_bitmaps(docs)).collect()
@@ -323,6 +467,13 @@ def test_line_dedup(spark):
     assert got[100] == (5, 2, "own 0\n\nrare")
     assert got[1] == got[2] == (1, 0, "")
     assert got[9] == (5, 0, "l1\nl2\nL1 \n\nl2")
+    assert line_dedup.line_keep_bitmaps(docs.limit(0)).count() == 0
+    # Texts of one id are one document, those without an id count each; hot lines and others alike.
+    same = docs_of(spark, [(1, f"shared\n{i}") for i in range(12)] + [(None, f"other\n{i}") for i in range(10)])
+    for n in (10_000, 1):
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", n)
+        got = line_dedup.apply_keep_bitmaps(same, line_dedup.line_keep_bitmaps(same)).groupBy("doc_id").agg(F.sum("n_dropped").alias("n")).collect()
+        assert {r.doc_id: r.n for r in got} == {1: 0, None: 10}
     first = line_dedup.line_keep_bitmaps(docs, keep_first=True).where("doc_id = 100").first()
     assert [(r.first, r.n) for r in first.keep_runs] == [(0, 3), (4, 1)]
 
