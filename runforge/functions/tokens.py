@@ -72,6 +72,16 @@ def count_tokens(text: Column, encoder: Callable[[list[str]], list[int]] | None
     return run(text)
 
 
+def sum_tokens(texts: Column, encoder: Callable[[list[str]], list[int]]) -> Column:
+    """How many tokens all texts of an array have together, by an encoder as in count_tokens()."""
+
+    @pandas_udf(IntegerType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: int(sum(encoder([t or "" for t in x])))).astype("int32")
+
+    return run(texts)
+
+
 @pandas_udf(DoubleType())
 def hash_fraction(ids: pd.Series) -> pd.Series:
     """blake2b of the id, 8 bytes big-endian, over 2 ** 64; null for null."""

@@ -2,31 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runforge.lineage import cut
+
+#: Rows that one task may rank.
+BUCKET_ROWS = 100_000
+
+
+def seeded(seed: int, *keys: str) -> Column:
+    """md5 of the seed and the keys, null keys left out: the order of samples and shuffles, which any engine can compute."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
 
-def _order(seed: int, *keys: str):
-    return [F.xxhash64(F.lit(seed), *keys), *(F.col(k) for k in keys)]
+def _digits(n: int) -> int:
+    """How many hex digits of a hash part n rows into buckets of BUCKET_ROWS or less, eight at most."""
+    return min(8, max(0, math.ceil(math.log(max(1, n / BUCKET_ROWS), 16))))
 
 
 def sample_exact(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """n rows without replacement, all if there are no more; keys identify a row."""
+    """n rows without replacement, all if there are no more; keys identify a row.
+
+    The first n by seeded() are taken: whole buckets of hash prefixes, counted first, and of
+    the bucket in which n falls its first rows, so that no task ranks more than a bucket.
+    """
     if n < 0:
         raise ValueError(f"n must not be negative: {n}")
-    return rows.orderBy(*_order(seed, *keys)).limit(n)
+    total = rows.count()
+    if n >= total:
+        return rows
+    hashed = rows.withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, _digits(total)))
+    before = 0
+    for b, c in sorted((r["_b"], r["c"]) for r in hashed.groupBy("_b").agg(F.count("*").alias("c")).collect()):  # a few times total / BUCKET_ROWS
+        if before + c > n:
+            break
+        before += c
+    part = hashed.where(F.col("_b") == b).orderBy("_h", *keys).limit(n - before)
+    return hashed.where(F.col("_b") < b).unionByName(part).drop("_h", "_b")
 
 
 def shuffle_rows(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
-    return rows.orderBy(*_order(seed, *keys))
+    return rows.orderBy(seeded(seed, *keys), *keys)
+
+
+def positions(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds position, from 0, in the order: rows are sorted by ranges, counted in each, and numbered where they lie."""
+    placed = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))  # a row for each partition
+    before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).drop("_c")
+    return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("position", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_at", "_before")
 
 
-def slice_rows(rows: DataFrame, start: int | None, end: int | None, *order: str) -> DataFrame:
-    """Rows start to end (exclusive) of the order."""
-    out = rows.orderBy(*order)
-    if start:
-        out = out.offset(start)
-    return out if end is None else out.limit(max(0, end - (start or 0)))
+def slice_rows(rows: DataFrame, start: int | None, end: int | None, *order: str, limit: int | None = None, needs: str | None = None) -> DataFrame:
+    """Rows start to end (exclusive) of the order, or the first limit; not both. A null in column needs is an error."""
+    if limit is not None and (start is not None or end is not None):
+        raise ValueError("give a slice or a limit")
+    if needs is not None and rows.where(F.col(needs).isNull()).head(1):
+        raise ValueError(f"rows without {needs}")
+    last = limit if limit is not None else end
+    at = F.col("position")
+    return positions(rows, *order).where((at >= (start or 0)) & (F.lit(True) if last is None else at < last)).drop("position")
 
 
 def repeat_items(rows: DataFrame, n: int) -> DataFrame:
@@ -65,8 +104,8 @@ def blend(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     if n <= 0:
         raise ValueError(f"n must be -1 or positive: {n}")
     shares = blend_shares(rows, n).withColumns({"copies": F.floor(F.col("share") / F.col("size")).cast("int"), "rest": F.col("share") % F.col("size")})
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "source_ord", *keys)).withColumn("_b", F.shiftright("_h", 52))
-    # How many rows come before each bucket; 4096 buckets for each source.
+    hashed = rows.withColumn("_h", seeded(seed, "source_ord", *keys)).withColumn("_b", F.substring("_h", 1, _digits(rows.count())))
+    # How many rows come before each bucket.
     counts = hashed.groupBy("source_ord", "_b").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("source_ord").orderBy("_b")) - F.col("_c")).drop("_c")
     placed = hashed.join(shares.drop("size", "share"), "source_ord").join(before, ["source_ord", "_b"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.text import strip_verilog
-from runforge.functions.tokens import count_tokens, hash_fraction, md5_fraction
+from runforge.functions.tokens import count_tokens, hash_fraction, md5_fraction, sum_tokens
 from runforge.lineage import cut
 from runforge.schemas import FILE
 
@@ -64,22 +64,21 @@ def filter_by_length(contexts: DataFrame, max_tokens: int, keep_long: bool = Fal
 
 
 def count_rtl_tokens(contexts: DataFrame, cache: DataFrame | None = None, encoder: Callable | None = None) -> DataFrame:
-    """Fills rtl_tokens, the tokens of all rtl files; a cache (dataset, context_id, rtl_tokens) spares what it has."""
+    """Fills rtl_tokens, the tokens of all rtl files; a cache (dataset, context_id, rtl_tokens) spares what it has.
+
+    Tokens are added up within the row: repeated ids are counted each, rows with null ids or files stay.
+    """
+    texts = F.transform(F.coalesce("rtl_files", F.array().cast(f"array<{FILE}>")), lambda f: f["content"])
+
     def fill(rows: DataFrame) -> DataFrame:
-        sums = (
-            rows.select("dataset", "context_id", F.explode_outer(F.transform("rtl_files", lambda f: f["content"])).alias("t"))
-            .groupBy("dataset", "context_id").agg(F.sum(count_tokens(F.col("t"))).cast("int").alias("rtl_tokens"))
-            if encoder is None else
-            rows.select("dataset", "context_id", F.explode_outer(F.transform("rtl_files", lambda f: f["content"])).alias("t")).withColumn("n", count_tokens(F.col("t"), encoder))
-            .groupBy("dataset", "context_id").agg(F.sum("n").cast("int").alias("rtl_tokens"))
-        )
-        return rows.drop("rtl_tokens").join(sums, ["dataset", "context_id"])
+        n = F.aggregate(F.transform(texts, lambda t: count_tokens(t)), F.lit(0), lambda a, x: a + x) if encoder is None else sum_tokens(texts, encoder)
+        return rows.withColumn("rtl_tokens", n)
 
     if cache is None:
         return fill(contexts)
-    known = cache.select("dataset", "context_id", "rtl_tokens")
-    done = contexts.drop("rtl_tokens").join(known, ["dataset", "context_id"])
-    return done.unionByName(fill(contexts.join(known, ["dataset", "context_id"], "left_anti")))
+    known = cache.groupBy("dataset", "context_id").agg(F.max("rtl_tokens").alias("rtl_tokens"))
+    both = contexts.drop("rtl_tokens").join(known, ["dataset", "context_id"], "left")
+    return both.where("rtl_tokens is not null").unionByName(fill(both.where("rtl_tokens is null")))
 
 
 def to_generation_context(contexts: DataFrame, instructions: str, exact_hash: bool = False) -> DataFrame:

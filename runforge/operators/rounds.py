@@ -137,9 +137,14 @@ def resume_histogram(history: DataFrame, keys: tuple[str, ...] = (*KEY, "separat
     return history.groupBy(*keys).agg(F.max("round_index").alias("max_round")).groupBy("max_round").agg(F.count("*").alias("n"))
 
 
+def advanced_first() -> list:
+    """The order of work to be resumed."""
+    return [F.col("max_round").desc_nulls_last(), *map(F.col, (*KEY, "separation_id"))]
+
+
 def resume_order(items: DataFrame) -> DataFrame:
     """Most advanced work first."""
-    return items.orderBy(F.col("max_round").desc_nulls_last(), *KEY)
+    return items.orderBy(*advanced_first())
 
 
 def attach_resume(items: DataFrame, history: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runforge.operators.blend import sample_exact, seeded
 from runforge.operators.scoring import KEY, result_order
 
 
@@ -55,7 +56,7 @@ def _budget(ranked: DataFrame, n: int, seed: int) -> DataFrame:
         raise ValueError(f"fewer than {n} candidates")
     whole, part = ranked.where(F.col("round_id") < last["round_id"]), ranked.where(F.col("round_id") == last["round_id"])
     if last["upto"] > n:
-        part = part.orderBy(F.xxhash64(F.lit(seed), *KEY), *KEY).limit(n - (last["upto"] - last["c"]))
+        part = sample_exact(part, n - (last["upto"] - last["c"]), seed, *KEY)
     return whole.unionByName(part)
 
 
@@ -69,7 +70,7 @@ def select_rounds(runs: DataFrame, n: int | None, mode: str = "best", seed: int
     if mode not in ("best", "random"):
         raise ValueError(f"unknown mode: {mode}")
     open_runs = runs.where("overall_coverage < 1.0")
-    order = [result_order().desc(), F.col("run_id").desc()] if mode == "best" else [F.xxhash64(F.lit(seed), *KEY, "run_id"), F.col("run_id")]
+    order = [result_order().desc(), F.col("run_id").desc()] if mode == "best" else [seeded(seed, *KEY, "run_id"), F.col("run_id")]
     ranked = open_runs.withColumn("round_id", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) - 1)
     return ranked if n is None else ranked.limit(0) if n == 0 else _budget(ranked, n, seed)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.chat import history_of, instruction_of, output_of, render_chat, system_of
+from runforge.lineage import cut
 from runforge.operators.scoring import KEY
 
 
@@ -81,14 +82,15 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def refine_sft(rows: DataFrame, ids: DataFrame | None, order_col: str, threshold: float = 0.01, length_label: str = "long") -> DataFrame:
-    """Clean, improving rows, the best of each context, as chat rows; rows without the form of a chat go.
+def refine_sft(rows: DataFrame, ids: DataFrame | None, order_col: str, threshold: float = 0.01, length_label: str = "long") -> tuple[DataFrame, DataFrame]:
+    """(chat rows, rejected chats): clean, improving rows, the best of each context. Rejected are those without the form of a chat, with chat_error.
 
-    rows must be of one dataset.
+    What is left after the filters must be of one dataset.
     """
-    if rows.select("dataset").distinct().limit(2).count() > 1:
-        raise ValueError("rows of more than one dataset")
     clean = valid_pairs(rows if ids is None else drop_contaminated(rows, ids))
     better = clean.where(has_absolute_improvement(F.col("cov_result"), F.col("prev_cov_result"), threshold))
-    best = best_improvement(better, order_col).withColumn("run_type", relabel_run_type(F.col("prev_cov_result")))
-    return split_chats(best, length_label).where("chat_error is null").drop("chat_error")
+    best = cut(best_improvement(better, order_col).withColumn("run_type", relabel_run_type(F.col("prev_cov_result"))))
+    if best.agg(F.count_distinct("dataset").alias("n")).first()["n"] > 1:
+        raise ValueError("rows of more than one dataset")
+    chats = split_chats(best, length_label)
+    return chats.where("chat_error is null").drop("chat_error"), chats.where("chat_error is not null")

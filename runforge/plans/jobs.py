@@ -53,17 +53,26 @@ def collect_direct_rows(runs: DataFrame, contexts: DataFrame, testbenches: DataF
 
 
 def collect_agentic_rows(histories: DataFrame, injected: str | None = None, best: DataFrame | None = None) -> DataFrame:
-    """Chat rows of agentic runs (keys, run_id, entry), of the best runs only if best is given; without injected text."""
+    """Chat rows of agentic runs (keys, run_id, entry), of the best runs only if best is given; without injected text.
+
+    Entries with an error go, as do those without messages or without a response.
+    """
     e = F.col("entry")
     run_id = text.first_run_id(e["run_id"], e["task_hash_id"], e["prev_run_id"], F.col("run_id"))
     messages: Column = e["messages"] if injected is None else text.strip_injected(e["messages"], injected)
-    rows = histories.where(e["error"].isNull()).select(
+    rows = histories.where(e["error"].isNull() & e["messages"].isNotNull() & e["llm_response"].isNotNull()).select(
         messages.alias("input"), F.struct(F.lit("assistant").alias("role"), e["llm_response"].alias("content")).alias("output"), *KEY, F.lit("agentic").alias("run_type"),
         coverage.coverage_label(e["cov_result"]).alias("cov_result"), coverage.coverage_label(e["prev_cov_result"]).alias("prev_cov_result"), run_id.alias("run_id"),
     )
     return rows if best is None else attach.keep_best_run(rows, best)
 
 
+def refine_training_rows(rows: DataFrame, ids: DataFrame | None, order_col: str, threshold: float = 0.01, length_label: str = "long", tokens_of: Column | None = None) -> dict[str, DataFrame]:
+    """rows: the refined chat rows; rejected: chats without the form of one; longest: the token counts of the longest rows."""
+    good, bad = sft.refine_sft(rows, ids, order_col, threshold, length_label)
+    return {"rows": good, "rejected": bad, "longest": sft.longest_tail_check(good, tokens_of)}
+
+
 def evaluate_samples(samples: DataFrame, contexts: DataFrame, n: int, cohorts: dict[str, str]) -> dict[str, DataFrame]:
     """Reports over scored samples (repeat_index below n): metrics, per task, mean coverage unpadded and padded, cohorts, tokens."""
     padded = scoring.pad_missing(samples, contexts, n)

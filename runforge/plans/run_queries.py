@@ -110,14 +110,14 @@ def p15_quarantine(spark, sf):
 
 TASKS = """t as (select dataset, context_id, unnest([{'m': 'is_pass_xrun', 'a': avg(is_pass_xrun::int), 'k': max(is_pass_xrun::int)}, {'m': 'has_coverage', 'a': avg(has_coverage::int), 'k': max(has_coverage::int)},
  {'m': 'is_pass_targets', 'a': avg(is_pass_targets::int), 'k': max(is_pass_targets::int)}, {'m': 'overall_coverage', 'a': avg(overall_coverage), 'k': max(overall_coverage)}]) as x from padded group by dataset, context_id)"""
-PADDED = SAMPLES + """, five as (select * from samples where repeat_index < 60), ctx as (select distinct dataset, context_id from runs),
+PADDED = SAMPLES + """, five as (select * from samples), ctx as (select distinct dataset, context_id from runs),
 padded as (select c.dataset, c.context_id, g.i as repeat_index, coalesce(f.is_pass_xrun, false) as is_pass_xrun, coalesce(f.has_coverage, false) as has_coverage, coalesce(f.is_pass_targets, false) as is_pass_targets,
- coalesce(f.overall_coverage, 0) as overall_coverage, f.run_id is not null as ok from ctx c cross join (select unnest(range(60))::int as i) g left join five f on f.dataset = c.dataset and f.context_id = c.context_id and f.repeat_index = g.i)"""
+ coalesce(f.overall_coverage, 0) as overall_coverage, f.run_id is not null as ok from ctx c cross join (select unnest(range(max(repeat_index) + 1))::int as i from samples) g left join five f on f.dataset = c.dataset and f.context_id = c.context_id and f.repeat_index = g.i)"""
 
 
 def _padded(spark, sf) -> DataFrame:
-    s = staging.samples(spark, sf, 60)
-    return scoring.pad_missing(s, s, 60)
+    s = staging.samples(spark, sf)
+    return scoring.pad_missing(s, s, staging.most_samples(s))
 
 
 @query(f"with {PADDED} select dataset, context_id, repeat_index, is_pass_xrun, has_coverage, is_pass_targets, overall_coverage, ok, case when not ok then 'missing_direct_infer_run' end as error from padded")
@@ -138,7 +138,7 @@ def a4_per_task(spark, sf):
 @query(f"""with {PADDED}, u as (select repeat_index, avg(overall_coverage) as m from five where is_pass_xrun group by 1), p as (select repeat_index, avg(case when is_pass_xrun then overall_coverage else 0 end) as m from padded group by 1)
 select 'unpadded' as kind, round(avg(m), 6) as at_1, round(max(m), 6) as at_k from u union all select 'padded', round(avg(m), 6), round(max(m), 6) from p""")
 def a5_mean_sim_pass_cov(spark, sf):
-    a, b = scoring.mean_sim_pass_cov(staging.samples(spark, sf, 60)), scoring.mean_sim_pass_cov(_padded(spark, sf), padded=True)
+    a, b = scoring.mean_sim_pass_cov(staging.samples(spark, sf)), scoring.mean_sim_pass_cov(_padded(spark, sf), padded=True)
     return _r6(a.select(F.lit("unpadded").alias("kind"), "*").unionByName(b.select(F.lit("padded").alias("kind"), "*")))
 
 
@@ -206,17 +206,22 @@ def w5_select_rounds_best(spark, sf):
     return selection.select_rounds(runs, two, "best").select(*RUN, "round_id")
 
 
-@query()
+def _budget_sql(order: str, n: str, seed: int) -> str:
+    """Rounds of o (round_id) up to n rows, of the last round the contexts that come first by md5."""
+    return f"""{order}, c as (select round_id, count(*) as c from o group by 1), u as (select round_id, sum(c) over (order by round_id) as upto, c from c),
+last as (select * from u where upto >= {n} order by round_id limit 1),
+z as (select o.*, row_number() over (partition by o.round_id order by md5(concat_ws('|', {seed}, dataset, context_id))) as pos from o)
+select dataset, context_id, run_id, round_id from z where round_id < (select round_id from last) or round_id = (select round_id from last) and pos <= (select {n} - (upto - c) from last)"""
+
+
+@query(_budget_sql(f"with {RUNS}, o as (select *, row_number() over (partition by dataset, context_id order by md5(concat_ws('|', 7, dataset, context_id, run_id)), run_id) - 1 as round_id from runs where overall_coverage < 1)", "77", 7))
 def w5_select_rounds_random(spark, sf):
-    return selection.select_rounds(staging.runs(spark, sf), 77, "random", 7).select(*RUN, "round_id")
+    return selection.select_rounds(staging.runs(spark, sf), 77, "random", 7).select(*RUN, F.col("round_id").cast("bigint").alias("round_id"))
 
 
-@query(f"""with {RUNS}, o as (select *, row_number() over (partition by dataset, context_id order by run_id desc) as rk, count(*) over () as n from runs)
-select count(*)::bigint as n, ceil(max(n) * 0.3)::bigint as expected from (select *, row_number() over (order by rk, run_id) as z from o) where z <= ceil(n * 0.3)""")
+@query(_budget_sql(f"with {RUNS}, o as (select *, row_number() over (partition by dataset, context_id order by run_id desc) - 1 as round_id from runs)", "(select ceil(count(*) * 0.3) from runs)", 42))
 def w6_preselect_ratio(spark, sf):
-    runs = staging.runs(spark, sf)
-    got = selection.preselect_ratio(runs, 0.3)
-    return got.agg(F.count("*").alias("n")).crossJoin(F.broadcast(runs.agg(F.ceil(F.count("*") * 0.3).alias("expected"))))
+    return selection.preselect_ratio(staging.runs(spark, sf), 0.3).select(*RUN, F.col("round_id").cast("bigint").alias("round_id"))
 
 
 @query(f"with {ROUND_INPUTS} select dataset, context_id, repeat_index, c as round_index, best.a as is_pass_xrun, best.b as has_coverage, best.c as is_pass_targets, best.d as overall_coverage from after")
@@ -320,10 +325,10 @@ def w15_resume_histogram(spark, sf):
     return rounds.resume_histogram(rounds.resume_check(_history(spark, sf)))
 
 
-@query(f"with {WHOLE} select dataset, context_id, separation_id, top as max_round from whole where separation_id % 2 = 0")
+@query(f"with {WHOLE} select dataset, context_id, separation_id, top as max_round from whole")
 def j9_attach_resume(spark, sf):
     h = _history(spark, sf).withColumns({"error": F.lit(None).cast("string"), "round_index": F.col("round_index").cast("string"), "separation_id": F.col("separation_id").cast("string")})
-    items = staging.rounds(spark, sf).select(*KEY, F.col("repeat_index").alias("separation_id")).distinct().where("separation_id % 2 = 0")
+    items = staging.rounds(spark, sf).select(*KEY, F.col("repeat_index").alias("separation_id")).distinct()
     return rounds.resume_order(rounds.attach_resume(items, h)).select(*KEY, "separation_id", "max_round")
 
 
@@ -378,14 +383,21 @@ def u3_repeat_items(spark, sf):
     return blend.repeat_items(staging.runs(spark, sf).select(*RUN), 3)
 
 
-@query()
+@query(f"with {RUNS} select dataset, context_id, run_id from runs order by md5(concat_ws('|', 42, dataset, context_id, run_id)) limit 200")
 def t2_sample_exact(spark, sf):
     return blend.sample_exact(staging.runs(spark, sf), 200, 42, *RUN).select(*RUN)
 
 
-@query()
+@query(f"with {RUNS} select dataset, context_id, run_id, row_number() over (order by md5(concat_ws('|', 42, dataset, context_id, run_id))) - 1 as position from runs")
 def t3_shuffle_rows(spark, sf):
-    return blend.shuffle_rows(staging.runs(spark, sf).select(*RUN), 42, *RUN)
+    shuffled = blend.shuffle_rows(staging.runs(spark, sf).select(*RUN), 42, *RUN)
+    return blend.positions(shuffled, blend.seeded(42, *RUN), *RUN)
+
+
+@query(f"with {WHOLE} select dataset, context_id, separation_id, top as max_round, row_number() over (order by top desc, dataset, context_id, separation_id) - 1 as position from whole")
+def t1_resume_order(spark, sf):
+    h = rounds.resume_check(_history(spark, sf)).groupBy(*KEY, "separation_id").agg(F.max("round_index").alias("max_round"))
+    return blend.positions(rounds.resume_order(h), *rounds.advanced_first())
 
 
 @query(f"with {RUNS} select context_id, run_id, coalesce(nullif(case when k % 3 = 0 then '' else run_id end, ''), nullif(case when k % 2 = 0 then 'task' end, ''), 'path') as found from runs")
@@ -396,15 +408,46 @@ def f21_run_id_fallback(spark, sf):
     return staging.runs(spark, sf).select("context_id", "run_id", first_run_id(F.when(k % 3 == 0, "").otherwise(F.col("run_id")), F.when(k % 2 == 0, "task"), F.lit("path")).alias("found"))
 
 
-@query(f"with {PADDED}, {TASKS} select 'metrics' as report, x.m as name, round(avg(x.a), 6) as at_1, round(avg(x.k), 6) as at_k from t group by 2 union all select 'mean_cov', 'unpadded', round(avg(m), 6), round(max(m), 6) from (select avg(overall_coverage) as m from five where is_pass_xrun group by repeat_index)")
-def e6_evaluate_samples(spark, sf):
-    s = staging.samples(spark, sf, 60)
-    out = jobs.evaluate_samples(s, s, 60, COHORTS)
-    m = out["metrics"].select(F.lit("metrics").alias("report"), F.col("metric").alias("name"), "at_1", "at_k")
-    return _r6(m.unionByName(out["mean_cov"].select(F.lit("mean_cov").alias("report"), F.lit("unpadded").alias("name"), "at_1", "at_k")))
+REPORTS = PADDED + ", " + TASKS + """, means as (select 'mean_cov' as report, avg(overall_coverage) as m from five where is_pass_xrun group by repeat_index
+ union all select 'mean_cov_padded', avg(case when is_pass_xrun then overall_coverage else 0 end) from padded group by repeat_index)"""
 
 
-@query()
+@query(f"""with {REPORTS} select 'metrics' as report, x.m as name, round(avg(x.a), 6) as at_1, round(avg(x.k), 6) as at_k from t group by 2
+union all select 'per_task', dataset || '/' || context_id || '/' || x.m, round(x.a, 6), round(x.k::double, 6) from t
+union all select report, 'all', round(avg(m), 6), round(max(m), 6) from means group by 1
+union all select 'cohorts', split_part(context_id, '_', 1), round(avg(x.a), 6), round(avg(x.k), 6) from t where x.m = 'is_pass_targets' group by 2
+union all select 'tokens', dataset || '/' || context_id || '/' || repeat_index, k::double, (k * 2)::double from samples""")
+def e6_evaluate_samples(spark, sf):
+    k = F.coalesce("k", F.lit(0)).cast("bigint")
+    s = staging.samples(spark, sf).withColumns({"prompt_tokens": k, "completion_tokens": k, "reasoning_tokens": F.lit(0).cast("bigint"), "total_tokens": k * 2, "latency_seconds": F.lit(1.0)})
+    out = jobs.evaluate_samples(s, s, staging.most_samples(s), COHORTS)
+    name = {
+        "metrics": F.col("metric"), "per_task": F.concat_ws("/", *KEY, "metric"), "mean_cov": F.lit("all"), "mean_cov_padded": F.lit("all"),
+        "cohorts": F.col("cohort"), "tokens": F.concat_ws("/", *KEY, F.col("repeat_index").cast("string")),
+    }
+    every = None
+    for report, rows in out.items():
+        if report == "tokens":
+            rows = rows.withColumns({"at_1": F.col("prompt_tokens").cast("double"), "at_k": F.col("total_tokens").cast("double")})
+        one = rows.select(F.lit(report).alias("report"), name[report].alias("name"), "at_1", "at_k")
+        every = one if every is None else every.unionByName(one)
+    return _r6(every)
+
+
+@query(f"""with {ROUND_INPUTS}, t as (select c, dataset, context_id, count(*) as n, sum(best.d) as cov, avg(best.a::int) as x1, max(best.a::int) as xk, avg(best.c::int) as t1, max(best.c::int) as tk from after group by 1, 2, 3),
+e as (select max(round_index) as r from rounds group by dataset, context_id, repeat_index having bool_or(k % 17 = 0))
+select 'metrics' as report, c as round_index, round(avg(x1), 6) as a, round(avg(xk), 6) as b, round(avg(t1), 6) as c, round(avg(tk), 6) as d, round(sum(cov) / sum(n), 6) as e from t group by 2
+union all select 'improvements', a.c, count(*) filter (a.best.d > b.best.d), count(*), null, null, null from after a join after b on a.dataset = b.dataset and a.context_id = b.context_id and a.repeat_index = b.repeat_index and a.c = b.c + 1 group by 2
+union all select 'errors', g.i, count(e.r), null, null, null, null from (select unnest(range(4))::int as i) g left join e on e.r = g.i group by 2""")
 def e8_report_rounds(spark, sf):
     out = jobs.report_rounds(staging.round_inputs(spark, sf))
-    return _r6(out["metrics"].join(out["errors"].withColumnRenamed("round_index", "max_round"), "max_round"))
+    cols = {
+        "metrics": ("max_round", "pass_xrun_at_1", "pass_xrun_at_k", "pass_targets_at_1", "pass_targets_at_k", "avg_overall_cov"),
+        "improvements": ("round_index", "improved", "total"), "errors": ("round_index", "errors"),
+    }
+    every = None
+    for report, (at, *values) in cols.items():
+        shown = [F.col(v).cast("double").alias(x) for v, x in zip(values, "abcde", strict=False)] + [F.lit(None).cast("double").alias(x) for x in "abcde"[len(values) :]]
+        one = out[report].select(F.lit(report).alias("report"), F.col(at).alias("round_index"), *shown)
+        every = one if every is None else every.unionByName(one)
+    return _r6(every)

@@ -51,6 +51,11 @@ def samples(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame
     return assign_repeat_index(runs(spark, sf_dir), n)
 
 
+def most_samples(samples: DataFrame) -> int:
+    """How many samples the largest context has."""
+    return samples.agg(F.max("repeat_index")).first()[0] + 1
+
+
 SAMPLES = RUNS + ", samples as (select *, (row_number() over (partition by dataset, context_id order by run_id) - 1)::int as repeat_index from runs)"
 
 ROUNDS_IN_SAMPLE = 4

@@ -268,12 +268,18 @@ def p9_to_generation_context(spark, sf):
     return designs.to_generation_context(blank, "Test {top} as {instance}.", exact_hash=True).select("context_id", "dut_top_module_name", "dut_top_instance_name", "instructions")
 
 
-@query(f"with {DESIGNS}, one as (select d from tops where len(tops) = 1) select d::varchar as context_id, unnest(range(2))::int as repeat_index, 2 as n_messages from one")
+GENERATION = DESIGNS + """, txt as (select p_partkey // 4 as d, string_agg('// File: m' || p_partkey || '.sv' || chr(10) || '`define SIZE ' || p_size || chr(10) || '// part ' || p_name || chr(10) || 'module m' || p_partkey || ' (input clk);' || chr(10)
+ || case when p_size % 2 = 1 then '  m' || (p_partkey + 1) || ' #(.W(8)) u' || p_partkey || ' (.clk(clk));' || chr(10) else '' end || '  /* m1 x (y); */ wire [`SIZE:0] w;' || chr(10) || 'endmodule' || chr(10), chr(10) || chr(10) order by p_partkey) as rtl from part group by 1),
+one as (select d, size, tops[1] as top, ('0x' || substr(md5(d::varchar), 1, 13))::bigint / 4503599627370496e0 as r from tops where len(tops) = 1),
+gen as (select d, top, case when r < 0.33 then 'dut' when r < 0.66 then 'uut' else 'inst_' || top end as inst, rtl, case when size % 3 = 0 then '// File: spec.md' || chr(10) || size else '(no spec)' end as spec from one join txt using (d))"""
+
+
+@query(f"with {GENERATION} select d::varchar as context_id, unnest(range(2))::int as repeat_index, 'You write tests.' as system, rtl || spec || chr(10) || 'Test ' || top || ' as ' || inst || '.' as content from gen")
 def e1_build_generation_requests(spark, sf):
     d = designs.count_rtl_tokens(designs.with_tops(staging.designs(spark, sf)))
     blank = d.withColumns({c: F.lit(None).cast("string") for c in ("dut_top_module_name", "dut_top_instance_name", "instructions")})
     r = jobs.build_generation_requests(blank, "Test {top} as {instance}.", "You write tests.", "{context}\n{instructions}", 100_000, 2)
-    return r.select("context_id", "repeat_index", F.size("messages").alias("n_messages"))
+    return r.select("context_id", "repeat_index", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("content"))
 
 
 @query("select p_partkey::varchar as context_id, p_name as rtl, p_type as spec from part")
@@ -296,28 +302,47 @@ def s3_normalize_nested(spark, sf):
     return designs.normalize_nested(p, "n").select("context_id", F.col("dut_top_module_name").alias("top"), F.array_join("potential_top", ",").alias("tops"))
 
 
-@query(f"""with {PAIRS}, one as (select * from better where dataset = 'ds0' qualify row_number() over (partition by dataset, context_id order by overall_coverage - p_cov desc, event_id) = 1)
-select context_id, case when p_h then 'agentic_coverage' else 'agentic_xrun' end as run_type, 'rules' as system, 'task ' || run_id as instruction, 'answer ' || run_id as output from one""")
+@query(f"""with {PAIRS}, best as (select * from better qualify row_number() over (partition by dataset, context_id order by overall_coverage - p_cov desc, event_id) = 1),
+one as (select dataset, context_id, case when p_h then 'agentic_coverage' else 'agentic_xrun' end as run_type, 'rules' as system, case when k % 6 <> 5 then 'task ' || run_id end as instruction, 'answer ' || run_id as output, case when k % 6 = 5 then 'system' end as chat_error from best),
+good as (select dataset from one where chat_error is null)
+select dataset, context_id, run_type, case when chat_error is null then system end as system, instruction, output, chat_error, null::int as longest from one
+union all select distinct dataset, null, null, null, null, null, null, 1 from good""")
 def e5_refine_sft(spark, sf):
     say = lambda role, t: F.struct(F.lit(role).alias("role"), t.alias("content"))
-    rows = staging.pairs(spark, sf).where("dataset = 'ds0'").withColumns({
-        "input": F.array(say("system", F.lit("rules")), say("user", F.concat(F.lit("task "), "run_id"))), "output": say("assistant", F.concat(F.lit("answer "), "run_id")), "run_type": F.lit("agentic"),
+    task = say("user", F.concat(F.lit("task "), "run_id"))
+    k = staging.rounds(spark, sf).select(*KEY, "run_id", "k")
+    rows = staging.pairs(spark, sf).join(k, [*KEY, "run_id"]).withColumns({
+        "input": F.when(F.col("k") % 6 == 5, F.array(task)).otherwise(F.array(say("system", F.lit("rules")), task)), "output": say("assistant", F.concat(F.lit("answer "), "run_id")), "run_type": F.lit("agentic"),
     })
-    return sft.refine_sft(rows, None, "event_id").select("context_id", "run_type", "system", "instruction", "output")
+    every = None
+    for name in sorted(r["dataset"] for r in rows.select("dataset").distinct().collect()):
+        out = jobs.refine_training_rows(rows.where(F.col("dataset") == name), None, "event_id", tokens_of=F.lit(1))
+        cols = [*KEY, "run_type", "system", "instruction", "output"]
+        longest = out["longest"].select(F.lit(name).alias("dataset"), *(F.lit(None).cast("string").alias(c) for c in (*cols[1:], "chat_error")), F.col("max_by_chars").alias("longest"))
+        one = out["rows"].withColumn("chat_error", F.lit(None).cast("string")).unionByName(out["rejected"]).select(*cols, "chat_error", F.lit(None).cast("int").alias("longest")).unionByName(longest)
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+BLENDED = """s as (select (dense_rank() over (order by lang) - 1)::int as source_ord, doc_id, lang from documents), total as (select count(*) * 2 // 3 as n from documents),
+z as (select source_ord, count(*) as size from s group by 1), e as (select *, size * (select n from total) / sum(size) over () as exact from z), f as (select *, floor(exact) as whole from e),
+h as (select source_ord, size, whole + case when row_number() over (order by exact - whole desc, source_ord desc) <= (select n from total) - sum(whole) over () then 1 else 0 end as share from f),
+r as (select s.*, row_number() over (partition by source_ord order by md5(concat_ws('|', 42, source_ord, doc_id)), doc_id) as rk from s)"""
 
 
-@query("select lang, count(*) as n from documents group by 1")
+@query(f"with {BLENDED} select r.doc_id, r.lang, r.source_ord, 0 as copy, row_number() over (order by md5(concat_ws('|', 42, r.source_ord, r.doc_id, 0)), r.source_ord, r.doc_id) - 1 as position from r join h using (source_ord) where rk <= share")
 def e10_blend_sources(spark, sf):
     d = staging.load(spark, sf, "documents").select("doc_id", "lang")
-    langs = ("de", "en", "es", "fr")
-    mixed = jobs.blend_sources([d.where(F.col("lang") == x) for x in langs], d.count(), 42, "doc_id")
-    return mixed.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r["lang"] for r in d.select("lang").distinct().collect())  # a handful
+    mixed = jobs.blend_sources([d.where(F.col("lang") == x) for x in langs], d.count() * 2 // 3, 42, "doc_id")
+    order = ("source_ord", "doc_id", "copy")
+    return blend.positions(mixed, blend.seeded(42, *order), *order)
 
 
-@query()
+@query(f"""with {DESIGNS}, t as (select p_partkey // 4 as d, len(regexp_extract_all('`define SIZE ' || p_size || chr(10) || '// part ' || p_name || chr(10) || 'module m' || p_partkey || ' (input clk);' || chr(10)
+ || case when p_size % 2 = 1 then '  m' || (p_partkey + 1) || ' #(.W(8)) u' || p_partkey || ' (.clk(clk));' || chr(10) else '' end || '  /* m1 x (y); */ wire [`SIZE:0] w;' || chr(10) || 'endmodule' || chr(10), '[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\\sA-Za-z_0-9]')) as n from part),
+s as (select d, sum(n)::int as n from t group by 1) select d::varchar as context_id, case when size % 2 = 0 then size else n end as rtl_tokens from tops join s using (d)""")
 def j10_cached_token_counts(spark, sf):
     d = staging.designs(spark, sf)
     cache = d.where("size % 2 = 0").select(*KEY, F.col("size").alias("rtl_tokens"))
     return designs.count_rtl_tokens(d, cache).select("context_id", "rtl_tokens")
-
-
