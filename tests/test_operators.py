@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -230,3 +231,77 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).first().split == "train"
     writers.write_id_pairs(spark.createDataFrame([("1", "2")], "train_id string, eval_id string"), str(tmp_path / "t"))
     assert "".join(p.read_text() for p in (tmp_path / "t").glob("part-*")) == "1\t2\n"
+
+
+def test_patches_against_a_state_machine():
+    """Random hunks against a line-by-line reading of the format."""
+    rng = random.Random(31)
+
+    def by_lines(body):
+        parts, part = {"pre": [], "old": [], "new": [], "post": []}, "pre"
+        for kind, text in body:
+            if kind == "-":
+                parts["old"].append(text)
+            elif kind == "+":
+                parts["new"].append(text)
+            else:
+                parts[part].append(text)
+            part = part if kind == " " else "post"
+        return parts
+
+    for _ in range(300):
+        hunks = [[(rng.choice(" -+"), f"l{rng.randint(0, 9)}\n") for _ in range(rng.randint(0, 7))] for _ in range(3)]
+        text = "".join("@@\n" + "".join(k + x + "\n" * rng.randint(0, 1) for k, x in h) for h in hunks)
+        assert patches.parse_patch(text) == [by_lines(h) for h in hunks if any(k != " " for k, _ in h)]
+
+
+def test_positions_and_samples_in_buckets(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id % 7 as a", "id as b").repartition(5)
+    got = {(r.a, r.b): r.position for r in blend.positions(rows, "a", "b").collect()}
+    assert got == {x: i for i, x in enumerate(sorted((i % 7, i) for i in range(3000)))}
+    want = sorted(r.b for r in blend.sample_exact(rows, 777, 3, "b").collect())
+    monkeypatch.setattr(blend, "BUCKET_ROWS", 20)
+    assert sorted(r.b for r in blend.sample_exact(rows, 777, 3, "b").collect()) == want
+    assert [blend.sample_exact(rows, n, 3, "b").count() for n in (0, 1, 2999, 3000, 9999)] == [0, 1, 2999, 3000, 3000]
+    with pytest.raises(ValueError, match="slice or a limit"):
+        blend.slice_rows(rows, 1, None, "b", limit=3)
+    with pytest.raises(ValueError, match="without c"):
+        blend.slice_rows(rows.selectExpr("b", "nullif(b, 5) as c"), 1, 4, "b", needs="c")
+
+
+def test_token_counts_within_the_row(spark):
+    files = "array<struct<name: string, content: string>>"
+    rows = spark.createDataFrame([("d", "1", [("a", "x = 1;"), ("b", None)]), ("d", "1", [("a", "y")]), (None, None, None)], f"dataset string, context_id string, rtl_files {files}")
+    assert sorted(r.rtl_tokens for r in designs.count_rtl_tokens(rows).collect()) == [0, 1, 4]
+    assert sorted(r.rtl_tokens for r in designs.count_rtl_tokens(rows, encoder=lambda texts: [len(t) for t in texts]).collect()) == [0, 1, 6]
+
+
+def test_shared_folder_on_a_cluster(spark):
+    from runforge import lineage
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    assert lineage.shared_path(Session(**{"spark.checkpoint.dir": "s3://x"})).startswith("s3://x/")
+    for master in ("yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            lineage.shared_path(Session(**{"spark.master": master}))
+    assert lineage.shared_path(Session(**{"spark.master": "local[4]"}))
+    t = lineage.cut(spark.range(3))
+    lineage.discard(t)
+    assert not os.path.exists(t.cut_path.removeprefix("file://"))
+
+
+def test_refinement_rejects_chats_without_form(spark):
+    say = "struct<role: string, content: string>"
+    cov = "struct<is_pass_xrun: boolean, has_coverage: boolean, is_pass_targets: boolean, overall_coverage: double, misc: map<string, double>>"
+    none, full = (True, False, False, 0.0, None), (True, True, True, 1.0, None)
+    rows = spark.createDataFrame([
+        ("d", "1", 1, [("system", "s"), ("user", "u")], ("assistant", "a"), full, none), ("d", "2", 2, [("user", "u")], ("assistant", "a"), full, none), ("e", "3", 3, [("user", "u")], ("assistant", "a"), None, none),
+    ], f"dataset string, context_id string, ord int, input array<{say}>, output {say}, cov_result {cov}, prev_cov_result {cov}").withColumn("run_type", F.lit("x"))
+    good, bad = sft.refine_sft(rows, None, "ord")
+    assert [(r.context_id) for r in good.collect()] == ["1"]
+    assert [(r.context_id, r.chat_error) for r in bad.collect()] == [("2", "system")]
+    with pytest.raises(ValueError, match="more than one dataset"):
+        sft.refine_sft(rows.unionByName(rows.where("ord = 1").withColumn("dataset", F.lit("z"))), None, "ord")
