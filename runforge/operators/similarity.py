@@ -51,13 +51,13 @@ def similar_files(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     """(f_left, f_right, lcs, f1) for all pairs of files (f bigint, tokens array<string>) with F1 of threshold or more.
 
     Token frequencies of right rank the elements, whichever side is larger. Files without
-    tokens match nothing and are left out, as are null token lists; f tells files apart.
+    tokens match nothing and are left out, as are null token lists; rows of one f are one file.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold must be in (0, 1]: {threshold}")
     t = threshold
-    left, right = (x.where(F.size("tokens") > 0).select("f", "tokens") for x in (left, right))
-    left = cut(_of_size(left, right, t))
+    right = right.where(F.size("tokens") > 0).select("f", "tokens").dropDuplicates(["f"])
+    left = cut(_of_size(left.select("f", "tokens"), right, t).dropDuplicates(["f"]))
     a, b = _elements(left), _elements(right)
     common = b.groupBy("token", "occ").agg(F.count("*").alias("freq"))
     pa = _rare(a, common, t).toDF("f_left", "a", "token", "occ")
@@ -89,8 +89,7 @@ def find_contamination(train: DataFrame, evals: DataFrame, threshold: float = 0.
     train has context_id, f, tokens; evals also eval_ord. A context matches if any pair of
     files does; files are compared once, however many contexts share them.
     """
-    a, b = (x.where(F.size("tokens") > 0).select("f", "tokens").dropDuplicates(["f"]) for x in (train, evals))
-    pairs = similar_files(a, b, threshold)
+    pairs = similar_files(train, evals, threshold)
     t = train.select(F.col("context_id").alias("train_id"), F.col("f").alias("f_left")).distinct()
     e = evals.select(F.col("context_id").alias("eval_id"), "eval_ord", F.col("f").alias("f_right")).distinct()
     return pairs.join(t, "f_left").join(e, "f_right").groupBy("train_id").agg(F.min_by("eval_id", "eval_ord").alias("eval_id"))
