@@ -26,7 +26,7 @@ SHRINK_TO_POOLED = 0.1
 SHRINK_TO_DIAGONAL = 0.05
 #: Added to every variance: statistics that never vary in a class must not decide alone.
 LEAST_VARIANCE = 0.02
-#: Documents without words get the score of the class shares.
+#: The statistics of a document; those without words have them too.
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper_words", "upper_letters", "distinct_words", "repeated_neighbours",
     "symbols", "exclamations", "bars", "digits", "stops", "distinct_lines", "words_in_line", "function_words",
@@ -66,18 +66,17 @@ def statistics(text: str | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n_words, x array<double>) for every row of docs; only the text is looked at."""
+    """(doc_id, row_key, x array<double>) for every row of docs; only the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in range(0, b.num_rows, 1000):
                 c = b.slice(part, 1000)
                 x = [statistics(t) for t in c.column(2).to_pylist()]
-                n = pa.array([round(np.expm1(r[1])) for r in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), n, pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "row_key", "n_words", "x"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "row_key", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key bigint, n_words bigint, x array<double>")
+    return docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key bigint, x array<double>")
 
 
 @dataclass
