@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runforge.lineage import cut  # noqa: F401  the operators take it from here
+from runforge.lineage import cut, discard  # noqa: F401  the operators take them from here
 
 #: The white space of the contracts: space, \t, \n, \v, \f, \r.
 SPACE = " \t\n\x0b\x0c\r"

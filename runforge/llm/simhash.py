@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runforge.llm.common import cut, load, row_key
+from runforge.llm.common import cut, discard, load, row_key, shuffle_partitions
 from runforge.llm.components import connected_components
 
 SEED = 42
@@ -27,10 +27,10 @@ MAX_BITS = 2
 MIN_BYTES = 8 - MAX_BITS
 #: Longer posting lists are joined by one-bit neighbours instead of pair by pair.
 LONG_LIST = 256
-#: 64-bit lanes of the wide fingerprint that near_duplicates() searches by.
-LANES = 8
-#: The steps between the three bytes of a key of the wide index (fixed values).
-STEPS = ((1, 3), (5, 14), (9, 32), (2, 21), (7, 27), (11, 40))
+#: 64-bit words of the parity fingerprint of a small set, and members of a list compared at once.
+PARITY_WORDS, TILE = 16, 512
+#: Hash buckets in which near_duplicates() counts shingles, and how far above the mean a frequent one is.
+BUCKETS, FAR = 1 << 20, 4
 
 
 def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
@@ -49,52 +49,35 @@ def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
     return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[n_words - 1 :], strict=False)], np.uint64)
 
 
-def _lane(h: np.ndarray, lane: int) -> np.ndarray:
-    """The hashes themselves for lane 0, otherwise mixed anew."""
-    if not lane:
-        return h
-    x = (h ^ np.uint64(lane * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xD6E8FEB86659FD93)
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(h: np.ndarray, lanes: int = 1) -> list[int]:
-    """As signed 64-bit numbers: a bit is 1 if set in over half of the hashes; zero if there are none."""
-    out = []
-    for lane in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for part in range(0, len(h), 1 << 16):
-            bits = np.unpackbits(_lane(h[part : part + (1 << 16)], lane).astype(">u8").view(np.uint8)).reshape(-1, 64)
-            ones += bits.sum(0, dtype=np.int32)
-        out.append(int(np.packbits(ones * 2 > len(h)).view(">i8")[0]))
-    return out
+def fingerprint(h: np.ndarray) -> int:
+    """As a signed 64-bit number: a bit is 1 if set in over half of the hashes; zero if there are none."""
+    ones = np.zeros(64, np.int64)
+    for part in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[part : part + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, n_words: int = 3, lanes: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, row_key, s1, s2, n_words, prints) for every row of docs (doc_id, text).
+def fingerprints(docs: DataFrame, n_words: int = 3) -> DataFrame:
+    """(doc_id, row_key, fp) for every row of docs (doc_id, text).
 
     A-Z is lower-cased, words lie between white space, shingles count as often as they
-    occur, or once each without repeats; a text of fewer words is one shingle, null is empty, no words give zero. prints
-    has one signed number for each lane, s1 and s2 hash the sequence of words.
+    occur; a text of fewer words is one shingle, null is empty, no words give zero.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in range(0, b.num_rows, 300):
                 c = b.slice(part, 300)
-                prints, seqs, counts = [], [], []
-                for t in c.column(2).to_pylist():
-                    found = (t or "").encode().lower().split()
-                    seqs.append(xxhash.xxh128_intdigest(b" ".join(found)))
-                    counts.append(len(found))
-                    h = shingle_hashes(t, n_words)
-                    prints.append(fingerprint(h if repeats else np.unique(h), lanes))
-                s1 = np.array([s & 2**64 - 1 for s in seqs], np.uint64).view(np.int64)
-                s2 = np.array([s >> 64 for s in seqs], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(s1), pa.array(s2), pa.array(counts, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=names)
-
-    names = ["doc_id", "row_key", "s1", "s2", "n_words", "prints"]
+                prints = [fingerprint(shingle_hashes(t, n_words)) for t in c.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(prints, pa.int64())], names=["doc_id", "row_key", "fp"])
+
     src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
-    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, s1 bigint, s2 bigint, n_words bigint, prints array<bigint>")
+    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, fp bigint")
 
 
 def _shared_bytes(x: Column) -> Column:
@@ -138,7 +121,7 @@ def simhash_components(docs: DataFrame, n_words: int = 3) -> DataFrame:
     fingerprint zero and link like any other. Rows with a null doc_id link too but give no
     id; a component of such rows only has a null component_id. Other columns are ignored.
     """
-    rows = cut(fingerprints(docs, n_words).select("doc_id", "row_key", F.col("prints")[0].alias("fp")))
+    rows = cut(fingerprints(docs, n_words))
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     labels = connected_components(linked_fingerprints(each.select("fp")))
     labelled = each.join(labels, each["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
@@ -147,79 +130,228 @@ def simhash_components(docs: DataFrame, n_words: int = 3) -> DataFrame:
     return rows.join(found, "fp").select("doc_id", "row_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _wide_keys() -> np.ndarray:
-    n = 8 * LANES
-    return np.array([[p, (p + a) % n, (p + b) % n] for a, b in STEPS for p in range(n)])
+def shingle_set(text: str | None, n_words: int) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes mixed from the hashes of their words; a text of fewer words is one, none has none."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    of_word = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n = min(n_words, len(found))
+    h = np.zeros(len(found) - n + 1, np.uint64)
+    for k in range(n):
+        h = _mixed((h << np.uint64(5) | h >> np.uint64(59)) + of_word[k : k + len(h)], k + 1)
+    return np.unique(h)
+
+
+def frequent_buckets(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of hash buckets that hold far more shingles than others: BUCKETS at most, whatever the corpus.
+
+    Each task counts its shingles by bucket and gives those FAR times above its mean. The
+    counts put frequent shingles last in the order of rarity; that order needs to be the same
+    for all texts and no more, so it loses nothing that they are approximate.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = np.zeros(BUCKETS, np.int64), [np.empty(0, np.int64)]
+
+        def add() -> None:
+            counts[:] += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held.clear()
+
+        size = 0
+        for b in batches:
+            for t in b.column(0):
+                held.append((shingle_set(t.as_py(), n_words) % np.uint64(BUCKETS)).astype(np.int64))
+                size += len(held[-1])
+                if size > 2 * BUCKETS:
+                    add()
+                    size = 0
+        held.append(np.empty(0, np.int64))
+        add()
+        far = np.flatnonzero(counts > max(2, FAR * counts.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(far), pa.array(counts[far])], names=["bucket", "n"])
+
+    got = texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    return np.array([r["bucket"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row_key, label, component_id) for every row of docs: near copies by Jaccard similarity of shingles.
 
-    At such a similarity 64-bit fingerprints differ in about ten bits and need not share a
-    byte, so the byte index is built over wider ones, of the distinct shingles as similarity is
-    one of sets: LANES times 64 bits, posting lists of
-    three positional bytes, 64 lists for each of STEPS. Members of a list are tallied with the
-    first and the previous one; where a longer list holds several components after that,
-    all its pairs across components are. Pairs pass if their bits differ in no more than four
-    standard deviations above the expected count, and are verified on the sets of shingles. Documents with the same words are one
-    before the search; those without words are copies of each other. label tells components
-    apart, component_id is the smallest doc_id in one. Null doc_id: as in simhash_components().
+    At a similarity of 0.8 the 64-bit fingerprints of two texts differ in ten bits and need not
+    share a byte: the guaranteed minimum of shared positional bytes is none, so the byte index
+    can't be used here without losing pairs. Instead the shingles themselves are the
+    positions of an inverted index with a guaranteed minimum: two sets of sizes up to n with
+    similarity t or more share one of the n - ceil(t n) + 1 rarest shingles of each, so only
+    these are posted. Pairs in a list go on if their sizes allow it and if the bits in which
+    their parity fingerprints differ, each of which takes a shingle that only one has, are no
+    more than the shingles in which they may differ; then exact Jaccard decides. No pair is lost. Frequent shingles come last in the order of rarity, so
+    that a passage of many documents posts where they have nothing else.
+    Members of a list, sorted by size, are tested with the first and the previous one; where a
+    list holds several components after that, its pairs across components are. Documents with
+    the same words are one before the search; those without words are copies of each other.
+    label tells components apart, component_id is the smallest doc_id in one. Null doc_id: as
+    in simhash_components(). Other columns are ignored, an empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, n_words, LANES, repeats=False))
-    texts = cut(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.any_value("prints").alias("prints"), F.max("n_words").alias("n_words")).withColumn("node", F.xxhash64("s1", "s2")))
-    where = _wide_keys()
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in range(0, whole.num_rows, 500):
-                b = whole.slice(part, 500)
-                flat = np.array(b.column(1).flatten(), np.int64).astype(">i8").view(np.uint8).reshape(b.num_rows, 8 * LANES)
-                three = flat[:, where].astype(np.int64)
-                key = (np.arange(len(where)) << 24) + (three[:, :, 0] << 16) + (three[:, :, 1] << 8) + three[:, :, 2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0)), len(where))), pa.array(key.ravel())], names=["node", "key"])
-
-    posted = texts.where("n_words > 0").select("node", "prints").mapInArrow(keys, "node bigint, key bigint")
-    in_list = Window.partitionBy("key").orderBy("node")
-    listed = cut(posted.withColumns({"prev": F.lag("node").over(in_list), "next": F.lead("node").over(in_list), "first": F.first("node").over(in_list), "k": F.row_number().over(in_list)}).where("prev is not null or next is not null").select("key", "node", "prev", "first", "k"))
-    tested = listed.where("k > 1").select(F.explode(F.array_distinct(F.array("prev", "first"))).alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, texts, tested, n_words, similarity)
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity must be in (0, 1]: {similarity}")
+    rows = cut(word_sequences(docs).drop("text"))
+    same = word_sequences(docs).groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.any_value("text").alias("text"))
+    texts = cut(same.withColumn("node", F.xxhash64("s1", "s2")))
+    each = texts.where("text is not null").select("node", "text")
+    buckets, counts = frequent_buckets(each, n_words)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.zeros(BUCKETS, np.int64)
+        weight[buckets] = counts
+        for b in batches:
+            for part in range(0, b.num_rows, 500):
+                c = b.slice(part, 500)
+                keys, sizes, bits = [], [], []
+                for t in c.column(1).to_pylist():
+                    h = shingle_set(t, n_words)
+                    k = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                    keys.append(h[np.lexsort((h, weight[(h % np.uint64(BUCKETS)).astype(np.int64)]))[:k]].view(np.int64))
+                    sizes.append(len(h))
+                    bits.append(parity(h))
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sizes, pa.int64()), pa.array(bits, kind), pa.array(keys, kind)], names=["node", "n", "bits", "keys"])
+
+    nodes = cut(each.mapInArrow(rare, "node bigint, n bigint, bits array<bigint>, keys array<bigint>"))
+    posted = nodes.select("node", "n", F.explode("keys").alias("key"))
+    in_list = Window.partitionBy("key").orderBy("n", "node")
+    me, before, head = F.struct("node", "n"), F.lag(F.struct("node", "n")).over(in_list), F.first(F.struct("node", "n")).over(in_list)
+    listed = cut(posted.withColumns({"prev": before, "next": F.lead("node").over(in_list), "first": head}).where("prev is not null or next is not null").select("key", "node", "n", "prev", "first"))
+    tested = listed.where("prev is not null").select(F.explode(F.array("prev", "first")).alias("x"), me.alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
+    bits = cut(nodes.select("node", "bits"))
+    discard(nodes)
+    links = _verified(each, bits, tested, n_words, similarity)
     labels = connected_components(links)
     # Longer lists in which components meet: every pair across them.
-    member = listed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 3 and lo <> hi").select("key")
-    member = member.join(mixed, "key")
-    rest = member.toDF("key", "a", "la").join(member.toDF("key", "b", "lb"), "key").where("a < b and la <> lb").select("a", "b").distinct()
-    more = _verified(docs, texts, rest, n_words, similarity)
+    member = listed.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = member.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m > 3 and lo <> hi").select("key")
+    member = cut(member.join(mixed, "key"))
+    ordered = member.join(bits, "node").select("key", "n", "node", "label", "bits").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n", "node")
+    rest = ordered.mapInArrow(lambda batches: _pairs_in_lists(batches, similarity), "a bigint, b bigint").distinct()
+    more = _compared(each, cut(rest), n_words, similarity)
+    discard(member, listed, bits)
     labels = connected_components(links.union(more))
     found = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = found.groupBy("label").agg(F.min("least_id").alias("component_id"))
     return rows.join(found.join(ids, "label").select("s1", "s2", "label", "component_id"), ["s1", "s2"]).select("doc_id", "row_key", "label", "component_id")
 
 
-def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose shingles are similar enough; cut."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * LANES
-    most = int(bits * angle + 4 * math.sqrt(bits * angle * (1 - angle)))
-    p = texts.select("node", "prints")
-    both = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
-    distance = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(LANES)), F.lit(0))
-    close = cut(both.where(distance <= most).select("a", "b"))
-    wanted = close.select("a").union(close.select("b")).distinct().toDF("node")
-    of = texts.join(wanted, "node").select("node", F.col("row.doc_id").alias("t_id"), F.col("row.row_key").alias("t_key"))
-    src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
+def word_sequences(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, text, s1, s2) for every row of docs (doc_id, text): 128 bits for its sequence of lower-cased words."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in range(0, b.num_rows, 500):
                 c = b.slice(part, 500)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([np.unique(shingle_hashes(t, n_words)).view(np.int64) for t in c.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "s"])
+                digests = b"".join(xxhash.xxh128_digest(b" ".join((t or "").encode().lower().split())) for t in c.column(2).to_pylist())
+                both = np.frombuffer(digests, ">i8").reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(both[:, 1]), pa.array(both[:, 0])], names=["doc_id", "row_key", "text", "s1", "s2"])
+
+    src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
+    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, text string, s1 bigint, s2 bigint")
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes, two for each hash or more: whether a set has an odd number of it. Sets that differ in d hashes differ in d bits at most.
 
-    found = of.join(src, of["t_id"].eqNullSafe(src["doc_id"]) & (of["t_key"] == src["row_key"])).select("node", "text").mapInArrow(sets, "node bigint, s array<bigint>")
-    s = cut(found).dropDuplicates(["node"])  # repeated rows have one node
-    both = close.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    n = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.where(n >= F.lit(similarity) * (F.size("sa") + F.size("sb") - n) - 1e-9).select("a", "b"))
+    The number of words is a power of two; the halves of a fingerprint folded together by
+    exclusive or are that of half as many.
+    """
+    words = max(PARITY_WORDS, 1 << math.ceil(math.log2(max(1, len(h) / 32))))
+    odd = np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_match(na: np.ndarray, nb: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of a (rows) and each of b (columns): whether sets of these sizes and parity fingerprints can be that similar."""
+    words = min(map(len, [*a, *b]))
+    x, y = (np.stack([_folded(p, words) for p in side]).view(np.uint64) for side in (a, b))
+    differ = np.zeros((len(a), len(b)), np.int64)
+    for w in range(words):
+        differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    na, nb = na[:, None], nb[None, :]
+    return (differ <= (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9)
+
+
+def _pairs_in_lists(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of different labels in one list that can match, from rows (key, n, node, label, bits) in this order; a list is looked at in tiles, as far as sizes go."""
+
+    def lists() -> Iterator[list[tuple]]:
+        held: list[tuple] = []
+        for batch in batches:
+            key, n, node, label = (batch.column(i).to_numpy() for i in range(4))
+            for i in range(batch.num_rows):
+                if held and held[-1][0] != key[i]:
+                    yield held
+                    held = []
+                held.append((key[i], n[i], node[i], label[i], batch.column(4)[i].values.to_numpy()))
+        if held:
+            yield held
+
+    seen: set[tuple[int, int]] = set()
+    for rows in lists():
+        n, node, label = (np.array([r[c] for r in rows]) for c in (1, 2, 3))
+        bits = [r[4] for r in rows]
+        for lo in range(0, len(rows), TILE):
+            i = slice(lo, lo + TILE)
+            for at in range(lo, len(rows), TILE):
+                j = slice(at, at + TILE)
+                if n[at] * similarity > n[i][-1] + 1e-9:
+                    break
+                fit = may_match(n[i], n[j], bits[i], bits[j], similarity) & (label[i][:, None] != label[j][None, :])
+                x, y = (node[side][at_] for side, at_ in zip((i, j), np.nonzero(fit), strict=True))
+                seen.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+        if len(seen) > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            seen.clear()
+    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
+def _verified(each: DataFrame, bits: DataFrame, pairs: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """Of pairs (a, na, b, nb) of nodes with the sizes of their sets those whose shingles are similar enough; cut."""
+    asked = pairs.where("a <> b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).distinct()
+    both_bits = asked.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([v.values.to_numpy() for v in b.column(i)] for i in (4, 5))
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            keep = [bool(may_match(na[i : i + 1], nb[i : i + 1], x[i : i + 1], y[i : i + 1], similarity)[0, 0]) for i in range(b.num_rows)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _compared(each, cut(both_bits.mapInArrow(possible, "a bigint, b bigint")), n_words, similarity)
+
+
+def _compared(each: DataFrame, close: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """The pairs of close, a table of cut() that goes, whose shingles are similar enough; cut."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in range(0, b.num_rows, 200):
+                c = b.slice(part, 200)
+                keep = []
+                for x, y in zip(c.column(2).to_pylist(), c.column(3).to_pylist(), strict=True):
+                    sa, sb = shingle_set(x, n_words), shingle_set(y, n_words)
+                    n = len(np.intersect1d(sa, sb, assume_unique=True))
+                    keep.append(n >= similarity * (len(sa) + len(sb) - n) - 1e-9)
+                yield c.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # Texts travel, as their sets of hashes are twice as large.
+    both = close.join(each.toDF("a", "ta"), "a").join(each.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    links = cut(both.mapInArrow(alike, "a bigint, b bigint"))
+    discard(close)
+    return links
 
 
 def keep_one_of_each(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
