@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +25,63 @@ from pyspark.sql import functions as F
 
 from runforge.llm.common import cut, load, row_key, shuffle_partitions
 
-DEPTH = 4
-BLOCK_BYTES = 16_000_000
+DEPTH = 5
+BLOCK_BYTES = 24_000_000
+#: Blocks for each task that can run at once, if the corpus is large enough for blocks of LEAST_BYTES.
+BLOCKS_FOR_EACH, LEAST_BYTES = 3, 1_000_000
+#: Subtrees of so many nearest bytes are built whole; with a depth of 5 those of the given texts have some thousands of grams.
+TREE = 3
+#: Positions of text looked at at once, and grams whose trees are built at once.
+WINDOW, SLICE = 2_000_000, 200_000
 #: No byte of UTF-8: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFE, 0xFF
 
 
-def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of texts, and where each text's begin: from the nearest byte of context down to the symbol itself."""
-    joined = b"".join(x for t in texts for x in (bytes([BEFORE]) * depth, t, bytes([END])))
-    a = np.frombuffer(joined, np.uint8)
-    n = len(a) - depth
-    gram = np.zeros(n, np.uint64)
-    for d in range(1, depth + 1):
-        gram = (gram << np.uint64(8)) | a[depth - d : depth - d + n]
-    gram = (gram << np.uint64(8)) | a[depth:]
-    sizes = np.array([len(t) + 1 for t in texts])
-    starts = np.concatenate([[0], np.cumsum(sizes + depth)[:-1]])
-    keep = a[depth:] != BEFORE
-    return gram[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(starts) else starts
+class Grams:
+    """The grams of texts, WINDOW positions at a time: from the nearest byte of context down to the symbol itself."""
+
+    def __init__(self, texts: Iterable[bytes], depth: int = DEPTH):
+        before, end, joined, sizes = bytes([BEFORE]) * depth, bytes([END]), bytearray(), []
+        for t in texts:
+            joined += before + t + end
+            sizes.append(len(t) + 1 + depth)
+        self.depth, self.bytes = depth, np.frombuffer(joined, np.uint8)
+        #: Where each text begins among the positions that have a gram or stand before a text.
+        self.first = np.cumsum([0, *sizes], dtype=np.int64)[:-1]
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(grams, the text of each)."""
+        n = max(0, len(self.bytes) - self.depth)
+        for lo in range(0, n, WINDOW):
+            hi = min(n, lo + WINDOW)
+            gram = np.zeros(hi - lo, np.uint64)
+            for d in range(1, self.depth + 1):
+                gram = (gram << np.uint64(8)) | self.bytes[lo + self.depth - d : hi + self.depth - d]
+            symbol = self.bytes[lo + self.depth : hi + self.depth]
+            keep = symbol != BEFORE
+            gram = ((gram << np.uint64(8)) | symbol)[keep]
+            yield gram, np.searchsorted(self.first, np.flatnonzero(keep) + lo, side="right") - 1
+
+    def counts(self, teaches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct grams, how often they occur in the texts that teach)."""
+        every, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for gram, text in self.windows():
+            k, n = np.unique(gram, return_counts=True)
+            other, less = np.unique(gram[~teaches[text]], return_counts=True)
+            n[np.searchsorted(k, other)] -= less
+            both = np.union1d(every, k)
+            added = np.zeros(len(both), np.int64)
+            added[np.searchsorted(both, every)] = counts
+            added[np.searchsorted(both, k)] += n
+            every, counts = both, added
+        return every, counts
+
+    def sums(self, gram: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """For each of n texts the sum of its grams' values; gram is sorted and has all of them."""
+        out = np.zeros(n)
+        for g, text in self.windows():
+            out += np.bincount(text, value[np.searchsorted(gram, g)], n)
+        return out
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -107,32 +145,70 @@ def _along(levels, gram: np.ndarray, depth: int, start: tuple[np.ndarray, np.nda
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = list(batches)
-    return pa.Table.from_batches(got) if got else None
+def _slices(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by gram in tables of SLICE rows or a few more that part no subtree of TREE nearest bytes; the gram is column 0."""
+    held: list[pa.RecordBatch] = []
+    rows, shift = 0, np.uint64(8 * (depth + 1 - min(TREE, depth)))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= SLICE:
+            t = pa.Table.from_batches(held)
+            tree = t[0].to_numpy().view(np.uint64) >> shift
+            other = np.flatnonzero(tree != tree[-1])
+            if len(other):
+                at = int(other[-1]) + 1
+                yield t.slice(0, at)
+                held = t.slice(at).combine_chunks().to_batches()
+                rows = t.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def gram_probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, value): log10 probability of every gram of grams (gram, n), n counted in training and 0 for others.
 
-    Subtrees of the two nearest bytes are independent below depth 2, so each task takes
-    whole ones. What stands above has 255 nodes for each nearest byte at most.
+    Subtrees of the two nearest bytes are independent below depth 2, so each task takes whole
+    ones, sorted, and builds them from subtrees of TREE nearest bytes, SLICE grams at a
+    time: a heavy context is never in memory as a whole. The nodes of depth 2 become a table
+    whose rows come before the grams below them on the way down. What stands above has 255
+    nodes for each nearest byte at most.
     """
     if depth < 2:
         raise ValueError("depth must be 2 or more")
-    dealt = cut(grams.withColumn("near", F.shiftrightunsigned("gram", 8 * (depth - 1)))).repartition(shuffle_partitions(grams.sparkSession), "near").select("gram", "n")
+    low = min(TREE, depth)
+    parts = shuffle_partitions(grams.sparkSession)
+    near = F.shiftrightunsigned("gram", 8 * (depth - 1))
+    dealt = cut(grams).withColumn("near", near)
+    cols2 = ["key", "n0", "n1", "weighted", "weight"]
 
     def bottom_up(batches):
-        t = _rows(batches)
-        if t is None:
-            return
-        n = t["n"].to_numpy()
-        gram = t["gram"].to_numpy().view(np.uint64)[n > 0]
-        k, a, b, _, weighted, _ = _levels(gram, n[n > 0], 2, depth)[2]
-        cols = [(k >> np.uint64(16)).astype(np.int64), (k & np.uint64(255)).astype(np.int64), a, b, weighted]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["nearest", "node", "n0", "n1", "weighted"])
-
-    top = dealt.mapInArrow(bottom_up, "nearest bigint, node bigint, n0 double, n1 double, weighted double").groupBy("nearest", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("weighted"))
+        parts_of: list[np.ndarray] = []  # nodes of depth 3 of the context of two bytes that isn't finished
+
+        def finish(nodes: np.ndarray) -> pa.RecordBatch:
+            key = nodes[0].view(np.uint64)
+            two = _up(((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255)), nodes[1], nodes[2], nodes[3])
+            return pa.RecordBatch.from_arrays([pa.array(two[0].view(np.int64)), *(pa.array(two[i]) for i in (1, 2, 4, 5))], names=cols2)
+
+        for t in _slices(batches, depth):
+            k, a, b, _, weighted, weight = _levels(t[0].to_numpy().view(np.uint64), t[1].to_numpy(), low, depth)[low]
+            if low == 2:
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *map(pa.array, (a, b, weighted, weight))], names=cols2)
+                continue
+            nodes = np.concatenate([*parts_of, np.array([k.view(np.float64), a, b, weighted])], axis=1)
+            # Rows are in order of signed grams: the context that the slice ends in goes on.
+            open_ = nodes[0].view(np.uint64) >> np.uint64(16) == t[0].to_numpy().view(np.uint64)[-1] >> np.uint64(8 * (depth - 1))
+            if not open_.all():
+                yield finish(np.ascontiguousarray(nodes[:, ~open_]))
+            parts_of = [np.ascontiguousarray(nodes[:, open_])]
+        if parts_of:
+            yield finish(parts_of[0])
+
+    counted = dealt.where("n > 0").select("gram", "n", "near").repartition(parts, "near").sortWithinPartitions("gram").select("gram", "n")
+    two = cut(counted.mapInArrow(bottom_up, "key bigint, n0 double, n1 double, weighted double, weight double"))
+    top = two.groupBy(F.shiftrightunsigned("key", 16).alias("nearest"), F.col("key").bitwiseAND(F.lit(255)).alias("node")).agg(F.sum("n0"), F.sum("n1"), F.sum("weighted"))
     got = np.array([tuple(r) for r in top.collect()], np.float64).reshape(-1, 5)  # 256 x 255 rows at most
     one = _up((got[:, 0].astype(np.uint64) << np.uint64(8)) | got[:, 1].astype(np.uint64), got[:, 2], got[:, 3], got[:, 4])
     root = _up(one[0] & np.uint64(255), one[1], one[2], one[4])
@@ -144,17 +220,35 @@ def gram_probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
             left[at] *= 1 - w
 
     def top_down(batches):
-        t = _rows(batches)
-        if t is None:
-            return
-        n = t["n"].to_numpy()
-        gram = t["gram"].to_numpy().view(np.uint64)
-        levels = _levels(gram[n > 0], n[n > 0], 2, depth)
-        for part in range(0, len(gram), 200_000):
-            g = gram[part : part + 200_000]
+        above = np.empty((4, 0))  # nodes of depth 2: key, counts, weight
+        for t in _slices(batches, depth):
+            key = t[2].to_numpy(zero_copy_only=False)
+            node = ~np.isnan(t[3].to_numpy(zero_copy_only=False))
+            gram, n = t[0].to_numpy().view(np.uint64), t[1].to_numpy()
+            above = np.concatenate([above, np.array([key[node].astype(np.int64).view(np.float64), *(t[i].to_numpy(zero_copy_only=False)[node] for i in (3, 4, 5))])], axis=1)
+            g, n = gram[~node], n[~node]
+            levels = _levels(g[n > 0], n[n > 0], low, depth)
+            order = np.argsort(above[0].view(np.uint64))
+            k, a, b, weight = above[:, order]
+            k = np.ascontiguousarray(k).view(np.uint64)
+            levels[2] = (k, a, b, None, None, weight)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(_along(levels, g, depth, (mixed, left), 2) / math.log(10))], names=["gram", "value"])
+            last = gram[-1] >> np.uint64(8 * (depth - 1))
+            above = np.ascontiguousarray(above[:, np.ascontiguousarray(above[0]).view(np.uint64) >> np.uint64(8) == last])
 
-    return dealt.mapInArrow(top_down, "gram bigint, value double")
+    # A node's row lies before all grams of its context: it takes the smallest of them.
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("n0", "double"), ("n1", "double"), ("weight", "double"))]
+    nodes = two.select(F.shiftleft(F.shiftrightunsigned("key", 8), 8 * (depth - 1)).alias("gram"), F.lit(0).cast("bigint").alias("n"), "key", "n0", "n1", "weight", F.shiftrightunsigned("key", 8).alias("near"))
+    rows = nodes.unionByName(dealt.select("gram", "n", *none, "near"))
+    ordered = rows.repartition(parts, "near").sortWithinPartitions("gram", F.col("key").isNull()).drop("near")
+    return ordered.mapInArrow(top_down, "gram bigint, value double")
+
+
+def _lowered(t: pa.Table) -> Iterator[bytes]:
+    """The texts of a table as bytes, some at a time."""
+    for part in range(0, t.num_rows, 500):
+        for x in t["text"].slice(part, 500).to_pylist():
+            yield x.encode().lower()
 
 
 def in_training(doc_id: str = "doc_id"):
@@ -175,26 +269,24 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
     spark = docs.sparkSession
     src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     total = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(1))).first()[0]
-    n_blocks = -(-total // block_bytes)
+    n_blocks = max(-(-total // block_bytes), min(-(-total // LEAST_BYTES), BLOCKS_FOR_EACH * spark.sparkContext.defaultParallelism))
     src = src.withColumns({"teaches": in_training(), "block": F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_blocks)).cast("int")})
-    blocks = src.repartition(min(n_blocks, 1_000_000), "block")
+    blocks = src.repartition(min(2 * n_blocks, 1_000_000), "block")
 
     def contents(t: pa.Table) -> pa.Table:
-        texts = [x.encode().lower() for x in t["text"].to_pylist()]
-        teaches = t["teaches"].to_pylist()
-        taught, words = Counter(), set()
-        for x, yes in zip(texts, teaches, strict=True):
-            found = x.split()
-            words.update(found)
-            if yes:
-                taught.update(found)
-        taught[b""] = sum(teaches)  # the end of a text
-        words.add(b"")
+        teaches = np.array(t["teaches"].to_pylist(), bool)
+        taught, words = Counter({b"": int(teaches.sum())}), {b""}  # b"" is the end of a text
+
+        def texts() -> Iterator[bytes]:
+            for i, x in enumerate(_lowered(t)):
+                found = x.split()
+                words.update(found)
+                if teaches[i]:
+                    taught.update(found)
+                yield x
+
+        every, counts = Grams(texts(), depth).counts(teaches)
         words = list(words)
-        every, counts = np.unique(grams_of(texts, depth)[0], return_counts=True)
-        if not all(teaches):
-            other, minus = np.unique(grams_of([x for x, yes in zip(texts, teaches, strict=True) if not yes], depth)[0], return_counts=True)
-            counts[np.searchsorted(every, other)] -= minus
         n, m = len(words), len(every)
         block = t["block"][0].as_py()
         return pa.table({
@@ -220,18 +312,18 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
         order = np.argsort(gram)
         gram, value = gram[order], value[~is_word][order]
         rows = []
-        all_texts = [x.encode().lower() for x in t["text"].to_pylist()]
-        for part in range(0, len(all_texts), 500):
-            texts = all_texts[part : part + 500]
-            g, starts = grams_of(texts, depth)
-            sums = np.add.reduceat(value[np.searchsorted(gram, g)], starts)
-            for x, s in zip(texts, sums, strict=True):
+
+        def texts() -> Iterator[bytes]:
+            for x in _lowered(t):
                 c = np.array([*map(count.__getitem__, x.split()), count[b""]])
-                rows.append((len(x), len(c), int((c > 0).sum()), float(np.log10(c + 1).sum() - len(c) * bottom), float(s)))
-        n_bytes, n_tokens, n_known, base, s = (np.array(c) for c in zip(*rows, strict=True))
+                rows.append((len(x), len(c), int((c > 0).sum()), float(np.log10(c + 1).sum() - len(c) * bottom)))
+                yield x
+
+        sums = Grams(texts(), depth).sums(gram, value, t.num_rows)
+        n_bytes, n_tokens, n_known, base = (np.array(c) for c in zip(*rows, strict=True))
         return pa.table({
             "doc_id": t["doc_id"], "row_key": t["row_key"], "teaches": t["teaches"], "n_bytes": n_bytes, "n_tokens": n_tokens, "n_known": n_known,
-            "base_score": base, "score": s, "bits_per_byte": -s * math.log2(10) / (n_bytes + 1),
+            "base_score": base, "score": sums, "bits_per_byte": -sums * math.log2(10) / (n_bytes + 1),
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()

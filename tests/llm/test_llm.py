@@ -220,6 +220,17 @@ def test_near_duplicates_equal_the_exact_join(spark, monkeypatch, buckets):
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_parity_fingerprints_never_rule_out_a_match():
+    rng = np.random.default_rng(25)
+    for _ in range(300):
+        whole = rng.integers(0, 2**63, rng.integers(1, 3000)).astype(np.uint64)
+        a, b = (np.unique(whole[rng.random(len(whole)) < rng.choice([0.85, 0.95, 1])]) for _ in range(2))
+        n = len(np.intersect1d(a, b))
+        alike = bool(n) and n >= 0.8 * (len(a) + len(b) - n) - 1e-9
+        can = simhash.may_match(np.array([len(a)]), np.array([len(b)]), [simhash.parity(a)], [simhash.parity(b)], 0.8)[0, 0]
+        assert can or not alike
+
+
 # 3
 
 
@@ -286,6 +297,29 @@ def test_quality(spark):
     assert len({r.score for r in quality.score_quality(docs_of(spark, rows), marks.limit(0)).collect()}) == 1
 
 
+def test_discriminant_equals_densities_by_the_book(spark):
+    """Scores from means, covariances and determinants computed at once in numpy, without sums or factors."""
+    rng = random.Random(24)
+    word = lambda: "".join(rng.choice("abcXYZ.,!#1") for _ in range(rng.randint(1, 8)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60))) if i % 3 else ("spam " * rng.randint(1, 40)).upper()) for i in range(300)] + [(None, "no id"), (1000, None)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 300, 2)]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    x = {i: np.array(quality.statistics(t)) for i, t in rows}
+    teach = [(i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    of = [np.array([x[i] for i, q in teach if q == c]) for c in (0, 1)]
+    covs = [np.cov(a.T, bias=True) for a in of]
+    pooled = sum(len(a) * c for a, c in zip(of, covs, strict=True)) / len(teach)
+    pooled = (1 - quality.SHRINK_TO_DIAGONAL) * pooled + quality.SHRINK_TO_DIAGONAL * np.diag(np.diag(pooled))
+    covs = [(1 - quality.SHRINK_TO_POOLED) * c + quality.SHRINK_TO_POOLED * pooled + quality.LEAST_VARIANCE * np.eye(len(c)) for c in covs]
+    log = lambda v, a, c: -0.5 * ((v - a.mean(0)) @ np.linalg.solve(c, v - a.mean(0)) + np.linalg.slogdet(c)[1])
+    odds = math.log((len(of[1]) + 0.5) / (len(of[0]) + 0.5))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs_of(spark, rows), marks).collect()}
+    for i, v in x.items():
+        d = log(v, of[1], covs[1]) - log(v, of[0], covs[0]) + odds
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, d)))), abs=1e-6)
+    assert quality.score_quality(docs_of(spark, rows).limit(0), marks).count() == 0
+
+
 # 7
 
 
@@ -335,10 +369,10 @@ def test_grams_in_windows_and_trees_in_slices(monkeypatch):
 
     texts = [b"", b"abcab", "héé".encode(), b"abc" * 9]
     naive = [[tuple(s[p - k] for k in range(1, 5)) + (s[p],) for p in range(4, len(s))] for t in texts for s in [bytes([0xFE]) * 4 + t + b"\xff"]]
-    of = np.array([1, 0, 2, 1])
+    of = np.array([True, False, True, True])
     for window in (1, 7, 1000):
         monkeypatch.setattr(context_tree, "WINDOW", window)
-        g = context_tree.Grams(texts)
+        g = context_tree.Grams(texts, 4)
         k, n = g.counts(of)
         want = collections.Counter()
         for i, x in enumerate(naive):
@@ -491,6 +525,41 @@ def test_pipeline_stages_keep_columns(spark):
     assert docs.where("doc_id >= 1000").count() == 30
 
 
+def test_pipeline_equals_brute_force(spark):
+    """All five stages over the smallest table: lines, pairs and items by loops, tokens by the library; the classifier's own decisions."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scored = quality.score_quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    good = {r.doc_id for r in scored if r.predicted}
+    docs = {i: t for i, t in docs.items() if i in good}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    n = collections.Counter(k for t in docs.values() for k in {key(x) for x in t.split("\n")} if k)
+    docs = {i: "\n".join(x for x in t.split("\n") if n[key(x)] < 10) for i, t in docs.items()}
+    assert any(c >= 10 for c in n.values())
+    kept = {c for _, c in brute_near_duplicates(list(docs.items()))}
+    assert len(kept) < len(docs)
+    sh = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] if w for i in range(max(1, len(w) - 4))}
+    items = [sh(r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {i for i in kept for a in [sh(docs[i])] if not any(b and len(a & b) >= 0.8 * len(b) - 1e-9 for b in items)}
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(got) == clean
+    for i, r in got.items():
+        assert r.ids == lib.encode(docs[i], add_special_tokens=False).ids
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_rejected_documents_go(spark):
+    docs = docs_of(spark, [(i, "good words here. " * 20 if i % 2 else "BUY!!! ### " * 20) for i in range(60)] + EDGES)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    left = quality.keep_accepted(clashing(docs), marks)
+    assert {r.doc_id for r in left.collect() if r.doc_id is not None and r.doc_id > 10} == set(range(11, 60, 2))
+    assert "row_key" in left.columns
+    assert quality.keep_accepted(docs.limit(0), marks).count() == 0
+
+
 @pytest.mark.parametrize("rows", [[], EDGES])
 def test_decontaminate_and_bpe_stages(spark, rows):
     docs = docs_of(spark, rows)
