@@ -300,6 +300,11 @@ def _pairs_in_lists(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
             yield held
 
     seen: set[tuple[int, int]] = set()
+
+    def found() -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        seen.clear()
+
     for rows in lists():
         n, node, label = (np.array([r[c] for r in rows]) for c in (1, 2, 3))
         bits = [r[4] for r in rows]
@@ -312,10 +317,9 @@ def _pairs_in_lists(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
                 fit = may_match(n[i], n[j], bits[i], bits[j], similarity) & (label[i][:, None] != label[j][None, :])
                 x, y = (node[side][at_] for side, at_ in zip((i, j), np.nonzero(fit), strict=True))
                 seen.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-        if len(seen) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.int64()) for c in (0, 1)], names=["a", "b"])
-            seen.clear()
-    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            if len(seen) > 100_000:
+                yield from found()
+    yield from found()
 
 
 def _verified(each: DataFrame, bits: DataFrame, pairs: DataFrame, n_words: int, similarity: float) -> DataFrame:

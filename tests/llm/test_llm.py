@@ -231,6 +231,31 @@ def test_parity_fingerprints_never_rule_out_a_match():
         assert can or not alike
 
 
+@pytest.mark.parametrize("tile", [3, 512])
+def test_pairs_in_lists(monkeypatch, tile):
+    """Tiles find what every pair of a list would, whatever the widths of fingerprints."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(26)
+    rows, want = [], set()
+    for key in range(12):
+        base = rng.integers(0, 2**63, 2500).astype(np.uint64)
+        sets = [np.unique(base[: rng.choice([5, 60, 1000, 1100, 2500])]) for _ in range(rng.integers(1, 12))]
+        sets.sort(key=len)
+        mine = [(key, len(h), 1000 * key + i, int(rng.integers(3)), simhash.parity(h)) for i, h in enumerate(sets)]
+        rows += mine
+        for x, y in itertools.combinations(mine, 2):
+            can = simhash.may_match(np.array([x[1]]), np.array([y[1]]), [x[4]], [y[4]], 0.8)[0, 0]
+            if x[3] != y[3] and can:
+                want.add((x[2], y[2]))
+    assert len(want) > 20
+    batch = lambda some: pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in some], pa.int64()) for c in range(4)), pa.array([r[4] for r in some], pa.list_(pa.int64()))], names=["key", "n", "node", "label", "bits"])
+    got = [tuple(p.values()) for b in simhash._pairs_in_lists((batch(rows[i : i + 5]) for i in range(0, len(rows), 5)), 0.8) for p in b.to_pylist()]
+    assert want <= set(got)
+    assert all(a // 1000 == b // 1000 for a, b in got)
+
+
 # 3
 
 
