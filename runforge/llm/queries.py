@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runforge.llm import bpe, chroma, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, simhash, spelling, token_align, url_filter
+from runforge.llm import bpe, chroma, context_tree, decontaminate, html_extract, line_dedup, minhash, quality, repeats, simhash, spelling, token_align, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_repeats": repeats.op9_repeats,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_minhash": minhash.op11_minhash,
     "op12_spelling": spelling.op12_spelling,
     "op13_token_align": token_align.op13_token_align,
 }
