@@ -49,43 +49,63 @@ def eval_summary(best: DataFrame, cohorts: dict[str, str]) -> DataFrame:
     return row.select("total_items", *(F.when(F.col("total_items") > 0, F.col(c)).alias(c) for c in row.columns[1:]))
 
 
-def per_task(samples: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """(keys, metric, at_1, at_k) for each task: mean, and any (flags) or best (coverage) of its samples; null counts as failed or 0."""
-    aggs = []
-    for m in BOOL_METRICS:
-        hit = F.coalesce(F.col(m), F.lit(False)).cast("double")
-        aggs += [F.avg(hit).alias(f"{m}_1"), F.max(hit).alias(f"{m}_k")]
-    cov = F.coalesce("overall_coverage", F.lit(0.0))
-    aggs += [F.avg(cov).alias("overall_coverage_1"), F.max(cov).alias("overall_coverage_k")]
-    metrics = [*BOOL_METRICS, "overall_coverage"]
-    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_1").alias("at_1"), F.col(f"{m}_k").alias("at_k")) for m in metrics)))
-    return samples.groupBy(*keys).agg(*aggs).select(*keys, rows.alias("m")).select(*keys, "m.*")
-
-
-def pass_at_k(samples: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+def per_task(samples: DataFrame, keys: tuple[str, ...] = KEY, contexts: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """(keys, metric, at_1, at_k) for each task: mean, and any (flags) or best (coverage) of its samples; null counts as failed or 0.
+
+    With contexts and n every context counts n samples, repeat_index 0 to n - 1, of which
+    those that are missing failed with coverage 0. No row is made for them: sums are divided
+    by n, and a context without any sample has zeros. Rates over n = 0 are 0.
+    """
+    values = {m: F.coalesce(F.col(m), F.lit(False)).cast("double") for m in BOOL_METRICS} | {"overall_coverage": F.coalesce("overall_coverage", F.lit(0.0))}
+    if contexts is not None:
+        samples = samples.where(F.col("repeat_index").between(0, n - 1))
+    aggs = [f(v).alias(f"{m}_{x}") for m, v in values.items() for f, x in ((F.sum, "sum"), (F.max, "k"))]
+    got = samples.groupBy(*keys).agg(F.count("*").alias("_n"), *aggs)
+    if contexts is not None:
+        got = contexts.select(*keys).distinct().join(got, list(keys), "left").withColumn("_n", F.lit(n))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    each = [F.struct(F.lit(m).alias("metric"), share(zero(F.col(f"{m}_sum")), F.col("_n")).alias("at_1"), zero(F.col(f"{m}_k")).alias("at_k")) for m in values]
+    return got.select(*keys, F.explode(F.array(*each)).alias("m")).select(*keys, "m.*")
+
+
+def macro(tasks: DataFrame) -> DataFrame:
+    """(metric, at_1, at_k): means over the tasks of per_task()."""
+    return tasks.groupBy("metric").agg(F.avg("at_1").alias("at_1"), F.avg("at_k").alias("at_k"))
+
+
+def pass_at_k(samples: DataFrame, keys: tuple[str, ...] = KEY, contexts: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """(metric, at_1, at_k): means over tasks of per_task()."""
-    return per_task(samples, keys).groupBy("metric").agg(F.avg("at_1").alias("at_1"), F.avg("at_k").alias("at_k"))
+    return macro(per_task(samples, keys, contexts, n))
 
 
-def mean_sim_pass_cov(samples: DataFrame, padded: bool = False) -> DataFrame:
-    """One row (at_1, at_k): mean and maximum over repeat indices of each index's mean coverage.
+def by_repeat(samples: DataFrame) -> DataFrame:
+    """(repeat_index, n_pass, total): how many samples passed simulation, and the sum of their coverage. As many rows as a context has samples."""
+    passed = F.col("is_pass_xrun")
+    return samples.groupBy("repeat_index").agg(F.count_if(passed).alias("n_pass"), F.sum(F.when(passed, F.col("overall_coverage"))).alias("total"), F.count(F.when(passed, F.col("overall_coverage"))).alias("n_cov"))
 
-    Unpadded, only samples that passed simulation count, and an index without any is left
-    out; padded, the others count as 0.
-    """
-    if padded:
-        by = samples.groupBy("repeat_index").agg(F.avg(F.when(F.col("is_pass_xrun"), F.coalesce("overall_coverage", F.lit(0.0))).otherwise(0.0)).alias("m"))
-    else:
-        by = samples.where("is_pass_xrun").groupBy("repeat_index").agg(F.avg("overall_coverage").alias("m"))
-    return by.agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("at_1"), F.coalesce(F.max("m"), F.lit(0.0)).alias("at_k"))
 
+def mean_sim_pass_cov(samples: DataFrame, contexts: DataFrame | None = None, n: int | None = None, by: DataFrame | None = None) -> DataFrame:
+    """One row (at_1, at_k): mean and maximum over repeat indices of each index's mean coverage.
 
-def cohort_pass_rates(samples: DataFrame, cohorts: dict[str, str]) -> DataFrame:
-    """(cohort, n_tasks, at_1, at_k) of passed targets over the tasks whose id has the cohort's prefix; empty cohorts have zeros."""
-    tasks = per_task(samples).where("metric = 'is_pass_targets'")
+    Only samples that passed simulation count, and an index without any is left out. With
+    contexts and n all contexts count at each index below n: what didn't pass or is missing
+    counts as 0, by division and not by rows. by is by_repeat(samples) if that is at hand.
+    """
+    by = by_repeat(samples) if by is None else by
+    if contexts is None:
+        m = F.try_divide("total", "n_cov")
+        return by.where("n_pass > 0").agg(F.coalesce(F.avg(m), F.lit(0.0)).alias("at_1"), F.coalesce(F.max(m), F.lit(0.0)).alias("at_k"))
+    of = contexts.select(*KEY).distinct().agg(F.count("*")).scalar()
+    row = by.where(F.col("repeat_index").between(0, n - 1)).agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.coalesce(F.max("total"), F.lit(0.0)).alias("top"))
+    return row.select(share(F.col("total"), of * n).alias("at_1"), share(F.col("top"), of).alias("at_k"))
+
+
+def cohort_pass_rates(tasks: DataFrame, cohorts: dict[str, str]) -> DataFrame:
+    """(cohort, n_tasks, at_1, at_k) of passed targets over the tasks of per_task() whose id has the cohort's prefix; empty cohorts have zeros."""
+    passed = tasks.where("metric = 'is_pass_targets'")
     of = F.explode(F.filter(F.array(*(F.when(F.col("context_id").startswith(p), F.lit(c)) for c, p in cohorts.items())), lambda c: c.isNotNull()))
-    got = tasks.select("at_1", "at_k", of.alias("cohort")).groupBy("cohort").agg(F.count("*").alias("n"), F.avg("at_1").alias("a"), F.avg("at_k").alias("b"))
-    every = samples.sparkSession.sql("select explode(array(" + ", ".join(f"'{c}'" for c in cohorts) + ")) as cohort")
+    got = passed.select("at_1", "at_k", of.alias("cohort")).groupBy("cohort").agg(F.count("*").alias("n"), F.avg("at_1").alias("a"), F.avg("at_k").alias("b"))
+    every = tasks.sparkSession.sql("select explode(array(" + ", ".join(f"'{c}'" for c in cohorts) + ")) as cohort")
     return every.join(got, "cohort", "left").select("cohort", F.coalesce("n", F.lit(0)).alias("n_tasks"), F.coalesce("a", F.lit(0.0)).alias("at_1"), F.coalesce("b", F.lit(0.0)).alias("at_k"))
 
 
@@ -98,15 +118,20 @@ def token_usage(rounds: DataFrame, keys: tuple[str, ...] = (*KEY, "repeat_index"
 
 
 def pad_missing(samples: DataFrame, contexts: DataFrame, n: int) -> DataFrame:
-    """samples, with a failed zero sample for each repeat index below n that a context lacks."""
-    every = contexts.select(*KEY).distinct().withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    got = samples.withColumn("_got", F.lit(True)).drop("ok", "error") if "ok" not in samples.columns else samples.withColumn("_got", F.lit(True))
-    out = every.join(got, [*KEY, "repeat_index"], "left")
-    here = F.col("_got").isNotNull()
-    cols = {m: F.when(here, F.col(m)).otherwise(False) for m in BOOL_METRICS} | {"overall_coverage": F.when(here, F.col("overall_coverage")).otherwise(0.0)}
-    cols["ok"] = F.when(here, F.col("ok") if "ok" in got.columns else F.lit(True)).otherwise(False)
-    cols["error"] = F.when(here, F.col("error") if "error" in got.columns else F.lit(None).cast("string")).otherwise("missing_direct_infer_run")
-    return out.withColumns(cols).drop("_got")
+    """The samples of contexts at repeat indices below n, with a failed zero sample for each index that a context lacks; none if n is 0.
+
+    Rows are made for what is missing only; reports don't need them (see per_task()).
+    """
+    every = contexts.select(*KEY).distinct()
+    mine = samples.where(F.col("repeat_index").between(0, n - 1)).join(every, list(KEY), "left_semi")
+    has = mine.groupBy(*KEY).agg(F.collect_set("repeat_index").alias("_has"))
+    none = F.array().cast("array<int>")
+    wanted = F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else none
+    lacks = every.join(has, list(KEY), "left").select(*KEY, F.explode(F.array_except(wanted, F.coalesce("_has", none))).alias("repeat_index"))
+    zeros = {m: F.lit(False) for m in BOOL_METRICS} | {"overall_coverage": F.lit(0.0), "ok": F.lit(False), "error": F.lit("missing_direct_infer_run")}
+    for c, v in (("ok", F.lit(True)), ("error", F.lit(None).cast("string"))):
+        mine = mine if c in mine.columns else mine.withColumn(c, v)
+    return mine.unionByName(lacks.withColumns(zeros), allowMissingColumns=True)
 
 
 def run_inventory(runs: DataFrame, contexts: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runforge.functions import text
+from runforge.lineage import cut
 from runforge.operators import attach, blend, coverage, designs, rounds, scoring, selection, sft, similarity
 from runforge.operators.scoring import KEY
 
@@ -74,15 +75,21 @@ def refine_training_rows(rows: DataFrame, ids: DataFrame | None, order_col: str,
 
 
 def evaluate_samples(samples: DataFrame, contexts: DataFrame, n: int, cohorts: dict[str, str]) -> dict[str, DataFrame]:
-    """Reports over scored samples (repeat_index below n): metrics, per task, mean coverage unpadded and padded, cohorts, tokens."""
-    padded = scoring.pad_missing(samples, contexts, n)
+    """Reports over scored samples (repeat_index below n): metrics, per task, mean coverage unpadded and padded, cohorts, tokens.
+
+    Samples are read once, without their texts; what is missing of n is accounted for and not made.
+    """
+    stats = [c for c in scoring.STATS if c in samples.columns]
+    slim = cut(samples.select(*KEY, "repeat_index", *scoring.BOOL_METRICS, "overall_coverage", *stats))
+    every = slim if contexts is samples else cut(contexts.select(*KEY).distinct())
+    tasks, by = cut(scoring.per_task(slim, KEY, every, n)), scoring.by_repeat(slim)
     return {
-        "metrics": scoring.pass_at_k(padded),
-        "per_task": scoring.per_task(padded),
-        "mean_cov": scoring.mean_sim_pass_cov(samples),
-        "mean_cov_padded": scoring.mean_sim_pass_cov(padded, padded=True),
-        "cohorts": scoring.cohort_pass_rates(padded, cohorts),
-    } | ({"tokens": scoring.token_usage(samples)} if "prompt_tokens" in samples.columns else {})
+        "metrics": scoring.macro(tasks),
+        "per_task": tasks,
+        "mean_cov": scoring.mean_sim_pass_cov(slim, by=by),
+        "mean_cov_padded": scoring.mean_sim_pass_cov(slim, every, n, by=by),
+        "cohorts": scoring.cohort_pass_rates(tasks, cohorts),
+    } | ({"tokens": scoring.token_usage(slim)} if len(stats) == len(scoring.STATS) else {})
 
 
 def select_splits(runs: DataFrame, gap: float = 0.1, keep_worst_first: bool = False) -> DataFrame:

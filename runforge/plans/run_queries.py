@@ -115,37 +115,40 @@ padded as (select c.dataset, c.context_id, g.i as repeat_index, coalesce(f.is_pa
  coalesce(f.overall_coverage, 0) as overall_coverage, f.run_id is not null as ok from ctx c cross join (select unnest(range(max(repeat_index) + 1))::int as i from samples) g left join five f on f.dataset = c.dataset and f.context_id = c.context_id and f.repeat_index = g.i)"""
 
 
-def _padded(spark, sf) -> DataFrame:
+def _every(spark, sf) -> tuple[DataFrame, tuple, DataFrame, int]:
+    """Samples padded to as many as the largest context has: samples, keys, contexts, n."""
     s = staging.samples(spark, sf)
-    return scoring.pad_missing(s, s, staging.most_samples(s))
+    return s, KEY, s, staging.most_samples(s)
 
 
 @query(f"with {PADDED} select dataset, context_id, repeat_index, is_pass_xrun, has_coverage, is_pass_targets, overall_coverage, ok, case when not ok then 'missing_direct_infer_run' end as error from padded")
 def j5_pad_missing(spark, sf):
-    return _padded(spark, sf).select(*KEY, "repeat_index", *staging.RESULT_ORDER, "ok", "error")
+    s, _, contexts, n = _every(spark, sf)
+    return scoring.pad_missing(s, contexts, n).select(*KEY, "repeat_index", *staging.RESULT_ORDER, "ok", "error")
 
 
 @query(f"with {PADDED}, {TASKS} select x.m as metric, round(avg(x.a), 6) as at_1, round(avg(x.k), 6) as at_k from t group by 1")
 def a4_pass_at_k(spark, sf):
-    return _r6(scoring.pass_at_k(_padded(spark, sf)))
+    return _r6(scoring.pass_at_k(*_every(spark, sf)))
 
 
 @query(f"with {PADDED}, {TASKS} select dataset, context_id, x.m as metric, round(x.a, 6) as at_1, round(x.k::double, 6) as at_k from t")
 def a4_per_task(spark, sf):
-    return _r6(scoring.per_task(_padded(spark, sf)))
+    return _r6(scoring.per_task(*_every(spark, sf)))
 
 
 @query(f"""with {PADDED}, u as (select repeat_index, avg(overall_coverage) as m from five where is_pass_xrun group by 1), p as (select repeat_index, avg(case when is_pass_xrun then overall_coverage else 0 end) as m from padded group by 1)
 select 'unpadded' as kind, round(avg(m), 6) as at_1, round(max(m), 6) as at_k from u union all select 'padded', round(avg(m), 6), round(max(m), 6) from p""")
 def a5_mean_sim_pass_cov(spark, sf):
-    a, b = scoring.mean_sim_pass_cov(staging.samples(spark, sf)), scoring.mean_sim_pass_cov(_padded(spark, sf), padded=True)
+    s, _, contexts, n = _every(spark, sf)
+    a, b = scoring.mean_sim_pass_cov(s), scoring.mean_sim_pass_cov(s, contexts, n)
     return _r6(a.select(F.lit("unpadded").alias("kind"), "*").unionByName(b.select(F.lit("padded").alias("kind"), "*")))
 
 
 @query(f"""with {PADDED}, {TASKS}, c as (select * from (values ('solo', 'solo_'), ('team', 'team_'), ('none', 'none_')) v(cohort, prefix))
 select cohort, count(t.x) as n_tasks, round(coalesce(avg(x.a), 0), 6) as at_1, round(coalesce(avg(x.k), 0), 6) as at_k from c left join t on starts_with(context_id, prefix) and x.m = 'is_pass_targets' group by 1""")
 def a6_cohort_pass_rates(spark, sf):
-    return _r6(scoring.cohort_pass_rates(_padded(spark, sf), COHORTS | {"none": "none_"}))
+    return _r6(scoring.cohort_pass_rates(scoring.per_task(*_every(spark, sf)), COHORTS | {"none": "none_"}))
 
 
 @query("""select l_orderkey, sum(l_quantity::bigint) as prompt_tokens, sum(l_linenumber::bigint) as completion_tokens, sum(l_suppkey) as reasoning_tokens, coalesce(sum(case when l_linenumber > 2 then l_partkey end), 0) as total_tokens,

@@ -52,8 +52,8 @@ def samples(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame
 
 
 def most_samples(samples: DataFrame) -> int:
-    """How many samples the largest context has."""
-    return samples.agg(F.max("repeat_index")).first()[0] + 1
+    """How many samples the largest context has, 0 if there are none."""
+    return samples.agg(F.coalesce(F.max("repeat_index") + 1, F.lit(0))).first()[0]
 
 
 SAMPLES = RUNS + ", samples as (select *, (row_number() over (partition by dataset, context_id order by run_id) - 1)::int as repeat_index from runs)"
