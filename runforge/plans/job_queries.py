@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,22 +14,25 @@ from runforge.lineage import shared_path
 from runforge.operators import blend, scoring
 from runforge.plans import jobs, staging
 from runforge.plans.run_queries import BEST, RESULTS, RUN, VERDICT, _budget_sql, _results, query
-from runforge.plans.staging import CHATS, COHORTS, KEY, ROUNDS, RUNS
+from runforge.plans.staging import CHATS, COHORTS, KEY, ROUND_INPUTS, RUNS
 from runforge.plans.text_queries import SIM
 from runforge.schemas import MESSAGE
-from runforge.sources import readers, writers
+from runforge.sources import compaction, readers, writers
 
 
 def write_files(rows: DataFrame, root: str) -> None:
-    """A file for each row (path, content) below root, from the tasks that hold the rows."""
+    """A file for each row (path, content) below root, from the tasks that hold the rows; a file appears whole, whichever attempt of a task writes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{base}/{path}") as f:
+                folder, _, name = f"{base}/{path}".rpartition("/")
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{name}.{uuid.uuid4()}"  # hidden from readers
+                with store.open_output_stream(part) as f:
                     f.write(content.encode())
+                store.move(part, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     rows.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
@@ -48,58 +52,92 @@ def _best(spark, sf) -> DataFrame:
 
 
 # S5: every best run leaves a result; some are no JSON object, some lie too high up.
-@query(f"""with {BEST} select case when k % 7 = 3 then null else dataset end as dataset, case when k % 7 = 3 or k % 7 = 4 then null else context_id end as context_id,
- case when k % 7 = 3 or k % 7 = 4 then null else run_id end as run_id, case when k % 7 = 3 or k % 7 = 4 then null else status end as status,
- case when k % 7 = 3 then 'path too short' when k % 7 = 4 then 'no JSON object' end as reason from best""".replace("case when k % 7 = 3 then null else dataset end", "case when k % 7 = 3 or k % 7 = 4 then null else dataset end"))
-def s5_read_run_results(spark, sf):
+RESULT_FILES = f"""with {BEST}, odd as (select *, case when k % 7 = 3 then 'path too short' when k % 7 = 4 then 'no JSON object' end as reason from best)
+select case when reason is null then dataset end as dataset, case when reason is null then context_id end as context_id, case when reason is null then run_id end as run_id, case when reason is null then status end as status, reason from odd"""
+
+
+def _result_files(spark, sf) -> DataFrame:
     odd = F.col("k") % 7
     path = F.when(odd == 3, F.concat_ws("/", F.col("context_id"), F.concat("run_id", F.lit("_result.json")))).otherwise(F.concat_ws("/", *RUN, F.lit("x_result.json")))
-    content = F.when(odd == 4, F.lit("[1, 2]")).otherwise(F.to_json(F.struct(F.lit(0).alias("returncode"), "status")))
+    info = F.struct(F.lit("d").alias("detail"), F.col("value").alias("runtime_sec"))
+    content = F.when(odd == 4, F.lit("[1, 2]")).otherwise(F.to_json(F.struct(F.lit(0).alias("returncode"), "status", info.alias("cov_info"))))
+    return _best(spark, sf).select(path.alias("path"), content.alias("content"), "k")
+
+
+def _with_rejects(good: DataFrame, bad: DataFrame) -> DataFrame:
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select("reason"), allowMissingColumns=True)
+
+
+@query(RESULT_FILES)
+def s5_read_run_results(spark, sf):
     root = _below(spark)
-    write_files(_best(spark, sf).select(path.alias("path"), content.alias("content")), root)
+    write_files(_result_files(spark, sf), root)
     good, bad = readers.read_run_results(spark, root)
-    none = [F.lit(None).cast("string").alias(c) for c in (*RUN, "status")]
-    return good.select(*RUN, "result.status", F.lit(None).cast("string").alias("reason")).unionByName(bad.select(*none, "reason"))
+    return _with_rejects(good.select(*RUN, "result.status"), bad)
 
 
-# S6: histories in round directories, in run directories, and beside the only or one of two run directories.
-@query(f"""with {BEST} select case when k % 4 = 1 then 'top/' || dataset else dataset end as dataset, context_id, case when k % 4 = 3 then null else run_id end as run_id, 'last ' || run_id as response from best""")
+@query(RESULT_FILES.replace(" as status, reason from odd", " as status, case when reason is null then value end as runtime_sec, reason from odd"))
+def s5_compacted_results(spark, sf):
+    """The same files as a table, taken in two runs of which the second opens the second half only."""
+    root, table, files = _below(spark), _below(spark), _result_files(spark, sf)
+    for rest in (0, 1):
+        write_files(files.where(F.col("k") % 2 == rest), root)
+        compaction.compact(spark, root, table, "results")
+    good, bad = compaction.compacted(spark, table, "results")
+    return _with_rejects(good.select(*RUN, "result.status", "result.cov_info.runtime_sec"), bad)
+
+
+# S6: histories in round directories, in run directories, and beside the only or one of two run directories; some are no list.
+@query(f"""with {BEST}, h as (select *, case when k % 13 = 5 then 'no JSON list' end as reason from best)
+select case when reason is null then case when k % 4 = 1 then 'top/' || dataset else dataset end end as dataset, case when reason is null then context_id end as context_id,
+ case when reason is null and k % 4 <> 3 then run_id end as run_id, case when reason is null then 'last ' || run_id end as response, reason from h""")
 def s6_read_round_histories(spark, sf):
     kind, name = F.col("k") % 4, F.lit("agentic_round_history.json")
     entry = lambda text: F.struct(text.alias("llm_response"), F.col("run_id").alias("run_id"))
-    b = _best(spark, sf).withColumn("content", F.to_json(F.array(entry(F.lit("first")), entry(F.concat(F.lit("last "), "run_id")))))
+    whole = F.to_json(F.array(entry(F.lit("first")), entry(F.concat(F.lit("last "), "run_id"))))
+    b = _best(spark, sf).withColumn("content", F.when(F.col("k") % 13 == 5, F.lit("{}")).otherwise(whole))
     # Of four parts: root/dataset/context/file, so the dataset here is two directories.
     where = F.when(kind == 0, F.concat_ws("/", *RUN, F.lit("round_1"), name)).when(kind == 1, F.concat_ws("/", F.lit("top"), *RUN, name)).otherwise(F.concat_ws("/", F.col("dataset"), F.lit("x"), F.col("context_id"), name))
     beside = lambda run: b.where("k % 4 >= 2").select(F.concat_ws("/", F.col("dataset"), F.lit("x"), F.col("context_id"), run, F.lit("tb.sv")).alias("path"), F.lit("t").alias("content"), "k")
     root = _below(spark)
     write_files(b.select(where.alias("path"), "content").unionByName(beside(F.col("run_id")).drop("k")).unionByName(beside(F.concat("run_id", F.lit("b"))).where("k % 4 = 3").drop("k")), root)
-    return readers.read_round_histories(spark, root).select(F.regexp_replace("dataset", "/x$", "").alias("dataset"), "context_id", "run_id", F.col("entry.llm_response").alias("response"))
+    good, bad = readers.read_round_histories(spark, root)
+    return _with_rejects(good.select(F.regexp_replace("dataset", "/x$", "").alias("dataset"), "context_id", "run_id", F.col("entry.llm_response").alias("response")), bad)
 
 
-@query(f"with {ROUNDS} select dataset, context_id, repeat_index, (count(*) + case when count(*) = 4 then 1 else 0 end)::int as n_entries, count(*) filter (k % 17 = 0)::int as n_errors from rounds group by 1, 2, 3")
+# S7: some lists are broken; of the others counts and what the last round began with and the sample ended with.
+@query(f"""with {ROUND_INPUTS}, p as (select *, lag(upto) over (partition by dataset, context_id, repeat_index order by round_index) as prior from b),
+f as (select dataset, context_id, repeat_index, (count(*) + case when count(*) = 4 then 1 else 0 end)::int as n_entries, count(*) filter (k % 17 = 0)::int as n_errors,
+  max(case when round_index = last_round then coalesce(prior.d, 0) end) as last_best, case when count(*) = 4 then max(final.d) end as final_best from p group by 1, 2, 3)
+select dataset, context_id, repeat_index, n_entries, n_errors, last_best, final_best, null as reason from f where repeat_index % 5 <> 3 union all select null, null, null, null, null, null, null, 'no JSON list' from f where repeat_index % 5 = 3""")
 def s7_read_round_inputs(spark, sf):
     path = F.concat(F.concat_ws("/", *KEY), F.lit("/agentic_eval_round_inputs_"), F.col("repeat_index"), F.lit(".json"))
     root = _below(spark)
-    write_files(staging.round_inputs(spark, sf).select(path.alias("path"), F.to_json("entries").alias("content")), root)
-    found = readers.read_round_inputs(spark, root)
-    return found.select(*KEY, "repeat_index", F.size("entries").alias("n_entries"), F.size(F.filter("entries", lambda e: e["error"].isNotNull())).alias("n_errors"))
+    content = F.when(F.col("repeat_index") % 5 == 3, F.lit('[{"round_index": 0')).otherwise(F.to_json("entries"))
+    write_files(staging.round_inputs(spark, sf).select(path.alias("path"), content.alias("content")), root)
+    good, bad = readers.read_round_inputs(spark, root)
+    latest = F.try_element_at(F.filter("entries", lambda e: e["round_index"].isNotNull()), F.lit(-1))
+    final = F.filter("entries", lambda e: e["final_best_cov_result"].isNotNull())
+    rows = good.select(
+        *KEY, "repeat_index", F.size("entries").alias("n_entries"), F.size(F.filter("entries", lambda e: e["error"].isNotNull())).alias("n_errors"),
+        latest["best_cov_result"]["overall_coverage"].alias("last_best"), F.try_element_at(final, F.lit(1))["final_best_cov_result"]["overall_coverage"].alias("final_best"),
+    )
+    return _with_rejects(rows, bad)
 
 
-# S8: one summary of all contexts, with results and, in a second one, with run ids only; some keys are absolute.
-@query(f"with {BEST} select 'full' as kind, dataset, context_id, run_id, overall_coverage from best union all select 'ids', dataset, context_id, run_id, null from best where k % 3 <> 2")
+# S8: a summary for each dataset and block of contexts, some with results and some with run ids only; some keys are absolute.
+@query(f"with {BEST} select dataset, context_id, run_id, case when dataset <> 'ds1' then overall_coverage end as overall_coverage from best where dataset <> 'ds1' or k % 3 <> 2")
 def s8_read_best_entries(spark, sf):
-    b = _best(spark, sf)
     key = F.concat_ws("/", *KEY)
-    full = b.agg(F.map_from_entries(F.collect_list(F.struct(F.when(F.col("k") % 2 == 0, F.concat(F.lit("/runs/r1/"), key)).otherwise(key), F.struct("run_id", *staging.RESULT_ORDER)))).alias("best_results_output"))
-    ids = b.agg(F.map_from_entries(F.collect_list(F.struct(F.when(F.col("k") % 3 == 0, F.concat(F.lit("/elsewhere/r1/"), key)).when(F.col("k") % 3 == 2, F.concat(F.lit("/other/"), key)).otherwise(key), "run_id"))).alias("best_rids"))
-    every = None
-    for kind, stats in (("full", full), ("ids", ids)):
-        root = _below(spark)
-        writers.write_jsonl(stats.coalesce(1), root)
-        found = readers.read_best_entries(spark, root, "/runs/r1")
-        one = found.select(F.lit(kind).alias("kind"), *RUN, (F.col("overall_coverage") if kind == "full" else F.lit(None).cast("double")).alias("overall_coverage"))
-        every = one if every is None else every.unionByName(one)
-    return every
+    k, ids = F.col("k"), F.col("dataset") == "ds1"
+    shown = F.when(~ids, F.when(k % 2 == 0, F.concat(F.lit("/runs/r1/"), key)).otherwise(key)).when(k % 3 == 0, F.concat(F.lit("/elsewhere/r1/"), key)).when(k % 3 == 2, F.concat(F.lit("/other/"), key)).otherwise(key)
+    block = F.pmod(F.crc32("context_id"), F.lit(64))
+    rows = _best(spark, sf).withColumns({"key": shown, "block": block}).groupBy("dataset", "block")
+    entries = rows.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("run_id", *staging.RESULT_ORDER)))).alias("full"), F.map_from_entries(F.collect_list(F.struct("key", "run_id"))).alias("ids"))
+    content = F.when(ids, F.to_json(F.struct(F.col("ids").alias("best_rids")))).otherwise(F.to_json(F.struct(F.col("full").alias("best_results_output"))))
+    root = _below(spark)
+    write_files(entries.select(F.concat(F.concat_ws("/", "dataset", F.col("block").cast("string")), F.lit("/eval_stats.json")).alias("path"), content.alias("content")), root)
+    return readers.read_best_entries(spark, root, "/runs/r1").select(*RUN, "overall_coverage")
 
 
 @query("select 0 as source_ord, doc_id, text, lang from documents where lang = 'en' union all select 1, doc_id, text, null from documents where lang <> 'en'")

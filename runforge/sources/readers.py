@@ -30,13 +30,23 @@ def load_dataset(spark: SparkSession, name: str, registry: dict[str, tuple]) ->
     return normalize_contexts(raw, layout, name, *order)
 
 
-def _whole_files(spark: SparkSession, root: str, name_glob: str) -> DataFrame:
+def _below(path: Column, root: str) -> Column:
+    """The path below root in parts."""
+    base, whole = _path(F.lit(root.rstrip("/") + "/")), _path(path)
+    return F.split(F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole)), "/")
+
+
+def whole_files(spark: SparkSession, root: str, name_glob: str, modified_after: str | None = None) -> DataFrame:
     """(parts, name, raw): the path below root in parts, and the whole text, of each file of that name at any depth."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).text(root, wholetext=True)
-    base = _path(F.lit(root.rstrip("/") + "/"))
-    path = _path(F.col("_metadata.file_path"))
-    rel = F.substring(path, F.instr(path, base) + F.length(base), F.length(path))
-    return files.select(F.split(rel, "/").alias("parts"), F.col("value").alias("raw")).withColumn("name", F.element_at("parts", -1))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
+    files = (reader if modified_after is None else reader.option("modifiedAfter", modified_after)).text(root, wholetext=True)
+    return files.select(_below(F.col("_metadata.file_path"), root).alias("parts"), F.col("value").alias("raw")).withColumn("name", F.element_at("parts", -1))
+
+
+def listed_files(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
+    """(parts, length, modified) of the files of that name; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(root)
+    return files.select(_below(F.col("path"), root).alias("parts"), "length", F.col("modificationTime").alias("modified"))
 
 
 def _path(c: Column) -> Column:
@@ -45,83 +55,107 @@ def _path(c: Column) -> Column:
 
 
 def _dataset(depth: int) -> Column:
-    return F.array_join(F.slice("parts", F.lit(1), F.size("parts") - depth), "/")
+    return F.array_join(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - depth, F.lit(0))), "/")
 
 
 def _at(i: int) -> Column:
-    return F.element_at("parts", -i)
+    return F.try_element_at("parts", F.lit(-i))
+
+
+def _holds(opening: str) -> Column:
+    """Whether the text is JSON that begins so; malformed text gives a struct of nulls or nothing, so it is told here."""
+    return F.coalesce(F.expr("try_parse_json(raw) is not null"), F.lit(False)) & F.trim("raw", F.lit(" \t\r\n")).startswith(opening)
+
+
+def _split(marked: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with these columns, rejects: path and reason)."""
+    return marked.where("reason is null").select(*cols), marked.where("reason is not null").select(F.array_join("parts", "/").alias("path"), "reason")
+
+
+RESULT_COLUMNS = ("dataset", "context_id", "run_id", "result_json", "result")
+HISTORY_COLUMNS = ("dataset", "context_id", "run_id", "entry")
+INPUT_COLUMNS = ("dataset", "context_id", "repeat_index", "entries")
+
+
+def parse_run_results(files: DataFrame) -> DataFrame:
+    """Adds RESULT_COLUMNS and reason to (parts, name, raw)."""
+    short = F.size("parts") < 4
+    reason = F.when(short, "path too short").when(~_holds("{"), "no JSON object")
+    keys = {c: F.when(~short, v) for c, v in (("dataset", _dataset(3)), ("context_id", _at(3)), ("run_id", _at(2)))}
+    return files.withColumns(keys | {"result_json": F.col("raw"), "result": F.from_json("raw", RESULT_JSON), "reason": reason})
 
 
 def read_run_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, rejects) from all *_result.json: dataset, context_id, run_id, result_json, and path and reason of what was left out.
+    """(runs, rejects) from all *_result.json: dataset, context_id, run_id, result_json, result; path and reason of what was left out.
 
     Left out are paths of less than four parts and files that hold no JSON object.
     """
-    files = _whole_files(spark, root, "*_result.json")
-    parsed = F.from_json("raw", RESULT_JSON)
-    # A malformed text gives a struct of nulls, so an object is told by its first character and by being read as a map.
-    is_object = F.coalesce(F.expr("try_parse_json(raw) is not null"), F.lit(False)) & F.trim("raw", F.lit(" \t\r\n")).startswith("{")
-    short = F.size("parts") < 4
-    reason = F.when(short, "path too short").when(~is_object, "no JSON object")
-    marked = files.withColumns({"reason": reason})
-    good = marked.where("reason is null").select(_dataset(3).alias("dataset"), _at(3).alias("context_id"), _at(2).alias("run_id"), F.col("raw").alias("result_json"), parsed.alias("result"))
-    return good, marked.where("reason is not null").select(F.array_join("parts", "/").alias("path"), "reason")
+    return _split(parse_run_results(whole_files(spark, root, "*_result.json")), *RESULT_COLUMNS)
 
 
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
     """(dataset, context_id, run_id, name, content) of all files of runs, results aside."""
-    files = _whole_files(spark, root, "*").where(F.size("parts") >= 4)
+    files = whole_files(spark, root, "*").where(F.size("parts") >= 4)
     return files.where(~F.col("name").endswith("_result.json")).select(_dataset(3).alias("dataset"), _at(3).alias("context_id"), _at(2).alias("run_id"), "name", F.col("raw").alias("content"))
 
 
-def read_round_histories(spark: SparkSession, root: str) -> DataFrame:
-    """(dataset, context_id, run_id, entry) from each agentic_round_history.json; entry is the last of its list.
+def parse_round_histories(files: DataFrame, every: DataFrame) -> DataFrame:
+    """Adds HISTORY_COLUMNS and reason to (parts, name, raw); every lists all files (parts), as a run may be named by a directory beside the history."""
+    n = F.size("parts")
+    deep, in_round = n >= 5, _at(2).startswith("round_")
+    pick = lambda a, b, c: F.when(deep & in_round, a).when(deep, b).when(n == 4, c)
+    entries = F.from_json("raw", ROUND_HISTORY)
+    keyed = files.withColumns({
+        "entry": F.try_element_at(entries, F.lit(-1)), "dataset": pick(_dataset(4), _dataset(3), _dataset(2)), "context_id": pick(_at(4), _at(3), _at(2)), "run_id": pick(_at(3), _at(2), F.lit(None)),
+        "reason": F.when(n < 4, "path too short").when(~_holds("["), "no JSON list").when(F.coalesce(F.size(entries), F.lit(0)) < 1, "empty list").when(F.try_element_at(entries, F.lit(-1)).isNull(), "no entry"),
+    })
+    # Of each directory those below that hold files.
+    dirs = every.where(F.size("parts") >= 5).select(F.array_join(F.slice("parts", 1, 3), "/").alias("dir"), F.element_at("parts", 4).alias("d")).distinct()
+    only = dirs.groupBy("dir").agg(F.when(F.count("*") == 1, F.min("d")).alias("only"))
+    out = keyed.withColumn("dir", F.when(n == 4, F.array_join(F.slice("parts", 1, 3), "/"))).join(only, "dir", "left")
+    return out.withColumn("run_id", F.coalesce("run_id", "only")).drop("dir", "only")
+
+
+def read_round_histories(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(histories, rejects) from each agentic_round_history.json: dataset, context_id, run_id, entry, the last of the file's list; path and reason of what was left out.
 
     Of a path of five parts or more the run is two above the file if the file lies in a
     round_ directory, else the directory itself; of four parts it is the only directory
-    beside the file, or null; shorter paths are left out, as are files that hold no list.
+    beside the file, or null. Left out are shorter paths and files that hold no list, or an
+    empty one, or one that doesn't end in an object.
     """
-    files = _whole_files(spark, root, "agentic_round_history.json").where(F.size("parts") >= 4)
-    deep, in_round = F.size("parts") >= 5, _at(2).startswith("round_")
-    pick = lambda a, b, c: F.when(deep & in_round, a).when(deep, b).otherwise(c)
-    keyed = files.select(
-        "parts", F.element_at(F.from_json("raw", ROUND_HISTORY), -1).alias("entry"),
-        pick(_dataset(4), _dataset(3), _dataset(2)).alias("dataset"), pick(_at(4), _at(3), _at(2)).alias("context_id"), pick(_at(3), _at(2), F.lit(None)).alias("run_id"),
-    )
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path"))
-    base = _path(F.lit(root.rstrip("/") + "/"))
-    rel = _path(F.col("path"))
-    inside = every.select(F.split(F.substring(rel, F.instr(rel, base) + F.length(base), F.length(rel)), "/").alias("p"))
-    # Of each directory those below that hold files.
-    dirs = inside.where(F.size("p") >= 5).select(F.array_join(F.slice("p", 1, 3), "/").alias("dir"), F.element_at("p", 4).alias("d")).distinct()
-    only = dirs.groupBy("dir").agg(F.when(F.count("*") == 1, F.min("d")).alias("only"))
-    out = keyed.withColumn("dir", F.when(F.size("parts") == 4, F.array_join(F.slice("parts", 1, 3), "/"))).join(only, "dir", "left")
-    return out.where("entry is not null").select("dataset", "context_id", F.coalesce("run_id", "only").alias("run_id"), "entry")
+    return _split(parse_round_histories(whole_files(spark, root, "agentic_round_history.json"), listed_files(spark, root)), *HISTORY_COLUMNS)
 
 
-def read_round_inputs(spark: SparkSession, root: str) -> DataFrame:
-    """(dataset, context_id, repeat_index, entries) from agentic_eval_round_inputs_<n>.json; the context is the directory."""
-    files = _whole_files(spark, root, "agentic_eval_round_inputs_*.json").where(F.size("parts") >= 2)
+def parse_round_inputs(files: DataFrame) -> DataFrame:
+    """Adds INPUT_COLUMNS and reason to (parts, name, raw)."""
     n = F.expr(r"try_cast(regexp_extract(name, '^agentic_eval_round_inputs_(\\d+)\\.json$', 1) as int)")
-    return files.select(_dataset(2).alias("dataset"), _at(2).alias("context_id"), n.alias("repeat_index"), F.from_json("raw", ROUND_INPUTS).alias("entries")).where("repeat_index is not null and entries is not null")
+    out = files.withColumns({"dataset": _dataset(2), "context_id": _at(2), "repeat_index": n, "entries": F.from_json("raw", ROUND_INPUTS)})
+    return out.withColumn("reason", F.when(F.size("parts") < 2, "path too short").when(F.col("repeat_index").isNull(), "no repeat index in the name").when(~_holds("[") | F.col("entries").isNull(), "no JSON list"))
+
+
+def read_round_inputs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(inputs, rejects) from agentic_eval_round_inputs_<n>.json: dataset, context_id, repeat_index, entries, where the context is the directory; path and reason of what was left out."""
+    return _split(parse_round_inputs(whole_files(spark, root, "agentic_eval_round_inputs_*.json")), *INPUT_COLUMNS)
 
 
 def read_best_entries(spark: SparkSession, path: str, run_dir: str) -> DataFrame:
-    """(dataset, context_id, run_id, and result fields if there are any) from an eval_stats.json.
+    """(dataset, context_id, run_id, and result fields if there are any) from an eval_stats.json, or from all JSON files below a directory.
 
-    best_results_output is taken, else best_rids, which has run ids only; neither is an
-    error. Keys below run_dir, or below a directory of its name, are cut down to what
-    follows; other absolute keys and keys of less than two parts are left out.
+    Of each file best_results_output is taken, else best_rids, which has run ids only; a file
+    with neither is an error. Keys below run_dir, or below a directory of its name, are cut
+    down to what follows; other absolute keys and keys of less than two parts are left out.
     """
     entry = "struct<run_id: string, is_pass_xrun: boolean, has_coverage: boolean, overall_coverage: double, is_pass_targets: boolean, misc: map<string, double>>"
-    stats = spark.read.text(path, wholetext=True).select(F.from_json("value", f"best_results_output map<string, {entry}>, best_rids map<string, string>").alias("s"))
-    has = stats.select(F.col("s.best_results_output").isNotNull().alias("full"), F.col("s.best_rids").isNotNull().alias("ids")).first()
-    if not has or not (has["full"] or has["ids"]):
+    stats = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    stats = stats.select(F.from_json("value", f"best_results_output map<string, {entry}>, best_rids map<string, string>").alias("s"))
+    if stats.where("s.best_results_output is null and s.best_rids is null").head(1) or not stats.head(1):
         raise ValueError(f"{path} has neither best_results_output nor best_rids")
-    if has["full"]:
-        rows = stats.select(F.explode("s.best_results_output").alias("key", "e"))
-    else:
-        rows = stats.select(F.explode("s.best_rids").alias("key", "r")).select("key", F.struct(F.col("r").alias("run_id")).alias("e"))
+    full = stats.where("s.best_results_output is not null").select(F.explode("s.best_results_output").alias("key", "e"))
+    ids = stats.where("s.best_results_output is null").select(F.explode("s.best_rids").alias("key", "r"))
+    none = F.lit(None)
+    as_entry = F.struct(F.col("r"), none.cast("boolean"), none.cast("boolean"), none.cast("double"), none.cast("boolean"), none.cast("map<string, double>")).cast(entry)
+    rows = full.unionByName(ids.select("key", as_entry.alias("e")))
     base, name = run_dir.rstrip("/") + "/", run_dir.rstrip("/").rpartition("/")[2]
     k = F.col("key")
     parts = F.split(k, "/")

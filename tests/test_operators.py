@@ -211,9 +211,9 @@ def test_readers(spark, tmp_path):
     good, bad = readers.read_run_results(spark, str(tmp_path))
     assert [(r.dataset, r.context_id, r.run_id) for r in good.collect()] == [("ds/sub", "c1", "r1")]
     assert {r.reason for r in bad.collect()} == {"no JSON object", "path too short"}
-    h = {r.context_id: (r.dataset, r.run_id, r.entry.run_id) for r in readers.read_round_histories(spark, str(tmp_path)).collect()}
+    h = {r.context_id: (r.dataset, r.run_id, r.entry.run_id) for r in readers.read_round_histories(spark, str(tmp_path))[0].collect()}
     assert h["c1"] == ("ds", "r1", "yes")
-    i = readers.read_round_inputs(spark, str(tmp_path))
+    i, _ = readers.read_round_inputs(spark, str(tmp_path))
     assert i.first().repeat_index == 3
     assert i.select(rounds.post_round_best(F.col("entries"), F.lit(0))["overall_coverage"]).first()[0] == 0.7
     stats = tmp_path / "eval_stats.json"
