@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.text import whitespace_tokens
-from runforge.functions.tokens import MAX_BITS, lcs_length, lcs_length_long, rouge_l_f1
+from runforge.functions.tokens import lcs_length, rouge_l_f1
 from runforge.lineage import cut
 
 
@@ -70,10 +70,7 @@ def similar_files(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     # Cut, or the optimizer would have the subsequences of all candidates computed.
     left_over = cut(texts.where(F.lit(2.0) * overlap >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9).drop("left_bag", "right_bag"))
     shorter, longer = (F.when((F.col("a") <= F.col("b")) == first, F.col("left_tokens")).otherwise(F.col("right_tokens")) for first in (True, False))
-    fits = F.least("a", "b") <= MAX_BITS
-    native = left_over.where(fits).withColumn("lcs", lcs_length(shorter, longer))
-    long = left_over.where(~fits).withColumn("lcs", lcs_length_long(F.col("left_tokens"), F.col("right_tokens")))
-    return native.unionByName(long).withColumn("f1", rouge_l_f1(F.col("lcs"), F.col("a"), F.col("b"))).where(F.col("f1") >= t).select("f_left", "f_right", "lcs", "f1")
+    return left_over.withColumn("lcs", lcs_length(shorter, longer)).withColumn("f1", rouge_l_f1(F.col("lcs"), F.col("a"), F.col("b"))).where(F.col("f1") >= t).select("f_left", "f_right", "lcs", "f1")
 
 
 def files_of(contexts: DataFrame, *extra: str) -> DataFrame:

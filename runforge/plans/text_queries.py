@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runforge import lineage
 from runforge.functions import chat, patches, text, tokens
-from runforge.operators import blend, designs, sft, similarity
+from runforge.operators import blend, designs, sft, similarity, token_cache
 from runforge.plans import jobs, staging
 from runforge.plans.run_queries import _r6, query
 from runforge.plans.staging import CHATS, DESIGNS, KEY, PAIRS
@@ -256,6 +257,18 @@ def f15_count_tokens(spark, sf):
     return staging.load(spark, sf, "documents").select("doc_id", tokens.count_tokens(F.col("text")).alias("n"))
 
 
+def _words_of(texts: list[str]) -> list[int]:
+    return [len(t.split()) for t in texts]
+
+
+@query("select doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[\\t-\\r\\x1c-\\x20]+'), lambda x: x <> ''))::int as n from documents")
+def f15_encoder_tokens(spark, sf):
+    """By an encoder, on texts that are dealt out by length."""
+    d = staging.load(spark, sf, "documents").select("doc_id", "text")
+    dealt = tokens.deal_by_length(d, F.coalesce(F.length("text"), F.lit(0)), "doc_id")
+    return dealt.select("doc_id", tokens.count_tokens(F.col("text"), _words_of).alias("n"))
+
+
 @query("select c_custkey::varchar as context_id, ('0x' || substr(md5(c_custkey::varchar), 1, 13))::bigint / 4503599627370496e0 as r from customer")
 def p9_id_fraction(spark, sf):
     return staging.load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("context_id")).select("context_id", tokens.md5_fraction(F.col("context_id")).alias("r"))
@@ -339,10 +352,21 @@ def e10_blend_sources(spark, sf):
     return blend.positions(mixed, blend.seeded(42, *order), *order)
 
 
-@query(f"""with {DESIGNS}, t as (select p_partkey // 4 as d, len(regexp_extract_all('`define SIZE ' || p_size || chr(10) || '// part ' || p_name || chr(10) || 'module m' || p_partkey || ' (input clk);' || chr(10)
+TOKENS = f"""with {DESIGNS}, t as (select p_partkey // 4 as d, len(regexp_extract_all('`define SIZE ' || p_size || chr(10) || '// part ' || p_name || chr(10) || 'module m' || p_partkey || ' (input clk);' || chr(10)
  || case when p_size % 2 = 1 then '  m' || (p_partkey + 1) || ' #(.W(8)) u' || p_partkey || ' (.clk(clk));' || chr(10) else '' end || '  /* m1 x (y); */ wire [`SIZE:0] w;' || chr(10) || 'endmodule' || chr(10), '[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\\sA-Za-z_0-9]')) as n from part),
-s as (select d, sum(n)::int as n from t group by 1) select d::varchar as context_id, case when size % 2 = 0 then size else n end as rtl_tokens from tops join s using (d)""")
+s as (select d, sum(n)::int as n from t group by 1)"""
+
+
+@query(TOKENS + " select d::varchar as context_id, case when size % 2 = 0 then size else n end as rtl_tokens from tops join s using (d)")
 def j10_cached_token_counts(spark, sf):
     d = staging.designs(spark, sf)
     cache = d.where("size % 2 = 0").select(*KEY, F.col("size").alias("rtl_tokens"))
     return designs.count_rtl_tokens(d, cache).select("context_id", "rtl_tokens")
+
+
+@query(TOKENS + " select d::varchar as context_id, n as rtl_tokens from tops join s using (d)")
+def j10_written_cache(spark, sf):
+    """Half of the designs write the cache, then all are read through it."""
+    path, d = lineage.shared_path(spark), staging.designs(spark, sf)
+    token_cache.count_with_cache(d.where("size % 2 = 0"), path)
+    return token_cache.count_with_cache(d, path).select("context_id", "rtl_tokens")

@@ -117,22 +117,27 @@ def test_patches():
         patches.parse_patch("@@\n*a\n")
 
 
-def test_lcs_against_a_table(spark):
-    rng = random.Random(1)
-    rows = [([rng.choice("abcd") for _ in range(rng.randint(0, n))], [rng.choice("abcde") for _ in range(rng.randint(0, 70))]) for n in (5, 40, 62) for _ in range(20)]
+def _table_lcs(a, b):
+    last = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(last[j] + 1 if x == y else max(last[j + 1], now[j]))
+        last = now
+    return last[-1]
 
-    def table(a, b):
-        last = [0] * (len(b) + 1)
-        for x in a:
-            now = [0]
-            for j, y in enumerate(b):
-                now.append(last[j] + 1 if x == y else max(last[j + 1], now[j]))
-            last = now
-        return last[-1]
 
+def test_lcs_against_a_table(spark):
+    rng = random.Random(1)
+    some = lambda n, m, letters: ([rng.choice(letters) for _ in range(n)], [rng.choice(letters + "e") for _ in range(m)])
+    rows = [some(rng.randint(0, n), rng.randint(0, 70), "abcd") for n in (5, 40, 62) for _ in range(15)]
+    rows += [some(rng.choice([61, 62, 63, 123, 124, 125, 186, rng.randint(63, 500)]), rng.randint(0, 500), rng.choice(["ab", "abcd", "abcdefghijklmnopqrst"])) for _ in range(30)]
+    rows += [(x, x) for x in (["a"] * 62, ["a"] * 63, ["a"] * 500, list("ab") * 200)] + [(["a"] * 300, []), (["a"] * 300, ["b"] * 100)]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    for r in df.select("a", "b", tokens.lcs_length(F.col("a"), F.col("b")).alias("native"), tokens.lcs_length_long(F.col("a"), F.col("b")).alias("long")).collect():
-        assert r.native == r.long == table(r.a, r.b)
+    got = df.select("a", "b", tokens.lcs_length(F.col("a"), F.col("b")).alias("n"))
+    for r in got.collect():
+        assert r.n == _table_lcs(r.a, r.b)
+    assert "Python" not in got._jdf.queryExecution().toString()
 
 
 def test_similar_files_against_all_pairs(spark):
@@ -141,9 +146,7 @@ def test_similar_files_against_all_pairs(spark):
     a, b = (spark.createDataFrame(x, "f bigint, tokens array<string>") for x in (files[:25], files[25:]))
     for t in (0.3, 0.6, 1.0):
         got = {(r.f_left, r.f_right) for r in similarity.similar_files(a, b, t).collect()}
-        pairs = spark.createDataFrame([(i, j, x, y) for i, x in files[:25] for j, y in files[25:] if x and y], "i bigint, j bigint, x array<string>, y array<string>")
-        f1 = tokens.rouge_l_f1(tokens.lcs_length_long(F.col("x"), F.col("y")), F.size("x"), F.size("y"))
-        assert got == {(r.i, r.j) for r in pairs.where(f1 >= t).collect()}
+        assert got == {(i, j) for i, x in files[:25] for j, y in files[25:] if x and y and 2.0 * _table_lcs(x, y) / (len(x) + len(y)) >= t}
 
 
 def test_chat_forms(spark):
