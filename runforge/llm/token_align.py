@@ -16,7 +16,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,10 @@ from runforge.llm.common import cut, discard, load
 
 #: A piece begins at a space after a character that is no white space.
 PIECE = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
-#: Links that a block holds, unless its only document has more; pieces that a task remembers.
-BLOCK_LINKS, KNOWN_PIECES = 400_000, 200_000
+#: Links that a block holds, unless its only document has more; pieces that a task remembers, and letters of pieces that are tokenized as one text.
+BLOCK_LINKS, KNOWN_PIECES, ROW_LETTERS = 400_000, 300_000, 500_000
+#: Groups of more links are counted by distinct ids.
+LARGE_GROUP = 4096
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -46,8 +47,39 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, first: np.ndarray):
+        self.values, self.n = first, len(first)
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.values):
+            self.values = np.concatenate([self.values[: self.n], np.empty(self.n + 2 * len(more), self.values.dtype)])
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, b_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, code, times) of the tokens a and b in the groups of_a and of_b, which rise; a code may come several times, but for large groups."""
+    in_a, in_b = np.bincount(of_a), np.bincount(of_b)
+    large = np.flatnonzero(in_a * in_b > LARGE_GROUP)
+    small = np.ones(len(in_a), bool)
+    small[large] = False
+    mine = np.flatnonzero(small[of_a])
+    times = in_b[of_a[mine]]
+    start_b = np.cumsum(in_b) - in_b
+    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    group = np.repeat(of_a[mine], times)
+    out = [(group, np.repeat(a[mine], times) * b_size + b[start_b[group] + within], np.ones(len(group), np.int64))]
+    for g in large.tolist():
+        (x, n), (y, m) = (np.unique(t[np.searchsorted(of, g) : np.searchsorted(of, g, "right")], return_counts=True) for t, of in ((a, of_a), (b, of_b)))
+        out.append((np.full(len(x) * len(y), g), (x[:, None] * b_size + y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 class Aligner:
-    """Both tokenizers, the bytes of their tokens, and the B id with the same bytes for each A id (-1 if there is none)."""
+    """Both tokenizers, the bytes of their tokens, the B id with the same bytes for each A id (-1 if there is none), and the pieces that were aligned before."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -58,76 +90,118 @@ class Aligner:
         self.a.no_padding()
         self.a.no_truncation()
         letters = _byte_letters()
-        entries = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
-        self.a_bytes = {i: bytes(letters[c] for c in t) for i, t in entries if all(c in letters for c in t)}
+        entries = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b"\xff"] * (max(entries.values(), default=0) + 1)
+        for t, i in entries.items():
+            if all(c in letters for c in t):
+                self.a_bytes[i] = bytes(letters[c] for c in t)
         self.b_size = self.b.get_piece_size()
         self.b_bytes = [self._piece_bytes(i) for i in range(self.b_size)]
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         plain = [i for i in range(self.b_size) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         same = {self.b_bytes[i]: i for i in [*(i for i in range(self.b_size) if self.b.is_byte(i)), *plain]}
-        self.same = np.full(max(self.a_bytes, default=0) + 1, -1, np.int64)
-        for i, x in self.a_bytes.items():
-            self.same[i] = same.get(x, -1)
+        self.same = np.array([same.get(x, -1) for x in self.a_bytes], np.int64)
         self.space = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple | None] = {}
+        # An A token with what follows it in a group, and a B token with what follows it.
+        self.texts = [f"{i}{x}" for i in range(len(self.a_bytes)) for x in ",|"] + [f"{i}{x}" for i in range(self.b_size) for x in ",;\n"]
+        self.forget()
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def forget(self) -> None:
+        """Of each known piece: its place, groups as text (None if a side's bytes differ), n_a, n_b, n_groups, n_links, and where its pairs lie."""
+        self.place: dict[str, int] = {}
+        self.groups: list[str | None] = []
+        self.n = [Growing(np.zeros(1024, np.int64)) for _ in range(4)]
+        self.ends, self.codes, self.times = (Growing(np.zeros(1024, np.int64)) for _ in range(3))
+        for g in (*self.n, self.ends, self.codes, self.times):
+            g.n = 0
+
     def learn(self, pieces: set[str]) -> None:
-        """Tokenizes and aligns the pieces that aren't known, of which a bounded number stays known."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        ours = self.a.encode_batch(new, add_special_tokens=False)
-        # B puts a space before what it is given, so the piece's own goes; of nothing it would make nothing.
-        theirs = self.b.encode([p[1:] for p in new], num_threads=1) if new else []
-        for p, x, y in zip(new, ours, theirs, strict=True):
-            self.known[p] = self._aligned(p.encode(), x.ids, y if len(p) > 1 else [self.space])
-
-    def _aligned(self, whole: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups as text, pair codes, how often each), or None if a side's bytes differ from the piece."""
-        of_a, of_b = [self.a_bytes.get(i, b"\xff") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != whole or b"".join(of_b) != whole:
-            return None
-        ends = [0]
-        for t in of_b:
-            ends.append(ends[-1] + len(t))
-        at_b = {e: j for j, e in enumerate(ends)}
-        texts, pairs, i, j, at = [], Counter(), 0, 0, 0
-        for k, t in enumerate(of_a):
-            at += len(t)
-            if at in at_b:
-                mine, other = a[i : k + 1], b[j : at_b[at]]
-                texts.append(f"{','.join(map(str, mine))}|{','.join(map(str, other))}")
-                times = Counter(other)
-                for x, n in Counter(mine).items():
-                    for y, m in times.items():
-                        pairs[x * self.b_size + y] += n * m
-                i, j = k + 1, at_b[at]
-        codes, n = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        return len(a), len(b), len(texts), int(n.sum()), ";".join(texts), codes, n
-
-    def document(self, text: str | None) -> tuple[tuple[int, int, int, int, str], np.ndarray, np.ndarray]:
-        """((n_a, n_b, n_groups, n_links, groups_sha256), pair codes in order, how often each is linked) of a whole text."""
-        nothing = (0, 0, 0, 0, ""), np.empty(0, np.int64), np.empty(0, np.int64)
-        if not text:
-            return nothing
-        pieces = PIECE.findall(" " + text)
-        times = Counter(pieces)
-        self.learn(times.keys())
-        found = [self.known[p] for p in times]
-        if None in found:
-            return nothing
-        n = [sum(f[k] * m for f, m in zip(found, times.values(), strict=True)) for k in range(4)]
-        digest = hashlib.sha256()
-        for lo in range(0, len(pieces), 10_000):
-            digest.update((";" * (lo > 0) + ";".join(self.known[p][4] for p in pieces[lo : lo + 10_000])).encode())
-        codes, where = np.unique(np.concatenate([f[5] for f in found]), return_inverse=True)
-        links = np.concatenate([f[6] * m for f, m in zip(found, times.values(), strict=True)])
-        total = np.zeros(len(codes), np.int64)
-        np.add.at(total, where, links)
-        return (*n, digest.hexdigest()), codes, total
+        """Tokenizes and aligns the pieces that aren't known, one after the other as one text."""
+        if len(self.place) > KNOWN_PIECES:
+            self.forget()
+        new = [p for p in pieces if p not in self.place]
+        row, size = [], 0
+        for p in new:
+            if p[-1].isspace():  # the end of its text: nothing can follow
+                self._add([p])
+                continue
+            row.append(p)
+            size += len(p)
+            if size > ROW_LETTERS:
+                self._add(row)
+                row, size = [], 0
+        if row:
+            self._add(row)
+
+    def _add(self, pieces: list[str]) -> None:
+        text = "".join(pieces)
+        whole = text.encode()
+        # B puts a space before what it is given, so the text's own goes; of nothing it would make nothing.
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]) if len(text) > 1 else [self.space]
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            if len(pieces) > 1:
+                self._add(pieces[: len(pieces) // 2])
+                self._add(pieces[len(pieces) // 2 :])
+            else:
+                self._place(pieces, [None], *[np.zeros(1, np.int64)] * 5, np.empty(0, np.int64), np.empty(0, np.int64))
+            return
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        last_a, last_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        ends, at = ends_a[last_a], np.cumsum([len(p.encode()) for p in pieces])
+        if not np.isin(at, ends).all():
+            raise ValueError("a tokenizer joins text across a space")
+        piece, m = np.searchsorted(at, ends), len(pieces)
+        in_a, in_b = np.bincount(of_a), np.bincount(of_b)
+        links = np.zeros(m, np.int64)
+        np.add.at(links, piece, in_a * in_b)
+        closing = np.isin(ends, at)
+        shown = np.concatenate([2 * a + last_a, 2 * len(self.a_bytes) + 3 * b + last_b + (last_b & closing[of_b])])
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        groups = "".join(map(self.texts.__getitem__, shown[order].tolist())).split("\n")[:-1]
+        group, codes, times = _pairs(a, b, of_a, of_b, self.b_size)
+        of = piece[group]
+        order = np.lexsort((codes, of))
+        of, codes, times = of[order], codes[order], times[order]
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])])
+        self._place(pieces, groups, np.bincount(piece[of_a], minlength=m), np.bincount(piece[of_b], minlength=m), np.bincount(piece, minlength=m), links, np.bincount(of[first], minlength=m), codes[first], np.add.reduceat(times, first))
+
+    def _place(self, pieces: list[str], groups: list, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, links: np.ndarray, sizes: np.ndarray, codes: np.ndarray, times: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        self.groups += groups
+        for g, x in zip((*self.n, self.ends, self.codes, self.times), (n_a, n_b, n_groups, links, self.codes.n + np.cumsum(sizes), codes, times), strict=True):
+            g.add(x)
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[tuple[int, int, int, int, str], np.ndarray, np.ndarray]]:
+        """((n_a, n_b, n_groups, n_links, groups_sha256), pair codes in order, how often each is linked) of each whole text."""
+        cut_up = [PIECE.findall(" " + t) if t else [] for t in texts]
+        self.learn(set().union(*cut_up))
+        nothing = np.empty(0, np.int64)
+        for pieces in cut_up:
+            at = list(map(self.place.__getitem__, pieces))
+            said = list(map(self.groups.__getitem__, at))
+            if not said or None in said:
+                yield (0, 0, 0, 0, ""), nothing, nothing
+                continue
+            where = np.array(at)
+            digest = hashlib.sha256()
+            for lo in range(0, len(said), 10_000):
+                digest.update((";" * (lo > 0) + ";".join(said[lo : lo + 10_000])).encode())
+            some, often = np.unique(where, return_counts=True)
+            ends = self.ends.values[some]
+            starts = np.where(some > 0, self.ends.values[some - 1], 0)
+            sizes = ends - starts
+            flat = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            codes, links = self.codes.values[flat], self.times.values[flat] * np.repeat(often, sizes)
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            yield (*(int(g.values[where].sum()) for g in self.n), digest.hexdigest()), codes[first], np.add.reduceat(links[order], first)
 
 
 @functools.cache
@@ -162,12 +236,14 @@ def alignment_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for b in batches:
-            for i, text in zip(b.column(0), b.column(1), strict=True):
-                held.append(both.document(text.as_py()))
-                ids.append(i)
-                size += len(held[-1][1]) + 10
-                if size > BLOCK_LINKS:
-                    yield given()
+            for lo in range(0, b.num_rows, 100):
+                c = b.slice(lo, 100)
+                for i, found in zip(c.column(0), both.documents(c.column(1).to_pylist()), strict=True):
+                    held.append(found)
+                    ids.append(i)
+                    size += len(found[1]) + 10
+                    if size > BLOCK_LINKS:
+                        yield given()
         if held:
             yield given()
 

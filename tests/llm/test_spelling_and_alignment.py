@@ -171,13 +171,14 @@ def aligned(df):
     return collections.Counter(tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in df.collect())
 
 
-@pytest.mark.parametrize("links, pieces", [(400_000, 200_000), (30, 5)])
-def test_alignment_equals_brute_force(spark, monkeypatch, links, pieces):
+@pytest.mark.parametrize("links, pieces, large", [(400_000, 300_000, 4096), (30, 5, 2)])
+def test_alignment_equals_brute_force(spark, monkeypatch, links, pieces, large):
     rng = random.Random(3)
     rows = [(100 + i, "".join(rng.choice(["the ", "token", "iz", "ation", " ", "\n", "Un", "believ", "able", "é", "日", ". ", "<s>", "\t", "'s", "42", "ß", "\x1f", " "]) for _ in range(rng.randrange(60)))) for i in range(150)]
     rows += ODD
     monkeypatch.setattr(token_align, "BLOCK_LINKS", links)
     monkeypatch.setattr(token_align, "KNOWN_PIECES", pieces)
+    monkeypatch.setattr(token_align, "LARGE_GROUP", large)
     got = aligned(token_align.align_tokens(docs_of(spark, rows).withColumns({"a": F.lit("clash"), "block": F.lit(1), "n_a": F.lit(2)})))
     assert got == brute_alignment(rows)
 
