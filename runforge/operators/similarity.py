@@ -2,10 +2,11 @@
 
 A pair of token lists of sizes a and b with F1 >= t has 2 min(a, b) / (a + b) >= t, shares a
 multiset of at least t (a + b) / 2 tokens, and one of the rarest |x| - ceil(|x| t / (2 - t)) + 1
-(token, occurrence) elements of each. Files whose size no file of the other side can match
-are left out before their tokens are looked at. Candidates meet in the rare elements, so that
-frequent tokens join nothing; bags and tokens are taken of candidates only, and the longest
-common subsequence is computed on what is left.
+(token, occurrence) elements of each, their prefixes. Files whose size no file of the other
+side can match are left out before their tokens are looked at. Candidates meet in their
+prefixes, so that frequent tokens join nothing. Where they meet bounds what they can share: the
+elements met so far and no more than either has after the last of them. Bags and tokens are
+taken of what passes, and the longest common subsequence is computed on what is left.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from runforge.functions.text import whitespace_tokens
 from runforge.functions.tokens import lcs_length, rouge_l_f1
-from runforge.lineage import cut
+from runforge.lineage import cut, discard
+
+#: An element that more right files have is joined in blocks of about so many.
+LIST_FILES = 256
 
 
 def _elements(files: DataFrame) -> DataFrame:
@@ -27,10 +31,12 @@ def _elements(files: DataFrame) -> DataFrame:
 
 
 def _of_size(files: DataFrame, others: DataFrame, t: float) -> DataFrame:
-    """The files whose size some size between the smallest and the largest of others can match."""
+    """The files (f, tokens) whose size some size between the smallest and the largest of others can match; tokens are taken apart once."""
     lo, hi = others.agg(F.min(F.size("tokens")), F.max(F.size("tokens"))).first()
-    n = F.size("tokens")
-    return files.where(n.between(math.ceil(lo * t / (2 - t) - 1e-9), math.floor(hi * (2 - t) / t + 1e-9))) if lo else files.where("false")
+    if not lo:
+        return files.select("f", "tokens").where("false")
+    least, most = math.ceil(lo * t / (2 - t) - 1e-9), math.floor(hi * (2 - t) / t + 1e-9)
+    return files.select("f", F.explode(F.filter(F.array("tokens"), lambda x: F.size(x).between(least, most))).alias("tokens"))
 
 
 def _bags(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -40,11 +46,30 @@ def _bags(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return files.select("f", "tokens").join(bag, "f")
 
 
-def _rare(elements: DataFrame, common: DataFrame, t: float) -> DataFrame:
-    """The prefix of each file by rising frequency; elements that no file has are rarest."""
-    ranked = elements.join(common, ["token", "occ"], "left").withColumn("_freq", F.coalesce("freq", F.lit(0)))
-    r = F.row_number().over(Window.partitionBy("f").orderBy("_freq", "token", "occ"))
-    return ranked.withColumn("_r", r).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(t / (2 - t)) - 1e-9) + 1).select("f", "n", "token", "occ")
+def _rare(files: DataFrame, known: DataFrame, t: float) -> DataFrame:
+    """(f, n, token, occ, freq, pos): the prefix of each file by rising frequency, as far as known has its elements, and where they stand.
+
+    known is (token, freqs): how many files have the first, second, ... occurrence. Elements
+    that it lacks are rarest; they take places and join nothing, so they aren't listed.
+    """
+    each = files.select("f", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(known, "token")
+    shared = each.groupBy("f", "n", "token").agg(F.count("*").cast("int").alias("c"), F.first("freqs").alias("freqs"))
+    elements = shared.select("f", "n", "token", F.posexplode(F.slice("freqs", F.lit(1), F.col("c"))).alias("occ", "freq"))
+    mine = Window.partitionBy("f")
+    pos = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("freq", "token", "occ"))
+    return elements.withColumn("pos", pos).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(t / (2 - t)) - 1e-9) + 1)
+
+
+def candidate_files(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """(f_left, a, f_right, b, met, bound): files (f, tokens) that meet in their prefixes, in how many elements, and how many they can share at most."""
+    counts = _elements(right).groupBy("token", "occ").agg(F.count("*").alias("freq"))
+    known = cut(counts.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("occ", "freq"))), lambda x: x["freq"]).alias("freqs")))
+    blocks = F.ceil(F.col("freq") / LIST_FILES).cast("int")
+    pa = _rare(left, known, t).select(F.col("f").alias("f_left"), F.col("n").alias("a"), "token", "occ", F.col("pos").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    pb = _rare(right, known, t).select(F.col("f").alias("f_right"), F.col("n").alias("b"), "token", "occ", F.col("pos").alias("j"), F.pmod(F.xxhash64("f"), blocks).cast("int").alias("block"))
+    near = F.lit(2.0) * F.least("a", "b") >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9
+    met = pa.join(pb, ["token", "occ", "block"]).where(near).groupBy("f_left", "a", "f_right", "b").agg(F.count("*").alias("met"), F.max("i").alias("i"), F.max("j").alias("j"))
+    return met.select("f_left", "a", "f_right", "b", "met", (F.col("met") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j"))).alias("bound"))
 
 
 def similar_files(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -56,19 +81,16 @@ def similar_files(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold must be in (0, 1]: {threshold}")
     t = threshold
-    right = right.where(F.size("tokens") > 0).select("f", "tokens").dropDuplicates(["f"])
-    left = cut(_of_size(left.select("f", "tokens"), right, t).dropDuplicates(["f"]))
-    a, b = _elements(left), _elements(right)
-    common = b.groupBy("token", "occ").agg(F.count("*").alias("freq"))
-    pa = _rare(a, common, t).toDF("f_left", "a", "token", "occ")
-    pb = _rare(b, common, t).toDF("f_right", "b", "token", "occ")
-    near = F.lit(2.0) * F.least("a", "b") >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9
-    pairs = cut(pa.join(pb, ["token", "occ"]).where(near).select("f_left", "a", "f_right", "b").distinct())
+    right = cut(right.where(F.size("tokens") > 0).select("f", "tokens").dropDuplicates(["f"]))
+    left = cut(_of_size(left, right, t).dropDuplicates(["f"]))
+    least = F.lit(t) * (F.col("a") + F.col("b")) - 1e-9
+    pairs = cut(candidate_files(left, right, t).where(F.lit(2.0) * F.col("bound") >= least).select("f_left", "a", "f_right", "b"))
     lt, rt = (_bags(x, pairs.select(F.col(f"f_{side}").alias("f")).distinct()).toDF(f"f_{side}", f"{side}_tokens", f"{side}_bag") for x, side in ((left, "left"), (right, "right")))
     texts = pairs.join(lt, "f_left").join(rt, "f_right")
     overlap = F.size(F.array_intersect("left_bag", "right_bag"))
     # Cut, or the optimizer would have the subsequences of all candidates computed.
-    left_over = cut(texts.where(F.lit(2.0) * overlap >= F.lit(t) * (F.col("a") + F.col("b")) - 1e-9).drop("left_bag", "right_bag"))
+    left_over = cut(texts.where(F.lit(2.0) * overlap >= least).drop("left_bag", "right_bag"))
+    discard(left, right, pairs)
     shorter, longer = (F.when((F.col("a") <= F.col("b")) == first, F.col("left_tokens")).otherwise(F.col("right_tokens")) for first in (True, False))
     return left_over.withColumn("lcs", lcs_length(shorter, longer)).withColumn("f1", rouge_l_f1(F.col("lcs"), F.col("a"), F.col("b"))).where(F.col("f1") >= t).select("f_left", "f_right", "lcs", "f1")
 

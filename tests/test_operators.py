@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import json
 import os
 import random
@@ -140,13 +141,32 @@ def test_lcs_against_a_table(spark):
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
-def test_similar_files_against_all_pairs(spark):
+@pytest.mark.parametrize("files_in_list", [256, 2])
+def test_similar_files_against_all_pairs(spark, monkeypatch, files_in_list):
+    monkeypatch.setattr(similarity, "LIST_FILES", files_in_list)
     rng = random.Random(2)
-    files = [(i, [rng.choice("aabcdefgh") for _ in range(rng.randint(0, 12))]) for i in range(40)]
-    a, b = (spark.createDataFrame(x, "f bigint, tokens array<string>") for x in (files[:25], files[25:]))
+    files = [(i, [rng.choice("aabcdefgh") for _ in range(rng.randint(0, 12))]) for i in range(40)] + [(40 + i, [rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randint(60, 90))]) for i in range(6)]
+    files += [(50, files[41][1][:70] + ["x"]), (51, None)]
+    rng.shuffle(files)
+    a, b = (spark.createDataFrame([*x, x[3]], "f bigint, tokens array<string>") for x in (files[:25], files[25:]))
     for t in (0.3, 0.6, 1.0):
-        got = {(r.f_left, r.f_right) for r in similarity.similar_files(a, b, t).collect()}
-        assert got == {(i, j) for i, x in files[:25] for j, y in files[25:] if x and y and 2.0 * _table_lcs(x, y) / (len(x) + len(y)) >= t}
+        got = similarity.similar_files(a, b, t)
+        want = {(i, j) for i, x in files[:25] for j, y in files[25:] if x and y and 2.0 * _table_lcs(x, y) / (len(x) + len(y)) >= t}
+        assert sorted((r.f_left, r.f_right) for r in got.collect()) == sorted(want)
+        assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_where_files_meet_bounds_what_they_share(spark):
+    rng = random.Random(12)
+    files = [(i, [rng.choice("aaabbcdefghijk") for _ in range(rng.randint(1, 15))]) for i in range(60)]
+    a, b = (spark.createDataFrame(x, "f bigint, tokens array<string>") for x in (files[:30], files[30:]))
+    bags = {f: collections.Counter(x) for f, x in files}
+    for t in (0.4, 0.8):
+        rows = similarity.candidate_files(a, b, t).collect()
+        assert rows and all(r.met <= (bags[r.f_left] & bags[r.f_right]).total() <= r.bound for r in rows)
+        found = {(r.f_left, r.f_right) for r in rows if 2.0 * r.bound >= t * (r.a + r.b) - 1e-9}
+        need = {(i, j) for i, x in files[:30] for j, y in files[30:] if 2.0 * (bags[i] & bags[j]).total() >= t * (len(x) + len(y)) - 1e-9}
+        assert need <= found and len(found) < len(rows)
 
 
 def test_chat_forms(spark):
