@@ -14,20 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runforge.llm.common import cut, discard, load, row_key
-from runforge.llm.set_links import SKETCH, least_overlap, similar_components, texts_by_node
+from runforge.llm.set_links import SKETCH, least_overlap, node_of, similar_components, texts_by_node
 from runforge.llm.simhash import shingle_set
 
 
-def node_of(h: np.ndarray) -> int:
-    """A set's name: 64 bits of its hashes."""
-    return int(np.frombuffer(xxhash.xxh64_digest(h.tobytes(), 11), ">i8")[0])
-
-
 def sketches(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
     """(doc_id, row_key, n, node, sketch) for every row of docs (doc_id, text): size and name of its set, and its k smallest hashes."""
 

@@ -16,19 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runforge.llm.common import cut, discard, load, row_key, shuffle_partitions
+from runforge.llm.common import cut, discard, load, row_key
 from runforge.llm.components import connected_components
+from runforge.llm.set_links import node_of, similar_components, texts_by_node
 
 SEED = 42
 MAX_BITS = 2
 MIN_BYTES = 8 - MAX_BITS
 #: Longer posting lists are joined by one-bit neighbours instead of pair by pair.
 LONG_LIST = 256
-#: 64-bit words of the parity fingerprint of a small set, and members of a list compared at once.
-PARITY_WORDS, TILE = 16, 512
 #: Hash buckets in which near_duplicates() counts shingles, and how far above the mean a frequent one is.
 BUCKETS, FAR = 1 << 20, 4
 
@@ -171,191 +170,64 @@ def frequent_buckets(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.nda
         far = np.flatnonzero(counts > max(2, FAR * counts.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(far), pa.array(counts[far])], names=["bucket", "n"])
 
-    got = texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    return np.array([r["bucket"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
+    got = texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    return got.column("bucket").to_numpy(), got.column("n").to_numpy()
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, row_key, label, component_id) for every row of docs: near copies by Jaccard similarity of shingles.
-
-    At a similarity of 0.8 the 64-bit fingerprints of two texts differ in ten bits and need not
-    share a byte: the guaranteed minimum of shared positional bytes is none, so the byte index
-    can't be used here without losing pairs. Instead the shingles themselves are the
-    positions of an inverted index with a guaranteed minimum: two sets of sizes up to n with
-    similarity t or more share one of the n - ceil(t n) + 1 rarest shingles of each, so only
-    these are posted. Pairs in a list go on if their sizes allow it and if the bits in which
-    their parity fingerprints differ, each of which takes a shingle that only one has, are no
-    more than the shingles in which they may differ; then exact Jaccard decides. No pair is lost. Frequent shingles come last in the order of rarity, so
-    that a passage of many documents posts where they have nothing else.
-    Members of a list, sorted by size, are tested with the first and the previous one; where a
-    list holds several components after that, its pairs across components are. Documents with
-    the same words are one before the search; those without words are copies of each other.
-    label tells components apart, component_id is the smallest doc_id in one. Null doc_id: as
-    in simhash_components(). Other columns are ignored, an empty table gives no rows.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError(f"similarity must be in (0, 1]: {similarity}")
-    rows = cut(word_sequences(docs).drop("text"))
-    same = word_sequences(docs).groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.any_value("text").alias("text"))
-    texts = cut(same.withColumn("node", F.xxhash64("s1", "s2")))
-    each = texts.where("text is not null").select("node", "text")
-    buckets, counts = frequent_buckets(each, n_words)
+def rare_shingles(docs: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """(doc_id, row_key, n, node, keys) for every row of docs (doc_id, text): size and name of its set of shingles, and the n - ceil(t n) + 1 rarest."""
+    buckets, counts = frequent_buckets(docs, n_words)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(BUCKETS, np.int64)
         weight[buckets] = counts
         for b in batches:
             for part in range(0, b.num_rows, 500):
                 c = b.slice(part, 500)
-                keys, sizes, bits = [], [], []
-                for t in c.column(1).to_pylist():
-                    h = shingle_set(t, n_words)
-                    k = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                n, node, keys = [], [], []
+                for t in c.column(2):
+                    h = shingle_set(t.as_py(), n_words)
+                    k = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                    n.append(len(h))
+                    node.append(node_of(h))
                     keys.append(h[np.lexsort((h, weight[(h % np.uint64(BUCKETS)).astype(np.int64)]))[:k]].view(np.int64))
-                    sizes.append(len(h))
-                    bits.append(parity(h))
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sizes, pa.int64()), pa.array(bits, kind), pa.array(keys, kind)], names=["node", "n", "bits", "keys"])
-
-    nodes = cut(each.mapInArrow(rare, "node bigint, n bigint, bits array<bigint>, keys array<bigint>"))
-    posted = nodes.select("node", "n", F.explode("keys").alias("key"))
-    in_list = Window.partitionBy("key").orderBy("n", "node")
-    me, before, head = F.struct("node", "n"), F.lag(F.struct("node", "n")).over(in_list), F.first(F.struct("node", "n")).over(in_list)
-    listed = cut(posted.withColumns({"prev": before, "next": F.lead("node").over(in_list), "first": head}).where("prev is not null or next is not null").select("key", "node", "n", "prev", "first"))
-    tested = listed.where("prev is not null").select(F.explode(F.array("prev", "first")).alias("x"), me.alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
-    bits = cut(nodes.select("node", "bits"))
-    discard(nodes)
-    links = _verified(each, bits, tested, n_words, similarity)
-    labels = connected_components(links)
-    # Longer lists in which components meet: every pair across them.
-    member = listed.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m > 3 and lo <> hi").select("key")
-    member = cut(member.join(mixed, "key"))
-    ordered = member.join(bits, "node").select("key", "n", "node", "label", "bits").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n", "node")
-    rest = ordered.mapInArrow(lambda batches: _pairs_in_lists(batches, similarity), "a bigint, b bigint").distinct()
-    more = _compared(each, cut(rest), n_words, similarity)
-    discard(member, listed, bits)
-    labels = connected_components(links.union(more))
-    found = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = found.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return rows.join(found.join(ids, "label").select("s1", "s2", "label", "component_id"), ["s1", "s2"]).select("doc_id", "row_key", "label", "component_id")
-
-
-def word_sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, text, s1, s2) for every row of docs (doc_id, text): 128 bits for its sequence of lower-cased words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in range(0, b.num_rows, 500):
-                c = b.slice(part, 500)
-                digests = b"".join(xxhash.xxh128_digest(b" ".join((t or "").encode().lower().split())) for t in c.column(2).to_pylist())
-                both = np.frombuffer(digests, ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(both[:, 1]), pa.array(both[:, 0])], names=["doc_id", "row_key", "text", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "keys"])
 
     src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
-    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, text string, s1 bigint, s2 bigint")
+    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, n bigint, node bigint, keys array<bigint>")
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """A bit for each class of hashes, two for each hash or more: whether a set has an odd number of it. Sets that differ in d hashes differ in d bits at most.
+def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row_key, label, component_id) for every row of docs: near copies by Jaccard similarity of shingles.
 
-    The number of words is a power of two; the halves of a fingerprint folded together by
-    exclusive or are that of half as many.
+    At a similarity of 0.8 the 64-bit fingerprints of two texts differ in ten bits and need not
+    share a byte: the guaranteed minimum of shared positional bytes is none, so the byte index
+    can't be used here without losing pairs. Instead the shingles themselves are the
+    positions of an inverted index with a guaranteed minimum: two sets of sizes up to n with
+    similarity t or more share one of the n - ceil(t n) + 1 rarest shingles of each, so only
+    these are posted, and of them only those that another set posts too. Frequent shingles
+    come last in the order of rarity, so that a passage of many documents posts where they
+    have nothing else. Lists are put together and compared in tiles of bounded size by
+    set_links, exact Jaccard decides. Documents with the same shingles are one before the
+    search; those without words are copies of each other. label tells components apart,
+    component_id is the smallest doc_id in one. Null doc_id: as in simhash_components(). Other
+    columns are ignored, an empty table gives no rows.
     """
-    words = max(PARITY_WORDS, 1 << math.ceil(math.log2(max(1, len(h) / 32))))
-    odd = np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def may_match(na: np.ndarray, nb: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each of a (rows) and each of b (columns): whether sets of these sizes and parity fingerprints can be that similar."""
-    words = min(map(len, [*a, *b]))
-    x, y = (np.stack([_folded(p, words) for p in side]).view(np.uint64) for side in (a, b))
-    differ = np.zeros((len(a), len(b)), np.int64)
-    for w in range(words):
-        differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-    na, nb = na[:, None], nb[None, :]
-    return (differ <= (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9)
-
-
-def _pairs_in_lists(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) of different labels in one list that can match, from rows (key, n, node, label, bits) in this order; a list is looked at in tiles, as far as sizes go."""
-
-    def lists() -> Iterator[list[tuple]]:
-        held: list[tuple] = []
-        for batch in batches:
-            key, n, node, label = (batch.column(i).to_numpy() for i in range(4))
-            for i in range(batch.num_rows):
-                if held and held[-1][0] != key[i]:
-                    yield held
-                    held = []
-                held.append((key[i], n[i], node[i], label[i], batch.column(4)[i].values.to_numpy()))
-        if held:
-            yield held
-
-    seen: set[tuple[int, int]] = set()
-
-    def found() -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.int64()) for c in (0, 1)], names=["a", "b"])
-        seen.clear()
-
-    for rows in lists():
-        n, node, label = (np.array([r[c] for r in rows]) for c in (1, 2, 3))
-        bits = [r[4] for r in rows]
-        for lo in range(0, len(rows), TILE):
-            i = slice(lo, lo + TILE)
-            for at in range(lo, len(rows), TILE):
-                j = slice(at, at + TILE)
-                if n[at] * similarity > n[i][-1] + 1e-9:
-                    break
-                fit = may_match(n[i], n[j], bits[i], bits[j], similarity) & (label[i][:, None] != label[j][None, :])
-                x, y = (node[side][at_] for side, at_ in zip((i, j), np.nonzero(fit), strict=True))
-                seen.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            if len(seen) > 100_000:
-                yield from found()
-    yield from found()
-
-
-def _verified(each: DataFrame, bits: DataFrame, pairs: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """Of pairs (a, na, b, nb) of nodes with the sizes of their sets those whose shingles are similar enough; cut."""
-    asked = pairs.where("a <> b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).distinct()
-    both_bits = asked.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = ([v.values.to_numpy() for v in b.column(i)] for i in (4, 5))
-            na, nb = (b.column(i).to_numpy() for i in (2, 3))
-            keep = [bool(may_match(na[i : i + 1], nb[i : i + 1], x[i : i + 1], y[i : i + 1], similarity)[0, 0]) for i in range(b.num_rows)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return _compared(each, cut(both_bits.mapInArrow(possible, "a bigint, b bigint")), n_words, similarity)
-
-
-def _compared(each: DataFrame, close: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """The pairs of close, a table of cut() that goes, whose shingles are similar enough; cut."""
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in range(0, b.num_rows, 200):
-                c = b.slice(part, 200)
-                keep = []
-                for x, y in zip(c.column(2).to_pylist(), c.column(3).to_pylist(), strict=True):
-                    sa, sb = shingle_set(x, n_words), shingle_set(y, n_words)
-                    n = len(np.intersect1d(sa, sb, assume_unique=True))
-                    keep.append(n >= similarity * (len(sa) + len(sb) - n) - 1e-9)
-                yield c.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # Texts travel, as their sets of hashes are twice as large.
-    both = close.join(each.toDF("a", "ta"), "a").join(each.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    links = cut(both.mapInArrow(alike, "a bigint, b bigint"))
-    discard(close)
-    return links
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity must be in (0, 1]: {similarity}")
+    docs = docs.select("doc_id", "text")
+    found = cut(rare_shingles(docs, n_words, similarity))
+    rows = found.drop("keys")
+    sets = cut(found.groupBy("node").agg(F.max("n").alias("n"), F.first("keys").alias("keys")))
+    each = sets.select("node", "n", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    posted = cut(each.join(shared, "key", "left_semi").select("key", "node", "n"))
+    discard(sets)
+    labels = similar_components(posted, texts_by_node(docs, rows.select("row_key", "node")), lambda t: shingle_set(t, n_words), similarity)
+    discard(posted)
+    named = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    return rows.join(named.join(ids, "label").select("node", "label", "component_id"), "node").select("doc_id", "row_key", "label", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:

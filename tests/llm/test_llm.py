@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runforge.llm import bpe, components, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, simhash, url_filter
+from runforge.llm import bpe, components, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, set_links, simhash, url_filter
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Nulls, empty and odd texts, repeated rows, ties.
@@ -197,11 +197,12 @@ def brute_near_duplicates(rows, t=0.8):
     return collections.Counter((r[0], least[g]) for r, g in zip(rows, group, strict=True))
 
 
-@pytest.mark.parametrize("buckets", [1 << 20, 64])
-def test_near_duplicates_equal_the_exact_join(spark, monkeypatch, buckets):
+@pytest.mark.parametrize("buckets, tile", [(1 << 20, 800), (64, 9)])
+def test_near_duplicates_equal_the_exact_join(spark, monkeypatch, buckets, tile):
     """Copies around the threshold, repeats, a passage that a third of all share, groups that only meet by way of others; few buckets are all frequent."""
     rng = random.Random(13)
     monkeypatch.setattr(simhash, "BUCKETS", buckets)
+    monkeypatch.setattr(set_links, "TILE_SETS", tile)
     passage = [f"p{i}" for i in range(60)]
     rows = list(EDGES)
     for g in range(40):
@@ -220,42 +221,6 @@ def test_near_duplicates_equal_the_exact_join(spark, monkeypatch, buckets):
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_parity_fingerprints_never_rule_out_a_match():
-    rng = np.random.default_rng(25)
-    for _ in range(300):
-        whole = rng.integers(0, 2**63, rng.integers(1, 3000)).astype(np.uint64)
-        a, b = (np.unique(whole[rng.random(len(whole)) < rng.choice([0.85, 0.95, 1])]) for _ in range(2))
-        n = len(np.intersect1d(a, b))
-        alike = bool(n) and n >= 0.8 * (len(a) + len(b) - n) - 1e-9
-        can = simhash.may_match(np.array([len(a)]), np.array([len(b)]), [simhash.parity(a)], [simhash.parity(b)], 0.8)[0, 0]
-        assert can or not alike
-
-
-@pytest.mark.parametrize("tile", [3, 512])
-def test_pairs_in_lists(monkeypatch, tile):
-    """Tiles find what every pair of a list would, whatever the widths of fingerprints."""
-    import pyarrow as pa
-
-    monkeypatch.setattr(simhash, "TILE", tile)
-    rng = np.random.default_rng(26)
-    rows, want = [], set()
-    for key in range(12):
-        base = rng.integers(0, 2**63, 2500).astype(np.uint64)
-        sets = [np.unique(base[: rng.choice([5, 60, 1000, 1100, 2500])]) for _ in range(rng.integers(1, 12))]
-        sets.sort(key=len)
-        mine = [(key, len(h), 1000 * key + i, int(rng.integers(3)), simhash.parity(h)) for i, h in enumerate(sets)]
-        rows += mine
-        for x, y in itertools.combinations(mine, 2):
-            can = simhash.may_match(np.array([x[1]]), np.array([y[1]]), [x[4]], [y[4]], 0.8)[0, 0]
-            if x[3] != y[3] and can:
-                want.add((x[2], y[2]))
-    assert len(want) > 20
-    batch = lambda some: pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in some], pa.int64()) for c in range(4)), pa.array([r[4] for r in some], pa.list_(pa.int64()))], names=["key", "n", "node", "label", "bits"])
-    got = [tuple(p.values()) for b in simhash._pairs_in_lists((batch(rows[i : i + 5]) for i in range(0, len(rows), 5)), 0.8) for p in b.to_pylist()]
-    assert want <= set(got)
-    assert all(a // 1000 == b // 1000 for a, b in got)
-
-
 # 3
 
 
