@@ -11,6 +11,8 @@ from runforge.lineage import cut
 
 #: Rows that one task may rank.
 BUCKET_ROWS = 100_000
+#: Hex digits of the buckets that a blend counts first; enough for BUCKET_ROWS * 16 ** 2 rows.
+FIRST_DIGITS = 2
 
 
 def seeded(seed: int, *keys: str) -> Column:
@@ -84,7 +86,10 @@ def concat_sources(*sources: DataFrame) -> DataFrame:
 
 def blend_shares(rows: DataFrame, n: int) -> DataFrame:
     """(source_ord, size, share): how many of n rows each source gives, by largest remainder; of equal remainders the later source. One row for each source."""
-    sizes = rows.groupBy("source_ord").agg(F.count("*").alias("size"))
+    return _shares(rows.groupBy("source_ord").agg(F.count("*").alias("size")), n)
+
+
+def _shares(sizes: DataFrame, n: int) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     exact = F.col("size") * F.lit(n) / F.sum("size").over(every)
     floors = sizes.withColumn("exact", exact).withColumn("whole", F.floor("exact"))
@@ -97,18 +102,26 @@ def blend(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
     keys identify a row within its source. copy counts a row's copies. n = -1 changes
     nothing. Rows are ranked by hash within hash buckets, of which there are more as the
-    sources grow, so that no task ranks a whole source.
+    sources grow, so that no task ranks a whole source. Rows are read twice: to count
+    buckets, from which sizes and shares follow, and to take them.
     """
     if n == -1:
         return rows.withColumn("copy", F.lit(0))
     if n <= 0:
         raise ValueError(f"n must be -1 or positive: {n}")
-    shares = blend_shares(rows, n).withColumns({"copies": F.floor(F.col("share") / F.col("size")).cast("int"), "rest": F.col("share") % F.col("size")})
-    hashed = rows.withColumn("_h", seeded(seed, "source_ord", *keys)).withColumn("_b", F.substring("_h", 1, _digits(rows.count())))
+    hashed = rows.withColumn("_h", seeded(seed, "source_ord", *keys))
+    counted = lambda digits: cut(hashed.groupBy("source_ord", F.substring("_h", 1, digits).alias("_b")).agg(F.count("*").alias("_c")))
+    digits = FIRST_DIGITS
+    counts = counted(digits)
+    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    if _digits(total) > digits:
+        digits = _digits(total)
+        counts = counted(digits)
+    sizes = counts.groupBy("source_ord").agg(F.sum("_c").alias("size"))
+    shares = _shares(sizes, n).withColumns({"copies": F.floor(F.col("share") / F.col("size")).cast("int"), "rest": F.col("share") % F.col("size")})
     # How many rows come before each bucket.
-    counts = hashed.groupBy("source_ord", "_b").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("source_ord").orderBy("_b")) - F.col("_c")).drop("_c")
-    placed = hashed.join(shares.drop("size", "share"), "source_ord").join(before, ["source_ord", "_b"])
+    placed = hashed.withColumn("_b", F.substring("_h", 1, digits)).join(shares.drop("size", "share"), "source_ord").join(before, ["source_ord", "_b"])
     rank = F.row_number().over(Window.partitionBy("source_ord", "_b").orderBy("_h", *keys)) + F.col("_before")
     times = F.col("copies") + F.when(F.col("_rank") <= F.col("rest"), 1).otherwise(0)
     return placed.withColumn("_rank", rank).withColumn("_t", times).where("_t > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).drop("_h", "_b", "_before", "_rank", "_t", "copies", "rest")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runforge.functions.text import strip_verilog
 from runforge.functions.tokens import count_tokens, hash_fraction, md5_fraction, sum_tokens
 from runforge.lineage import cut
+from runforge.operators import quantiles
 from runforge.schemas import FILE
 
 #: Words that may stand where a module's name stands in an instance (fixed values).
@@ -96,15 +97,20 @@ def to_generation_context(contexts: DataFrame, instructions: str, exact_hash: bo
     return named.withColumn("_inst", inst).withColumns({"dut_top_module_name": F.col("_top"), "dut_top_instance_name": F.col("_inst"), "instructions": F.coalesce("instructions", text)}).drop("_r", "_top", "_inst")
 
 
-def length_profile(contexts: DataFrame, max_tokens: int) -> DataFrame:
-    """(stage, n, n_with_spec, min, max, mean, q1, q2, q3) of rtl_tokens over all designs, those with one top, and the short and long of these. One pass."""
+def length_profile(contexts: DataFrame, max_tokens: int, sketch: int | None = None) -> DataFrame:
+    """(stage, n, n_with_spec, min, max, mean, q1, q2, q3) of rtl_tokens over all designs, those with one top, and the short and long of these. One pass.
+
+    Quartiles are exact and interpolated. With sketch they are values of rtl_tokens by a
+    sketch of this size, whose ranks are off by quantiles.rank_error(sketch) of the rows.
+    """
     single = F.size("potential_top") == 1
     stages = F.filter(F.array(F.lit("all"), F.when(single, "single_top"), F.when(single & (F.col("rtl_tokens") <= max_tokens), "short"), F.when(single & (F.col("rtl_tokens") > max_tokens), "long")), lambda s: s.isNotNull())
-    q = F.percentile("rtl_tokens", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    ranks = (0.25, 0.5, 0.75)
+    q = F.percentile("rtl_tokens", F.array(*map(F.lit, ranks))) if sketch is None else F.kll_sketch_agg_bigint(F.col("rtl_tokens").cast("bigint"), sketch)
     out = contexts.select("rtl_tokens", (F.size("spec_files") > 0).alias("spec"), F.explode(stages).alias("stage")).groupBy("stage").agg(
         F.count("*").alias("n"), F.count_if("spec").alias("n_with_spec"), F.min("rtl_tokens").alias("min"), F.max("rtl_tokens").alias("max"), F.avg("rtl_tokens").alias("mean"), q.alias("q")
     )
-    return out.select("stage", "n", "n_with_spec", "min", "max", "mean", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
+    return out.select("stage", "n", "n_with_spec", "min", "max", "mean", *((F.col("q")[i] if sketch is None else quantiles.quantile("q", r).cast("double")).alias(f"q{i + 1}") for i, r in enumerate(ranks)))
 
 
 def _file(name: Column | str, content: Column) -> Column:

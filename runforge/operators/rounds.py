@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.operators.scoring import KEY, result_order
+from runforge.schemas import MESSAGE
 
 SAMPLE = (*KEY, "repeat_index")
 
@@ -106,11 +107,30 @@ def markov_snapshot(rounds: DataFrame) -> DataFrame:
     return joined.withColumn("prompt", prompt).drop("_before", "_first", "_said")
 
 
+def message_log(rounds: DataFrame) -> DataFrame:
+    """(sample keys, log, upto): all that was said in a sample, each message once, and for each round how many of these messages it saw.
+
+    A log begins with the first round's messages; answer and feedback of each round follow,
+    nothing where either is null. upto maps a round index to a length of the log.
+    """
+    none = F.array().cast(f"array<{MESSAGE}>")
+    said = F.coalesce(F.concat("answer", "feedback"), none).cast(f"array<{MESSAGE}>")
+    each = F.array_sort(F.collect_list(F.struct("round_index", F.coalesce("messages", none).cast(f"array<{MESSAGE}>").alias("messages"), said.alias("said"))))
+    whole = rounds.groupBy(*SAMPLE).agg(each.alias("r")).withColumn("first", F.get("r", F.lit(0))["messages"])
+    start = F.struct(F.size("first").alias("n"), F.array().cast("array<struct<i: int, n: int>>").alias("upto")).cast("struct<n: int, upto: array<struct<i: int, n: int>>>")
+    seen = F.aggregate("r", start, lambda s, x: F.struct((s["n"] + F.size(x["said"])).alias("n"), F.concat(s["upto"], F.array(F.struct(x["round_index"].cast("int").alias("i"), s["n"].alias("n")))).alias("upto")))
+    return whole.select(*SAMPLE, F.concat("first", F.flatten(F.transform("r", lambda x: x["said"]))).alias("log"), F.map_from_entries(seen["upto"]).alias("upto"))
+
+
 def full_history(rounds: DataFrame) -> DataFrame:
-    """Adds prompt: the first messages and all answers and feedback before, in order. Grows with the square of the rounds."""
-    w = Window.partitionBy(*SAMPLE).orderBy("round_index")
-    said = F.collect_list(F.concat("answer", "feedback")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rounds.withColumn("prompt", F.concat(F.first("messages").over(w), F.flatten(said)))
+    """Adds prompt: the first messages and all answers and feedback before, in order.
+
+    Prompts grow with the square of the rounds, so they are cut from the sample's
+    message_log() where rows come out; what is shuffled is each message once or twice. To
+    keep the output small too, write message_log() and expand later.
+    """
+    log = message_log(rounds)
+    return rounds.join(log, list(SAMPLE)).withColumn("prompt", F.slice("log", F.lit(1), F.try_element_at("upto", F.col("round_index").cast("int")))).drop("log", "upto")
 
 
 def stop_when_full(rounds: DataFrame) -> DataFrame:

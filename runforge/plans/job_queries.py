@@ -107,8 +107,8 @@ def s6_read_round_histories(spark, sf):
 
 # S7: some lists are broken; of the others counts and what the last round began with and the sample ended with.
 @query(f"""with {ROUND_INPUTS}, p as (select *, lag(upto) over (partition by dataset, context_id, repeat_index order by round_index) as prior from b),
-f as (select dataset, context_id, repeat_index, (count(*) + case when count(*) = 4 then 1 else 0 end)::int as n_entries, count(*) filter (k % 17 = 0)::int as n_errors,
-  max(case when round_index = last_round then coalesce(prior.d, 0) end) as last_best, case when count(*) = 4 then max(final.d) end as final_best from p group by 1, 2, 3)
+f as (select dataset, context_id, repeat_index, case when any_value(gone) then 1 else (count(*) + case when count(*) = 4 then 1 else 0 end)::int end as n_entries, case when any_value(gone) then 1 else count(*) filter (k % 17 = 0)::int end as n_errors,
+  max(case when round_index = last_round and not gone then coalesce(prior.d, 0) end) as last_best, case when count(*) = 4 and not any_value(gone) then max(final.d) end as final_best from p group by 1, 2, 3)
 select dataset, context_id, repeat_index, n_entries, n_errors, last_best, final_best, null as reason from f where repeat_index % 5 <> 3 union all select null, null, null, null, null, null, null, 'no JSON list' from f where repeat_index % 5 = 3""")
 def s7_read_round_inputs(spark, sf):
     path = F.concat(F.concat_ws("/", *KEY), F.lit("/agentic_eval_round_inputs_"), F.col("repeat_index"), F.lit(".json"))
@@ -140,10 +140,11 @@ def s8_read_best_entries(spark, sf):
     return readers.read_best_entries(spark, root, "/runs/r1").select(*RUN, "overall_coverage")
 
 
-@query("select 0 as source_ord, doc_id, text, lang from documents where lang = 'en' union all select 1, doc_id, text, null from documents where lang <> 'en'")
+@query("select 0 as source_ord, doc_id, text, lang from documents where lang is not distinct from 'en' union all select 1, doc_id, text, null from documents where lang is distinct from 'en'")
 def s9_s10_jsonl(spark, sf):
     d = staging.load(spark, sf, "documents")
-    parts = [d.where("lang = 'en'").select("doc_id", "text", "lang"), d.where("lang <> 'en'").select("doc_id", "text", F.lit(None).cast("string").alias("lang"))]
+    en = F.col("lang").eqNullSafe("en")
+    parts = [d.where(en).select("doc_id", "text", "lang"), d.where(~en).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))]
     paths = [_below(spark) for _ in parts]
     for rows, path in zip(parts, paths, strict=True):
         writers.write_jsonl(rows, path)
@@ -162,15 +163,17 @@ def s12_write_selection(spark, sf):
     root = _below(spark)
     writers.write_selection(_best(spark, sf).withColumn("pick", F.lit("median")), root, COHORTS)
     none = [F.lit(None).cast("string").alias(c) for c in (*RUN, "pick")]
-    stats = spark.read.json(f"{root}/eval_stats").select(*none, "total_items")
-    return spark.read.parquet(f"{root}/manifest").select(*RUN, "pick", F.lit(None).cast("bigint").alias("total_items")).unionByName(stats)
+    manifest, stats = readers.read_selection(spark, root)
+    stats = stats.select(*none, "total_items")
+    return manifest.select(*RUN, "pick", F.lit(None).cast("bigint").alias("total_items")).unionByName(stats)
 
 
-@query("select split, doc_id, lang from (select doc_id, lang, case when lang = 'en' then 'eval' else 'train' end as split from documents)")
+@query("select case when lang is not distinct from 'en' then 'eval' else 'train' end as split, doc_id, lang from documents")
 def s13_publish_split(spark, sf):
     root, d = _below(spark), staging.load(spark, sf, "documents").select("doc_id", "lang")
-    for split, rows in (("eval", d.where("lang = 'en'")), ("train", d.where("lang <> 'en'"))):
-        writers.publish_split(rows, root, split)
+    en = F.col("lang").eqNullSafe("en")
+    writers.publish_splits({"eval": d, "train": d.where(~en)}, root)
+    writers.publish_split(d.where(en), root, "eval")  # replaces what was published first
     return spark.read.parquet(root).select("split", "doc_id", "lang")
 
 
@@ -202,13 +205,13 @@ def _contexts(spark, sf) -> DataFrame:
     )
 
 
-@query(f"""with {BEST}, {CONTEXTS}, f as (select * from best join c using (dataset, context_id) where k % 2 = 0)
+@query(f"""with {BEST}, {CONTEXTS}, f as (select * from best join c using (dataset, context_id) where k % 7 <> 0)
 select dataset, context_id, run_id as prev_run_id, unnest(range(2))::int as repeat_index, 'Parsed:' || chr(10) || '- type: full' || chr(10) || '- status: ok' || '|' || 'Run:' || chr(10) || '- status: ' || status || chr(10) || '- stage: '
  || case status when 'xrun_failed' then 'xrun' || chr(10) || '- log: log ' || run_id when 'success' then 'success' || chr(10) || '- coverage: seen ' || run_id else 'imc' || chr(10) || '- log: log ' || run_id end
  || '|' || 'Next:' || chr(10) || case status when 'xrun_failed' then 'fix the build' when 'success' then 'cover more' else 'fix the report' end as said from f""")
 def e2_build_followup_requests(spark, sf):
     r = staging.runs(spark, sf)
-    tbs = r.where("k % 2 = 0").select(*RUN, F.lit("tb.sv").alias("name"), F.concat(F.lit("tb "), "run_id").alias("content"))
+    tbs = r.where("k % 7 <> 0").select(*RUN, F.lit("tb.sv").alias("name"), F.concat(F.lit("tb "), "run_id").alias("content"))
     info = F.struct(F.concat(F.lit("seen "), "run_id").alias("detail"))
     results = r.select(*RUN, F.to_json(F.struct("status", F.concat(F.lit("log "), "run_id").alias("err_msg"), info.alias("cov_info"))).alias("result_json"))
     ask = {"fix_xrun": "fix the build", "fix_imc": "fix the report", "improve": "cover more"}
@@ -218,11 +221,11 @@ def e2_build_followup_requests(spark, sf):
 
 @query(f"""with {RESULTS}, {CONTEXTS}, v as (select *, {VERDICT} as v from res join c using (dataset, context_id))
 select dataset, context_id, run_id, '// File: m.sv' || chr(10) || c_name || '// File: s.md' || chr(10) || c_mktsegment || '/test ' || c_name as asked, 'filename: tb.sv' || chr(10) || '```systemverilog' || chr(10) || 'tb ' || run_id || chr(10) || '```' as answer,
- 'direct_infer' as run_type, v = 'ok' as is_pass_targets, round(overall_coverage::varchar::decimal(38, 20), 4)::double as overall_coverage, null as eval_error from v where v <> 'error' and k % 2 = 0
+ 'direct_infer' as run_type, v = 'ok' as is_pass_targets, round(overall_coverage::varchar::decimal(38, 20), 4)::double as overall_coverage, null as eval_error from v where v <> 'error' and k % 7 <> 0
 union all select dataset, context_id, run_id, null, null, null, null, null, 'missing instance' from v where v = 'error'""")
 def e3_collect_direct_rows(spark, sf):
     r = staging.runs(spark, sf)
-    tbs = r.where("k % 2 = 0").select(*RUN, F.lit("tb.sv").alias("name"), F.concat(F.lit("tb "), "run_id").alias("content"))
+    tbs = r.where("k % 7 <> 0").select(*RUN, F.lit("tb.sv").alias("name"), F.concat(F.lit("tb "), "run_id").alias("content"))
     rows, bad = jobs.collect_direct_rows(_results(spark, sf), _contexts(spark, sf), tbs, "rules", "{context}/{instructions}")
     good = rows.select(*RUN, F.col("input")[1]["content"].alias("asked"), F.col("output.content").alias("answer"), "run_type", "cov_result.is_pass_targets", "cov_result.overall_coverage", F.lit(None).cast("string").alias("eval_error"))
     none = [F.lit(None).cast(t).alias(c) for c, t in good.dtypes if c not in (*RUN, "eval_error")]

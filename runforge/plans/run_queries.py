@@ -233,20 +233,20 @@ def w7_post_round_best(spark, sf):
     return e.withColumn("b", rounds.post_round_best(F.col("entries"), F.col("round_index"))).select(*KEY, "repeat_index", "round_index", *(F.col(f"b.{c}").alias(c) for c in staging.RESULT_ORDER))
 
 
-@query(f"""with {ROUND_INPUTS}, t as (select c, dataset, context_id, count(*) as n, sum(best.d) as cov, avg(best.a::int) as x1, max(best.a::int) as xk, avg(best.c::int) as t1, max(best.c::int) as tk from after group by 1, 2, 3)
-select c as max_round, round(avg(x1), 6) as pass_xrun_at_1, round(avg(xk), 6) as pass_xrun_at_k, round(avg(t1), 6) as pass_targets_at_1, round(avg(tk), 6) as pass_targets_at_k, round(sum(cov) / sum(n), 6) as avg_overall_cov,
- sum(n)::bigint as samples, 0::bigint as missing, least(5, max(n))::int as pass_k from t group by 1""")
+@query(f"""with {ROUND_INPUTS}, t as (select c, dataset, context_id, count(*) as n, count(best) as here, sum(best.d) as cov, avg(best.a::int) as x1, max(best.a::int) as xk, avg(best.c::int) as t1, max(best.c::int) as tk from after group by 1, 2, 3)
+select c as max_round, round(avg(x1), 6) as pass_xrun_at_1, round(avg(xk), 6) as pass_xrun_at_k, round(avg(t1), 6) as pass_targets_at_1, round(avg(tk), 6) as pass_targets_at_k, round(sum(cov) / sum(here), 6) as avg_overall_cov,
+ sum(n)::bigint as samples, sum(n - here)::bigint as missing, least(5, greatest(max(here), 1))::int as pass_k from t group by 1""")
 def a8_metrics_by_round(spark, sf):
     return _r6(rounds.metrics_by_round(staging.round_inputs(spark, sf)))
 
 
-@query(f"""with {ROUND_INPUTS} select a.c as round_index, count(*) filter (a.best.d > b.best.d) as improved, count(*) as total from after a join after b
+@query(f"""with {ROUND_INPUTS} select a.c as round_index, count(*) filter (a.best.d > b.best.d) as improved, count(*) filter (a.best is not null and b.best is not null) as total from after a join after b
  on a.dataset = b.dataset and a.context_id = b.context_id and a.repeat_index = b.repeat_index and a.c = b.c + 1 group by 1""")
 def a9_round_improvements(spark, sf):
     return rounds.round_improvements(staging.round_inputs(spark, sf))
 
 
-@query(f"""with {ROUNDS}, e as (select max(round_index) as r from rounds group by dataset, context_id, repeat_index having bool_or(k % 17 = 0))
+@query(f"""with {ROUNDS}, e as (select max(round_index) as r from rounds group by dataset, context_id, repeat_index having bool_or(k % 17 = 0) and arg_min(k, round_index) % 19 <> 7)
 select g.i as round_index, count(e.r) as errors from (select unnest(range(4))::int as i) g left join e on e.r = g.i group by 1""")
 def a10_errors_by_round(spark, sf):
     return rounds.errors_by_round(staging.round_inputs(spark, sf))
@@ -350,10 +350,10 @@ def j2_keep_best_run(spark, sf):
     return attach.keep_best_run(runs, scoring.best_of_n(runs, "event_id")).select(*RUN, "status")
 
 
-@query(f"with {BEST} select dataset, context_id, run_id as prev_run_id, 'tb_' || run_id as tb_content, '{{}}' || event_id as prev_result_json_raw from best where k % 2 = 0")
+@query(f"with {BEST} select dataset, context_id, run_id as prev_run_id, 'tb_' || run_id as tb_content, '{{}}' || event_id as prev_result_json_raw from best where k % 7 <> 0")
 def j3_j11_previous_state(spark, sf):
     runs = staging.runs(spark, sf)
-    tbs = runs.where("k % 2 = 0").select(*RUN, F.lit("tb.sv").alias("name"), F.concat(F.lit("tb_"), "run_id").alias("content"))
+    tbs = runs.where("k % 7 <> 0").select(*RUN, F.lit("tb.sv").alias("name"), F.concat(F.lit("tb_"), "run_id").alias("content"))
     results = runs.select(*RUN, F.concat(F.lit("{}"), "event_id").alias("result_json"))
     return attach.previous_state(scoring.best_of_n(runs, "event_id"), tbs, results).select(*KEY, "prev_run_id", F.col("prev_tb.content").alias("tb_content"), "prev_result_json_raw")
 
@@ -376,6 +376,16 @@ def w14_pick_testbench(spark, sf):
     return attach.pick_testbench(files, design, "label").select(*KEY, "name")
 
 
+@query(f"""with {FILES}, d as (select distinct dataset, context_id, name from g), s as (select dataset, context_id, count(*) filter (regexp_matches(name, '[.](sv|v|vh)$')) as n, min(name) filter (regexp_matches(name, '[.](sv|v|vh)$')) as name from d group by 1, 2)
+select 'strict' as policy, dataset, context_id, case when n = 1 then name end as name, case when n <> 1 then n || ' testbench files' end as pick_error from s
+union all select 'resume', dataset, context_id, arg_min(name, (case when ends_with(name, '.sv') then '0' else '1' end) || name), null from d where name <> 'rtl.sv' group by 2, 3""")
+def w14_strict_and_resume(spark, sf):
+    files = _files(spark, sf)
+    design = files.select(*KEY).distinct().select(*KEY, F.lit("rtl.sv").alias("name"), F.lit("rtl").alias("kind"))
+    strict, resume = (attach.pick_testbench(files, design, policy).select(F.lit(policy).alias("policy"), *KEY, "name", "pick_error") for policy in ("strict", "resume"))
+    return strict.unionByName(resume)
+
+
 @query(f"with {RUNS} select dataset, context_id, run_id from runs order by dataset, context_id, run_id offset 100 limit 250")
 def p3_slice_rows(spark, sf):
     return blend.slice_rows(staging.runs(spark, sf), 100, 350, *RUN).select(*RUN)
@@ -437,10 +447,10 @@ def e6_evaluate_samples(spark, sf):
     return _r6(every)
 
 
-@query(f"""with {ROUND_INPUTS}, t as (select c, dataset, context_id, count(*) as n, sum(best.d) as cov, avg(best.a::int) as x1, max(best.a::int) as xk, avg(best.c::int) as t1, max(best.c::int) as tk from after group by 1, 2, 3),
-e as (select max(round_index) as r from rounds group by dataset, context_id, repeat_index having bool_or(k % 17 = 0))
-select 'metrics' as report, c as round_index, round(avg(x1), 6) as a, round(avg(xk), 6) as b, round(avg(t1), 6) as c, round(avg(tk), 6) as d, round(sum(cov) / sum(n), 6) as e from t group by 2
-union all select 'improvements', a.c, count(*) filter (a.best.d > b.best.d), count(*), null, null, null from after a join after b on a.dataset = b.dataset and a.context_id = b.context_id and a.repeat_index = b.repeat_index and a.c = b.c + 1 group by 2
+@query(f"""with {ROUND_INPUTS}, t as (select c, dataset, context_id, count(*) as n, count(best) as here, sum(best.d) as cov, avg(best.a::int) as x1, max(best.a::int) as xk, avg(best.c::int) as t1, max(best.c::int) as tk from after group by 1, 2, 3),
+e as (select max(round_index) as r from rounds group by dataset, context_id, repeat_index having bool_or(k % 17 = 0) and arg_min(k, round_index) % 19 <> 7)
+select 'metrics' as report, c as round_index, round(avg(x1), 6) as a, round(avg(xk), 6) as b, round(avg(t1), 6) as c, round(avg(tk), 6) as d, round(sum(cov) / sum(here), 6) as e from t group by 2
+union all select 'improvements', a.c, count(*) filter (a.best.d > b.best.d), count(*) filter (a.best is not null and b.best is not null), null, null, null from after a join after b on a.dataset = b.dataset and a.context_id = b.context_id and a.repeat_index = b.repeat_index and a.c = b.c + 1 group by 2
 union all select 'errors', g.i, count(e.r), null, null, null, null from (select unnest(range(4))::int as i) g left join e on e.r = g.i group by 2""")
 def e8_report_rounds(spark, sf):
     out = jobs.report_rounds(staging.round_inputs(spark, sf))

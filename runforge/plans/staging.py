@@ -73,13 +73,14 @@ ROUNDS = SAMPLES + ", rounds as (select * replace ((repeat_index // 4)::int as r
 def round_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of each sample: every round with the best result before it, and the final best if there are all four rounds.
 
-    A round whose k is a multiple of 17 has an error.
+    A round whose k is a multiple of 17 has an error. A sample whose first k leaves 7 of 19
+    has nothing but an error and so no result.
     """
     w = Window.partitionBy(*KEY, "repeat_index").orderBy("round_index").rowsBetween(Window.unboundedPreceding, -1)
     nothing = F.struct(F.lit(False), F.lit(False), F.lit(False), F.lit(0.0)).cast(SLIM)
     best = F.coalesce(F.max(F.struct(*RESULT_ORDER)).over(w).cast(SLIM), nothing)
     rows = rounds(spark, sf_dir).withColumn("best", best).groupBy(*KEY, "repeat_index").agg(
-        F.array_sort(F.collect_list(F.struct("round_index", "k", "best"))).alias("rows"), F.max(F.struct(*RESULT_ORDER)).cast(SLIM).alias("final"), F.count("*").alias("n")
+        F.array_sort(F.collect_list(F.struct("round_index", "k", "best"))).alias("rows"), (F.min_by("k", "round_index") % 19 == 7).alias("gone"), F.max(F.struct(*RESULT_ORDER)).cast(SLIM).alias("final"), F.count("*").alias("n")
     )
     none, messages = F.lit(None).cast(COV_RESULT), F.array().cast(f"array<{MESSAGE}>")
 
@@ -91,7 +92,8 @@ def round_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     each = F.transform("rows", lambda x: entry(x["round_index"], result(x["best"]), none, F.when(x["k"] % 17 == 0, F.lit("failed"))))
     last = entry(F.lit(None).cast("int"), none, result(F.col("final")), F.lit(None).cast("string"))
-    return rows.select(*KEY, "repeat_index", F.when(F.col("n") == ROUNDS_IN_SAMPLE, F.concat(each, F.array(last))).otherwise(each).alias("entries"))
+    lost = F.array(entry(F.lit(None).cast("int"), none, none, F.lit("failed")))
+    return rows.select(*KEY, "repeat_index", F.when(F.col("gone"), lost).when(F.col("n") == ROUNDS_IN_SAMPLE, F.concat(each, F.array(last))).otherwise(each).alias("entries"))
 
 
 # b: the order of the best result before each round; after: that after round c.
@@ -100,11 +102,11 @@ ROUND_INPUTS = (
     + """,
 b as (select *, max(ord) over (partition by dataset, context_id, repeat_index order by round_index rows between unbounded preceding and current row) as upto,
   max(round_index) over (partition by dataset, context_id, repeat_index) as last_round,
-  max(ord) over (partition by dataset, context_id, repeat_index) as final from rounds),
-inputs as (select distinct dataset, context_id, repeat_index, last_round, final from b),
+  max(ord) over (partition by dataset, context_id, repeat_index) as final, first_value(k) over (partition by dataset, context_id, repeat_index order by round_index) % 19 = 7 as gone from rounds),
+inputs as (select distinct dataset, context_id, repeat_index, last_round, final, gone from b),
 caps as (select unnest(range(4))::int as c),
 after as (select i.dataset, i.context_id, i.repeat_index, c,
-  case when c < i.last_round then (select upto from b where b.dataset = i.dataset and b.context_id = i.context_id and b.repeat_index = i.repeat_index and b.round_index = c)
+  case when i.gone then null when c < i.last_round then (select upto from b where b.dataset = i.dataset and b.context_id = i.context_id and b.repeat_index = i.repeat_index and b.round_index = c)
        when i.last_round = 3 then i.final
        when i.last_round = 0 then {'a': false, 'b': false, 'c': false, 'd': 0e0}
        else (select upto from b where b.dataset = i.dataset and b.context_id = i.context_id and b.repeat_index = i.repeat_index and b.round_index = i.last_round - 1) end as best

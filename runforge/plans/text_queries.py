@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runforge import lineage
 from runforge.functions import chat, patches, text, tokens
-from runforge.operators import blend, designs, sft, similarity, token_cache
+from runforge.operators import blend, designs, quantiles, sft, similarity, token_cache
 from runforge.plans import jobs, staging
 from runforge.plans.run_queries import _r6, query
 from runforge.plans.staging import CHATS, DESIGNS, KEY, PAIRS
@@ -132,28 +133,27 @@ def u2_blend_shares(spark, sf):
 
 def _sources(spark, sf):
     d = staging.load(spark, sf, "documents").select("doc_id", "lang")
-    names = d.select("lang").distinct().orderBy("lang")
-    from pyspark.sql import Window
-
-    ords = names.withColumn("source_ord", F.row_number().over(Window.orderBy("lang")) - 1)
-    return d.join(ords, "lang")
+    # A row for each language; a null one comes last.
+    ords = d.select(F.col("lang").alias("_l")).distinct().withColumn("source_ord", F.row_number().over(Window.orderBy(F.col("_l").asc_nulls_last())) - 1)
+    return d.join(ords, d["lang"].eqNullSafe(ords["_l"])).drop("_l")
 
 
 @query("""with s as (select (dense_rank() over (order by lang) - 1)::int as source_ord, doc_id from documents), z as (select source_ord, count(*) as size, (select count(*) from documents) as total from s group by 1),
 e as (select *, size * (2 * total + 5) / total as exact from z), f as (select *, floor(exact) as whole from e),
-h as (select source_ord, size, whole + case when row_number() over (order by exact - whole desc, source_ord desc) <= (2 * total + 5) - sum(whole) over () then 1 else 0 end as share from f)
-select source_ord, share::bigint as n, size as n_distinct, (share // size)::bigint as least_copies from h""")
+h as (select source_ord, size, (whole + case when row_number() over (order by exact - whole desc, source_ord desc) <= (2 * total + 5) - sum(whole) over () then 1 else 0 end)::bigint as share from f),
+r as (select s.*, row_number() over (partition by source_ord order by md5(concat_ws('|', 42, source_ord, doc_id)), doc_id) as rk from s)
+select source_ord, doc_id, (share // size + case when rk <= share % size then 1 else 0 end)::bigint as copies from r join h using (source_ord)""")
 def u2_blend(spark, sf):
+    """Growing: how often every row is taken."""
     rows = _sources(spark, sf)
     out = blend.blend(rows, 2 * rows.count() + 5, 42, "doc_id")
-    by = out.groupBy("source_ord", "doc_id").agg(F.count("*").alias("c"))
-    return by.groupBy("source_ord").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.min("c").alias("least_copies"))
+    return out.groupBy("source_ord", "doc_id").agg(F.count("*").alias("copies"))
 
 
-@query("select (case when lang = 'en' then 0 else 1 end)::int as source_ord, count(*) as n from documents group by 1")
+@query("select (case when lang is not distinct from 'en' then 0 else 1 end)::int as source_ord, count(*) as n from documents group by 1")
 def u1_concat_sources(spark, sf):
     d = staging.load(spark, sf, "documents").select("doc_id", "lang")
-    return blend.concat_sources(d.where("lang = 'en'"), d.where("lang <> 'en'")).groupBy("source_ord").agg(F.count("*").alias("n"))
+    return blend.concat_sources(d.where(F.col("lang").eqNullSafe("en")), d.where(~F.col("lang").eqNullSafe("en"))).groupBy("source_ord").agg(F.count("*").alias("n"))
 
 
 @query(f"with {DESIGNS} select d::varchar as context_id, array_to_string(tops, ',') as tops from tops")
@@ -184,6 +184,23 @@ def a11_length_profile(spark, sf):
     return _r6(designs.length_profile(d, 100))
 
 
+@query(f"""with {DESIGNS}, s as (select size, unnest(['all', case when len(tops) = 1 then 'single_top' end, case when len(tops) = 1 and size <= 100 then 'short' end, case when len(tops) = 1 and size > 100 then 'long' end]) as stage from tops)
+select stage, count(*) as n, quantile_cont(size, 0.25) as q1, quantile_cont(size, 0.5) as q2, quantile_cont(size, 0.75) as q3, 3 as n_within from s where stage is not null group by 1""")
+def a11_sketched_profile(spark, sf):
+    """Exact quartiles, and how many of the sketched ones have a rank within the stated error; sketches of parts are merged."""
+    d = designs.with_tops(staging.designs(spark, sf)).withColumn("rtl_tokens", F.col("size"))
+    exact = designs.length_profile(d, 100).select("stage", "n", "q1", "q2", "q3")
+    single = F.size("potential_top") == 1
+    stages = F.array_compact(F.array(F.lit("all"), F.when(single, "single_top"), F.when(single & (F.col("size") <= 100), "short"), F.when(single & (F.col("size") > 100), "long")))
+    rows = d.select(F.explode(stages).alias("stage"), F.col("size").alias("v"), F.pmod(F.xxhash64("context_id"), F.lit(7)).alias("part"))
+    whole = quantiles.merged(quantiles.sketches(rows, "v", "stage", "part"), "stage")
+    shown = whole.select("stage", F.posexplode(F.array(*(quantiles.quantile("sketch", r) for r in (0.25, 0.5, 0.75)))).alias("i", "x"))
+    ranks = rows.join(shown, "stage").groupBy("stage", "i").agg(F.avg((F.col("v") < F.col("x")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("x")).cast("int")).alias("upto"))
+    at, e = (F.col("i") + 1) / 4.0, quantiles.rank_error()
+    within = ranks.groupBy("stage").agg(F.count_if((F.col("below") <= at + e) & (F.col("upto") >= at - e)).cast("int").alias("n_within"))
+    return exact.join(within, "stage")
+
+
 @query("""select p_partkey, '`define SIZE ' || p_size || chr(10) || 'x' || chr(10) as raw, chr(10) || 'x  wire [:0] w;' || chr(10) as stripped from part""")
 def f1_strip_verilog(spark, sf):
     p = staging.load(spark, sf, "part")
@@ -316,20 +333,22 @@ def s3_normalize_nested(spark, sf):
 
 
 @query(f"""with {PAIRS}, best as (select * from better qualify row_number() over (partition by dataset, context_id order by overall_coverage - p_cov desc, event_id) = 1),
-one as (select dataset, context_id, case when p_h then 'agentic_coverage' else 'agentic_xrun' end as run_type, 'rules' as system, case when k % 6 <> 5 then 'task ' || run_id end as instruction, 'answer ' || run_id as output, case when k % 6 = 5 then 'system' end as chat_error from best),
-good as (select dataset from one where chat_error is null)
+one as (select dataset, context_id, case when p_h then 'agentic_coverage' else 'agentic_xrun' end as run_type, 'rules' as system, case when k % 6 <> 5 then 'task ' || run_id end as instruction, 'answer ' || run_id || repeat(' word', k::int % 23) as output,
+  case when k % 6 = 5 then 'system' end as chat_error, 5 + k::int % 23 as said from best),
+good as (select dataset, length(instruction) + length(output) as chars, said + 3 as tokens from one where chat_error is null), edge as (select dataset, quantile_cont(chars, 0.99) as c from good group by 1),
+tail as (select dataset, max(tokens)::int as longest from good join edge using (dataset) where chars >= c group by 1)
 select dataset, context_id, run_type, case when chat_error is null then system end as system, instruction, output, chat_error, null::int as longest from one
-union all select distinct dataset, null, null, null, null, null, null, 1 from good""")
+union all select dataset, null, null, null, null, null, null, longest from tail""")
 def e5_refine_sft(spark, sf):
     say = lambda role, t: F.struct(F.lit(role).alias("role"), t.alias("content"))
     task = say("user", F.concat(F.lit("task "), "run_id"))
     k = staging.rounds(spark, sf).select(*KEY, "run_id", "k")
     rows = staging.pairs(spark, sf).join(k, [*KEY, "run_id"]).withColumns({
-        "input": F.when(F.col("k") % 6 == 5, F.array(task)).otherwise(F.array(say("system", F.lit("rules")), task)), "output": say("assistant", F.concat(F.lit("answer "), "run_id")), "run_type": F.lit("agentic"),
+        "input": F.when(F.col("k") % 6 == 5, F.array(task)).otherwise(F.array(say("system", F.lit("rules")), task)), "output": say("assistant", F.concat(F.lit("answer "), "run_id", F.repeat(F.lit(" word"), F.col("k") % 23))), "run_type": F.lit("agentic"),
     })
     every = None
     for name in sorted(r["dataset"] for r in rows.select("dataset").distinct().collect()):
-        out = jobs.refine_training_rows(rows.where(F.col("dataset") == name), None, "event_id", tokens_of=F.lit(1))
+        out = jobs.refine_training_rows(rows.where(F.col("dataset") == name), None, "event_id")
         cols = [*KEY, "run_type", "system", "instruction", "output"]
         longest = out["longest"].select(F.lit(name).alias("dataset"), *(F.lit(None).cast("string").alias(c) for c in (*cols[1:], "chat_error")), F.col("max_by_chars").alias("longest"))
         one = out["rows"].withColumn("chat_error", F.lit(None).cast("string")).unionByName(out["rejected"]).select(*cols, "chat_error", F.lit(None).cast("int").alias("longest")).unionByName(longest)
@@ -346,8 +365,8 @@ r as (select s.*, row_number() over (partition by source_ord order by md5(concat
 @query(f"with {BLENDED} select r.doc_id, r.lang, r.source_ord, 0 as copy, row_number() over (order by md5(concat_ws('|', 42, r.source_ord, r.doc_id, 0)), r.source_ord, r.doc_id) - 1 as position from r join h using (source_ord) where rk <= share")
 def e10_blend_sources(spark, sf):
     d = staging.load(spark, sf, "documents").select("doc_id", "lang")
-    langs = sorted(r["lang"] for r in d.select("lang").distinct().collect())  # a handful
-    mixed = jobs.blend_sources([d.where(F.col("lang") == x) for x in langs], d.count() * 2 // 3, 42, "doc_id")
+    langs = sorted((r["lang"] for r in d.select("lang").distinct().collect()), key=lambda x: (x is None, x))  # a handful
+    mixed = jobs.blend_sources([d.where(F.col("lang").eqNullSafe(x)) for x in langs], d.count() * 2 // 3, 42, "doc_id")
     order = ("source_ord", "doc_id", "copy")
     return blend.positions(mixed, blend.seeded(42, *order), *order)
 

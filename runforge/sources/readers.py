@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runforge.operators import designs
 from runforge.schemas import RESULT_JSON, ROUND_HISTORY, ROUND_INPUTS, SFT_RAW
+from runforge.sources.versions import current
 
 #: Layouts of design tables and what normalizes them.
 LAYOUTS: dict[str, Callable[..., DataFrame]] = {"qa": designs.normalize_qa, "verified": designs.normalize_verified, "nested": designs.normalize_nested}
@@ -169,6 +170,14 @@ def read_best_entries(spark: SparkSession, path: str, run_dir: str) -> DataFrame
     return cut.select(_dataset(1).alias("dataset"), _at(1).alias("context_id"), "e.*")
 
 
+def read_selection(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, statistics) of the last write_selection() to path that was finished; both are of the same one."""
+    folder = current(spark, path)
+    if folder is None:
+        raise ValueError(f"{path} holds no selection")
+    return spark.read.parquet(f"{folder}/manifest"), spark.read.json(f"{folder}/eval_stats")
+
+
 def read_jsonl_sources(spark: SparkSession, paths: list[str], schema: str = SFT_RAW, non_empty: bool = True) -> DataFrame:
     """The rows of several JSON-lines files with source_ord, the place of the file in the list; an empty one is an error unless allowed."""
     out = None

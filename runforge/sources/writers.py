@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runforge.operators.scoring import eval_summary
+from runforge.sources.versions import write_versioned
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -19,13 +20,33 @@ def write_id_pairs(pairs: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_selection(selected: DataFrame, path: str, cohorts: dict[str, str], overwrite: bool = False) -> None:
-    """A manifest of selected runs, and beside it the summary of their scores; an existing target is an error unless overwritten."""
-    mode = "overwrite" if overwrite else "errorifexists"
+    """A manifest of selected runs and the summary of their scores under one commit; an existing target is an error unless overwritten. read_selection() gives both."""
     keys = [c for c in ("dataset", "context_id", "run_id", "run_dir", "round_id", "pick") if c in selected.columns]
-    selected.select(*keys).write.mode(mode).parquet(f"{path}/manifest")
-    write_jsonl(eval_summary(selected, cohorts), f"{path}/eval_stats", mode)
 
+    def write(folder: str) -> None:
+        selected.select(*keys).write.parquet(f"{folder}/manifest")
+        write_jsonl(eval_summary(selected, cohorts), f"{folder}/eval_stats")
 
-def publish_split(rows: DataFrame, path: str, split: str, mode: str = "append") -> None:
-    """The rows as a named split of a Parquet dataset."""
-    rows.withColumn("split", F.lit(split)).write.mode(mode).partitionBy("split").parquet(path)
+    write_versioned(selected.sparkSession, path, write, overwrite)
+
+
+def publish_splits(splits: dict[str, DataFrame], path: str) -> None:
+    """Named splits of a Parquet dataset, in one write. A split that is there already is replaced, others stay; an empty one is an error.
+
+    Rows go to a staging folder first; splits take their places when all are written, so a
+    repeated or a failed publication neither doubles rows nor loses any.
+    """
+    every = None
+    for name, rows in splits.items():
+        if not rows.head(1):
+            raise ValueError(f"split {name} has no rows")
+        one = rows.withColumn("split", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    if every is None:
+        raise ValueError("no splits")
+    every.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path)
+
+
+def publish_split(rows: DataFrame, path: str, split: str) -> None:
+    """One split of publish_splits()."""
+    publish_splits({split: rows}, path)
