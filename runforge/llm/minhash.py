@@ -69,9 +69,8 @@ def near_copies(docs: DataFrame, n_words: int = 4, similarity: float = 0.8) -> D
     with_words = rows.where("n > 0")
     sets = cut(with_words.groupBy("node").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch")))
     posted = cut(posted_hashes(sets, similarity))
-    discard(sets)
-    labels = similar_components(posted, texts_by_node(docs, with_words.select("row_key", "node")), lambda t: shingle_set(t, n_words), similarity)
-    discard(posted)
+    labels = similar_components(posted, sets, texts_by_node(docs, with_words.select("row_key", "node")), lambda t: shingle_set(t, n_words), similarity)
+    discard(posted, sets)
     each = with_words.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = each.groupBy("label").agg(F.min("least_id").alias("component_id"))
     found = each.join(least, "label").select("node", "component_id", F.lit(1).alias("n_any"))

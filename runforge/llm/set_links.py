@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runforge.llm.common import cut, row_key, shuffle_partitions
+from runforge.llm.common import cut, discard, row_key, shuffle_partitions
 from runforge.llm.components import connected_components
 
-#: Hashes of a sketch, and how unlikely a similar pair may be to fall below least_shared().
-SKETCH, MISS = 128, 1e-12
+#: Hashes of a sketch, and of these those that are looked at first; how unlikely a similar pair may be to fall below least_shared().
+SKETCH, FIRST, MISS = 128, 32, 1e-12
 #: Members and shingles of a tile; a tile task holds two.
 TILE_SETS, TILE_SHINGLES = 800, 1 << 20
 #: Hashes that more members of a tile share are counted by matrix products, of this many columns at once.
@@ -158,46 +158,76 @@ def groups_of(posted: DataFrame, similarity: float) -> DataFrame:
 
 
 def tiles_of(groups: DataFrame) -> DataFrame:
-    """(hub, i, j, node, side): every two tiles of a group, and a tile with itself, once."""
+    """(hub, i, j, side, node, n): every two tiles of a group, and a tile with itself, once."""
     parts = F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
     mine = groups.withColumn("parts", parts).withColumn("t", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    return mine.select("hub", "node", "t", other).select("hub", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "node", F.col("t").alias("side"))
+    return mine.select("hub", "node", "n", "t", other).select("hub", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.col("t").alias("side"), "node", "n")
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[tuple]]]:
+    """((hub, i, j), rows) of each tile from rows in this order; the rows without hub, i and j, and Arrow's value last."""
+    held: list[tuple] = []
+    now = None
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in range(b.num_columns - 1)]
+        for r, (hub, i, j, *rest) in enumerate(zip(*cols, strict=True)):
+            if held and (hub, i, j) != now:
+                yield now, held
+                held = []
+            now = (hub, i, j)
+            held.append((*rest, b.column(b.num_columns - 1)[r]))
+    if held:
+        yield now, held
+
+
+def _in_tiles(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+
+
+def may_match(sketches: list[np.ndarray], n: np.ndarray, similarity: float, side: np.ndarray | None) -> np.ndarray:
+    """Which sets have one in the tile that their sizes and FIRST smallest hashes don't rule out."""
+    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    need = _least_overlap(n, FIRST, similarity)
+    fits = overlaps(np.concatenate(sketches), owner, len(sketches)) >= np.maximum(need[:, None], need[None, :])
+    fits &= np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
+    np.fill_diagonal(fits, False)
+    if side is not None:
+        fits &= side[:, None] != side[None, :]
+    return fits.any(0)
 
 
-def similar_components(posted: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+def similar_components(posted: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
     """(node, label) of the nodes in posted (key, node, n) that are similar to others; label is the smallest node of the component.
 
-    texts_of gives (node, text) for nodes that it is given as (node), each once; sets_of gives
-    a text's shingles as sorted hashes. Every two similar nodes must share a key.
+    sketches has (node, sketch), the FIRST smallest hashes or more. texts_of gives (node, text)
+    for nodes that it is given as (node), each once; sets_of gives a text's shingles as
+    sorted hashes. Every two similar nodes must share a key. Tiles are looked at twice: by
+    the first hashes, and by texts for those that these leave.
     """
-    spark = posted.sparkSession
     groups = cut(groups_of(posted, similarity))
-    texts = texts_of(groups.select("node").distinct())
-    dealt = tiles_of(groups).join(texts, "node").select("hub", "i", "j", "side", "node", "text")
+    tiles = tiles_of(groups).join(sketches.select("node", F.slice("sketch", 1, FIRST).alias("sketch")), "node").select("hub", "i", "j", "side", "node", "n", "sketch")
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (hub, i, j), rows in _tile_rows(batches):
+            side, node = (np.array([r[c] for r in rows]) for c in (0, 1))
+            keep = may_match([r[3].values.to_numpy() for r in rows], np.array([r[2] for r in rows]), similarity, side if i != j else None)
+            k = int(keep.sum())
+            cols = [np.full(k, hub), np.full(k, i, np.int32), np.full(k, j, np.int32), side[keep].astype(np.int32), node[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hub", "i", "j", "side", "node"])
+
+    some = cut(_in_tiles(tiles).mapInArrow(left, "hub bigint, i int, j int, side int, node bigint"))
+    discard(groups)
+    dealt = some.join(texts_of(some.select("node").distinct()), "node").select("hub", "i", "j", "side", "node", "text")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def found() -> pa.RecordBatch:
-            nodes, side = [h[0] for h in held], np.array([h[1] for h in held])
-            star = stars([h[2] for h in held], similarity, side=side if now[1] != now[2] else None)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([nodes[p[c]] for p in star], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            hub, i, j, side, node = (b.column(c).to_pylist() for c in range(5))
-            for r in range(b.num_rows):
-                if held and (hub[r], i[r], j[r]) != now:
-                    yield found()
-                now = (hub[r], i[r], j[r])
-                held.append((node[r], side[r], sets_of(b.column(5)[r].as_py())))
-        if held:
-            yield found()
-
-    in_order = dealt.repartition(shuffle_partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return connected_components(in_order.mapInArrow(met, "a bigint, b bigint"))
+        for (_, i, j), rows in _tile_rows(batches):
+            star = stars([sets_of(r[2].as_py()) for r in rows], similarity, side=np.array([r[0] for r in rows]) if i != j else None)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[p[c]][1] for p in star], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    links = cut(_in_tiles(dealt).mapInArrow(met, "a bigint, b bigint"))
+    discard(some)
+    return connected_components(links)
 
 
 def texts_by_node(docs: DataFrame, rows: DataFrame) -> Callable[[DataFrame], DataFrame]:

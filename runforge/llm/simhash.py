@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from runforge.llm.common import cut, discard, load, row_key
 from runforge.llm.components import connected_components
-from runforge.llm.set_links import node_of, similar_components, texts_by_node
+from runforge.llm.set_links import FIRST, node_of, similar_components, texts_by_node
 
 SEED = 42
 MAX_BITS = 2
@@ -175,7 +175,7 @@ def frequent_buckets(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.nda
 
 
 def rare_shingles(docs: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """(doc_id, row_key, n, node, keys) for every row of docs (doc_id, text): size and name of its set of shingles, and the n - ceil(t n) + 1 rarest."""
+    """(doc_id, row_key, n, node, keys, sketch) for every row of docs (doc_id, text): size and name of its set of shingles, the n - ceil(t n) + 1 rarest, and its smallest hashes."""
     buckets, counts = frequent_buckets(docs, n_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +184,18 @@ def rare_shingles(docs: DataFrame, n_words: int, similarity: float) -> DataFrame
         for b in batches:
             for part in range(0, b.num_rows, 500):
                 c = b.slice(part, 500)
-                n, node, keys = [], [], []
+                n, node, keys, first = [], [], [], []
                 for t in c.column(2):
                     h = shingle_set(t.as_py(), n_words)
                     k = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                     n.append(len(h))
                     node.append(node_of(h))
+                    first.append(h[:FIRST].view(np.int64))
                     keys.append(h[np.lexsort((h, weight[(h % np.uint64(BUCKETS)).astype(np.int64)]))[:k]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, first))], names=["doc_id", "row_key", "n", "node", "keys", "sketch"])
 
     src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
-    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, n bigint, node bigint, keys array<bigint>")
+    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, n bigint, node bigint, keys array<bigint>, sketch array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -217,14 +218,16 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
         raise ValueError(f"similarity must be in (0, 1]: {similarity}")
     docs = docs.select("doc_id", "text")
     found = cut(rare_shingles(docs, n_words, similarity))
-    rows = found.drop("keys")
-    sets = cut(found.groupBy("node").agg(F.max("n").alias("n"), F.first("keys").alias("keys")))
+    rows = cut(found.drop("keys", "sketch"))
+    sets = cut(found.groupBy("node").agg(F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    discard(found)
     each = sets.select("node", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     posted = cut(each.join(shared, "key", "left_semi").select("key", "node", "n"))
+    firsts = cut(sets.select("node", "sketch"))
     discard(sets)
-    labels = similar_components(posted, texts_by_node(docs, rows.select("row_key", "node")), lambda t: shingle_set(t, n_words), similarity)
-    discard(posted)
+    labels = similar_components(posted, firsts, texts_by_node(docs, rows.select("row_key", "node")), lambda t: shingle_set(t, n_words), similarity)
+    discard(posted, firsts)
     named = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     return rows.join(named.join(ids, "label").select("node", "label", "component_id"), "node").select("doc_id", "row_key", "label", "component_id")
