@@ -49,15 +49,12 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points
     occ = (
         src.select("doc_id", "row_key", F.size("lines").alias("n_lines"), F.explode(marks).alias("m"))
         .where(F.length("m.k") >= min_code_points)
-        .select("doc_id", "row_key", "n_lines", "m.pos", F.xxhash64("m.k").alias("h1"), F.xxhash64(F.lit(1), "m.k").alias("h2"))
+        .select("doc_id", "row_key", F.when(F.col("doc_id").isNull(), F.col("row_key")).alias("no_id"), "n_lines", "m.pos", F.xxhash64("m.k").alias("h1"), F.xxhash64(F.lit(1), "m.k").alias("h2"))
     )
     # Cut, as range bounds are found by a pass of their own.
     occ = cut(occ)
-    ranged = occ.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc_id", "row_key")
-    in_doc = Window.partitionBy("h1", "h2", "doc_id", "no_id").orderBy("row_key", "pos")
-    firsts = ranged.withColumn("no_id", F.when(F.col("doc_id").isNull(), F.col("row_key"))).withColumn("k", F.row_number().over(in_doc)).where("k = 1")
     frequent = cut(
-        firsts.groupBy("h1", "h2")
+        first_occurrences(occ, shuffle_partitions(spark)).groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "row_key", "pos")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
     )
@@ -70,6 +67,17 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points
     return dropped.select("doc_id", "row_key", keep_runs(F.col("dropped"), F.col("n_lines")).alias("keep_runs"))
 
 
+def first_occurrences(occ: DataFrame, parts: int) -> DataFrame:
+    """The first of each line's occurrences in each document.
+
+    Ranges are cut by what the window groups by, so that rows are shuffled once, lie sorted
+    within their range, and a line of many documents spreads over ranges.
+    """
+    ranged = occ.repartitionByRange(parts, "h1", "h2", "doc_id", "no_id")
+    in_doc = Window.partitionBy("h1", "h2", "doc_id", "no_id").orderBy("row_key", "pos")
+    return ranged.withColumn("k", F.row_number().over(in_doc)).where("k = 1").drop("k")
+
+
 def keep_runs(dropped: Column, n_lines: Column) -> Column:
     """The runs that stay, from the sorted positions that go."""
     def run(j: Column) -> Column:

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from runforge.lineage import cut
 from runforge.llm import bpe, components, context_tree, decontaminate, html_extract, line_dedup, quality, repeats, set_links, simhash, url_filter
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -505,6 +506,15 @@ def test_line_dedup(spark, monkeypatch):
 # pipeline
 
 
+def test_lines_are_shuffled_once_to_their_firsts(spark):
+    occ = cut(spark.range(100).selectExpr("id % 7 as h1", "id % 3 as h2", "nullif(id % 20, 1) as doc_id", "case when id % 20 = 1 then id end as no_id", "id as row_key", "1 as pos"))
+    firsts = line_dedup.first_occurrences(occ, 5)
+    assert firsts.count() == occ.select("h1", "h2", "doc_id", "no_id").distinct().count()
+    firsts.collect()
+    plan = firsts._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count(" Exchange ") == 1 and "rangepartitioning(h1" in plan
+
+
 def test_pipeline_stages_keep_columns(spark):
     rng = random.Random(11)
     docs = docs_of(spark, [*EDGES, *((1000 + i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(60))) for i in range(30))])
