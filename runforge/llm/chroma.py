@@ -2,9 +2,11 @@
 
 Frames of a signal are folded into twelve pitch classes; 32 differences of rectangle sums over
 an integral image of these give the bits of one integer for each position. Integers are posted
-under three of their four bytes; postings that meet vote for an offset of two recordings, and
-at each offset with enough votes the bits that differ are counted position by position.
-Recordings with the same integers are one class and are compared once.
+under three of their four bytes, where these change and at intervals while they are held, so
+that thinning goes by content and excerpts post what their recordings post. Postings that meet
+vote for an offset of two recordings, once a position, and at each offset with enough votes
+the bits that differ are counted position by position. Recordings with the same integers are
+one class and are compared once.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runforge.llm.common import cut, load
@@ -21,9 +23,9 @@ from runforge.llm.common import cut, load
 RATE, FRAME, HOP, SPAN = 4000, 1024, 256, 16
 #: Frames transformed at once, so that a recording of hours needs no more memory than its samples.
 FRAMES_AT_ONCE = 4096
-#: Queries post every STRIDE-th position, as neighbours share most of their span; recordings post all.
-STRIDE = SPAN // 2
-#: Postings that must agree on an offset; share of wrong bits that the best stretch may have, and its least number of positions.
+#: Three bytes that are held post again after so many positions.
+HOLD = SPAN // 2
+#: Positions that must agree on an offset; share of wrong bits that the best stretch may have, and its least number of positions.
 MIN_VOTES, MAX_BIT_ERROR, MIN_STRETCH = 2, 0.2, 24
 
 
@@ -101,12 +103,31 @@ def print_classes(prints: DataFrame) -> DataFrame:
     return some.groupBy("class_key").agg(F.min("media_id").alias("class_id"), F.any_value("prints").alias("prints"))
 
 
-def _posted(classes: DataFrame, key: str, at: str, stride: int = 1) -> DataFrame:
-    """(posting, class, position): an integer is in four lists, one for each byte left out; silence is in none."""
-    v = F.col("v")
-    lists: list[Column] = [v.bitwiseAND(F.lit(0xFFFFFFFF ^ 0xFF << 8 * i)).bitwiseOR(F.lit(i << 32)) for i in range(4)]
-    each = classes.select(F.col("class_key").alias(key), F.posexplode("prints").alias(at, "v")).where(F.col("v") != 0).where(F.col(at) % stride == 0)
-    return each.select(F.explode(F.array(*lists)).alias("posting"), key, at)
+def posted_at(prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of four lists, of which each leaves out one byte, the positions that post in it: where the other bytes change, and each HOLD-th after that. Silence posts nothing."""
+    at = np.arange(len(prints))
+    for i in range(4):
+        x = prints & (0xFFFFFFFF ^ 0xFF << 8 * i)
+        changed = np.r_[True, x[1:] != x[:-1]][: len(x)]
+        since = at - np.maximum.accumulate(np.where(changed, at, 0))
+        yield i, np.flatnonzero((prints != 0) & (since % HOLD == 0))
+
+
+def _posted(classes: DataFrame, side: str) -> DataFrame:
+    """(posting, list, key, at, integer) of classes, the last three named by side."""
+    names = ["posting", f"{side}_list", f"{side}_key", f"{side}_at", f"{side}_v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, prints in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = prints.values.to_numpy()
+                for i, at in posted_at(v):
+                    x = v[at]
+                    cols = [x & (0xFFFFFFFF ^ 0xFF << 8 * i) | i << 32, np.full(len(at), i, np.int32), np.full(len(at), key, np.int64), at.astype(np.int32), x]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    kinds = ("bigint", "int", "bigint", "int", "bigint")
+    return classes.select("class_key", "prints").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def best_stretch(q: np.ndarray, m: np.ndarray, offset: int) -> tuple[float, int, float]:
@@ -139,12 +160,14 @@ def align(queries: DataFrame, prints: DataFrame) -> DataFrame:
     so that an excerpt or a jingle inside recordings that differ otherwise is found. Of the
     offsets that pass, that of the best stretch is given, then the smallest. Rows without
     prints find nothing, repeated rows are in one class, rows with null ids take part.
-    Stretches that share three bytes at less than two of the posted positions are missed: the search is
-    probabilistic, see README for its recall.
+    Stretches that share three bytes at less than two posted positions are missed: the search
+    is probabilistic, see README for its recall by length and noise.
     """
     q, m = print_classes(queries), print_classes(prints)
-    met = _posted(q, "query_key", "q_at", STRIDE).join(_posted(m, "media_key", "m_at"), "posting").where("query_key <> media_key")
-    votes = met.groupBy("query_key", "media_key", (F.col("m_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    # Integers that are the same meet in all four lists and vote in the first only.
+    once = "query.posting = media.posting and query_key <> media_key and (query_list = 0 or query_v <> media_v)"
+    met = _posted(q, "query").alias("query").join(_posted(m, "media").alias("media"), F.expr(once))
+    votes = met.groupBy("query_key", "media_key", (F.col("media_at") - F.col("query_at")).cast("bigint").alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
     asked = cut(votes.groupBy("query_key", "media_key").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets")))
     both = (
         asked.join(q.toDF("query_key", "query_class", "q_prints"), "query_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from runforge.llm import chroma
@@ -64,6 +65,17 @@ def test_search_equals_brute_force(spark):
     rows += [(3, base[3]), (200, base[3]), (201, base[0]), (None, noisy(base[1], 0.05)), (None, make(40)), (202, make(0)), (203, None), (204, np.zeros(40, np.int64))]
     df = spark.createDataFrame([(i, None if p is None else [int(x) for x in p]) for i, p in rows], "media_id bigint, prints array<bigint>").withColumns({c: F.lit(7) for c in ("class_key", "class_id", "posting", "offset", "votes")}).repartition(3)
 
+    def lists(p):
+        """Where each three bytes begin, and every eighth position while they last."""
+        out = []
+        for k in range(4):
+            since = 0
+            for i, v in enumerate(p):
+                since = since + 1 if i and (p[i - 1] ^ v) & ~(0xFF << 8 * k) == 0 else 0
+                if v and since % 8 == 0:
+                    out.append((i, k, v & ~(0xFF << 8 * k)))
+        return out
+
     classes = {}
     for i, p in rows:
         if p is not None and len(p):
@@ -78,8 +90,7 @@ def test_search_equals_brute_force(spark):
         for m in classes:
             if m == q:
                 continue
-            lists = lambda p, step=1: {(i, k, v & ~(0xFF << 8 * k)) for i, v in enumerate(p) if v and i % step == 0 for k in range(4)}
-            met = collections.Counter(j - i for i, k, v in lists(q, chroma.STRIDE) for j, k2, v2 in lists(m) if (k, v) == (k2, v2))
+            met = collections.Counter(j - i for i, j in {(i, j) for i, k, v in lists(q) for j, k2, v2 in lists(m) if (k, v) == (k2, v2)})
             tried = []
             for o, votes in met.items():
                 if votes >= chroma.MIN_VOTES:
@@ -106,6 +117,45 @@ def test_search_equals_brute_force(spark):
     assert chroma.audio_fingerprints(media_of(spark, [(1, np.zeros(0))]).limit(0)).count() == 0
 
 
+def true_pairs(queries, media):
+    """(query, recording) of which some stretch agrees, by every offset of every two of them."""
+    out = set()
+    for i, q in queries.items():
+        for j, m in media.items():
+            if i != j and any(chroma.best_stretch(q, m, o)[1] >= chroma.MIN_STRETCH for o in range(-len(q) + 1, len(m))):
+                out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("error, least", [(0.0, 1.0), (0.05, 0.97), (0.1, 0.9)])
+def test_noisy_excerpts_are_found(spark, error, least):
+    """Excerpts of 24 to 60 positions at any offset, bits of which are wrong at random, against the alignment of all pairs at all offsets."""
+    rng = np.random.default_rng(11)
+
+    def walk(n):
+        """Integers as of sound: from one position to the next a few bits change, and some are held."""
+        flips = (rng.random((n, 32)) < 0.06) & (rng.random((n, 1)) < 0.8)
+        return np.bitwise_xor.accumulate((flips @ (1 << np.arange(32))) ^ np.r_[rng.integers(1, 2**32), np.zeros(n - 1, np.int64)]) | 1
+
+    queries, media = {}, {}
+    for i in range(40):
+        whole = walk(150)
+        n = int(rng.integers(24, 61))
+        at = int(rng.integers(0, 150 - n))
+        wrong = (rng.random((n, 32)) < error) @ (1 << np.arange(32))
+        queries[i], media[100 + i] = whole, np.concatenate([walk(int(rng.integers(1, 80))), whole[at : at + n] ^ wrong, walk(int(rng.integers(1, 80)))])
+    frame = lambda d: spark.createDataFrame([(i, [int(x) for x in p]) for i, p in d.items()], "media_id bigint, prints array<bigint>")
+    want = true_pairs(queries, media)
+    got = {(r.query_class, r.media_class) for r in chroma.align(frame(queries), frame(media)).collect()}
+    assert got <= want and len(want) >= 38
+    assert len(got) >= least * len(want)
+
+
+def test_a_held_tone_is_found(spark):
+    frame = spark.createDataFrame([(1, [5] * 40), (2, [7] * 30 + [5] * 33 + [9] * 4), (3, [6 << 8] * 40)], "media_id bigint, prints array<bigint>")
+    assert {(r.query_class, r.media_class) for r in chroma.align(frame.where("media_id = 1"), frame).collect()} >= {(1, 2)}
+
+
 def test_tones_of_vectors(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (1, [0.1] * 64), (2, None), (3, []), (4, [None, 0.5]), (None, [0.2] * 13)], "vec_id bigint, embedding array<float>")
     got = sorted((r.media_id or 0, len(r.pcm) // 2 // chroma.CHORD) for r in chroma.tones(df).collect())
