@@ -61,6 +61,7 @@ CONTENT_WORDS = frozenset("article articlebody content entry main post story".sp
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
+    r"|</(?![a-zA-Z])[^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)",
     re.S,
 )

@@ -53,6 +53,10 @@ def test_article_of_a_page():
         assert html_extract.article("<body>" + "<div>" * n + "<p>other chrome</p><article>deep article" + "</article>", None) == "deep article"
 
 
+def test_end_tags_without_a_name_are_markup():
+    assert html_extract.article("<article><p>a </ b>c</>d </1 x>e 1 < 2 </p></article>", None) == "a cd e 1 < 2"
+
+
 def test_names_only_break_ties():
     one = lambda page: html_extract.article(page, None)
     assert one("<body><article><h1>h</h1><div class='related-work'>own words</div><div class='related'>no</div></article></body>") == "h\nown words"
