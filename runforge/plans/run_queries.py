@@ -118,7 +118,7 @@ padded as (select c.dataset, c.context_id, g.i as repeat_index, coalesce(f.is_pa
 def _every(spark, sf) -> tuple[DataFrame, tuple, DataFrame, int]:
     """Samples padded to as many as the largest context has: samples, keys, contexts, n."""
     s = staging.samples(spark, sf)
-    return s, KEY, s, staging.most_samples(s)
+    return s, KEY, s, staging.most_samples(staging.runs(spark, sf))
 
 
 @query(f"with {PADDED} select dataset, context_id, repeat_index, is_pass_xrun, has_coverage, is_pass_targets, overall_coverage, ok, case when not ok then 'missing_direct_infer_run' end as error from padded")
@@ -433,7 +433,7 @@ union all select 'tokens', dataset || '/' || context_id || '/' || repeat_index,
 def e6_evaluate_samples(spark, sf):
     k = F.coalesce("k", F.lit(0)).cast("bigint")
     s = staging.samples(spark, sf).withColumns({"prompt_tokens": k, "completion_tokens": k, "reasoning_tokens": F.lit(0).cast("bigint"), "total_tokens": k * 2, "latency_seconds": F.lit(1.0)})
-    out = jobs.evaluate_samples(s, s, staging.most_samples(s), COHORTS)
+    out = jobs.evaluate_samples(s, s, staging.most_samples(staging.runs(spark, sf)), COHORTS)
     name = {
         "metrics": F.col("metric"), "per_task": F.concat_ws("/", *KEY, "metric"), "mean_cov": F.lit("all"), "mean_cov_padded": F.lit("all"),
         "cohorts": F.col("cohort"), "tokens": F.concat_ws("/", *KEY, F.col("repeat_index").cast("string")),

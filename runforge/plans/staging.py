@@ -51,9 +51,9 @@ def samples(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame
     return assign_repeat_index(runs(spark, sf_dir), n)
 
 
-def most_samples(samples: DataFrame) -> int:
-    """How many samples the largest context has, 0 if there are none."""
-    return samples.agg(F.coalesce(F.max("repeat_index") + 1, F.lit(0))).first()[0]
+def most_samples(runs: DataFrame) -> int:
+    """How many runs the largest context has, 0 if there are none; counted, not numbered."""
+    return runs.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("int")).first()[0]
 
 
 SAMPLES = RUNS + ", samples as (select *, (row_number() over (partition by dataset, context_id order by run_id) - 1)::int as repeat_index from runs)"
