@@ -265,6 +265,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
     probability with one added to each count and one unseen token. Rows whose crc32(doc_id)
     mod 7 is 2 are held out, all others teach; every row, repeated or not, counts once and is
     scored. An empty training set scores every bit as one half. Other columns are ignored.
+    Texts are whole: one that is longer than block_bytes is a block by itself, read a window
+    at a time, of which the distinct grams and words are held.
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))

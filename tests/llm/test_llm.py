@@ -270,6 +270,13 @@ def test_bpe_equals_the_library(spark):
         assert r.decoded == lib.decode(e, skip_special_tokens=False)
 
 
+def test_empty_tables_of_urls_and_texts(spark):
+    none = spark.createDataFrame([], "page_id bigint, url string")
+    assert url_filter.filter_urls(none, url_filter.rule_table(spark)).count() == 0
+    path = bpe.tokenizer_path()
+    assert bpe.bpe_decode(bpe.bpe_encode(docs_of(spark, []), path), path).count() == 0
+
+
 # 6
 
 
