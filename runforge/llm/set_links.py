@@ -29,6 +29,7 @@ SKETCH, FIRST, MISS = 128, 32, 1e-12
 TILE_SETS, TILE_SHINGLES = 800, 1 << 20
 #: Hashes that more members of a tile share are counted by matrix products, of this many columns at once.
 COMMON, COLUMNS = 12, 1024
+MANY_PAIRS = 8
 
 
 def node_of(h: np.ndarray) -> int:
@@ -92,7 +93,9 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
 def stars(sets: list[np.ndarray], similarity: float, k: int = SKETCH, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(member, smallest member of its component) for the sets, sorted arrays of hashes, that are similar to others.
 
-    With side, pairs of one side are left out; its own tile task has them.
+    With side, pairs of one side are left out; its own tile task has them. Where more than
+    MANY_PAIRS pairs a set are left by their sketches, as in a host's pages that share most
+    of their text, all shared shingles are counted at once instead of pair by pair.
     """
     m = len(sets)
     n = np.array([len(s) for s in sets], np.int64)
@@ -127,6 +130,13 @@ def stars(sets: list[np.ndarray], similarity: float, k: int = SKETCH, side: np.n
             join(i, j)
     settle()
     x, y = x[~whole], y[~whole]
+    if len(x) > MANY_PAIRS * m:
+        inter = overlaps(np.concatenate(sets), np.repeat(np.arange(m), n), m)[x, y]
+        alike = inter >= similarity * (n[x] + n[y] - inter) - 1e-9
+        for i, j in zip(x[alike].tolist(), y[alike].tolist(), strict=True):
+            if up[i] != up[j]:
+                join(i, j)
+        x, y = x[:0], y[:0]
     order = np.argsort(-shared[x, y], kind="stable")
     x, y, lo, step = x[order], y[order], 0, m
     least = least_shared(k, similarity)

@@ -87,8 +87,9 @@ def test_small_tables(spark):
         minhash.near_copies(docs_of(spark, []), similarity=0)
 
 
-@pytest.mark.parametrize("similarity", [0.5, 0.8])
-def test_stars_equal_all_pairs(similarity):
+@pytest.mark.parametrize("similarity, many", [(0.5, 8), (0.8, 8), (0.8, 0), (0.8, 1000)])
+def test_stars_equal_all_pairs(monkeypatch, similarity, many):
+    monkeypatch.setattr(set_links, "MANY_PAIRS", many)
     rng = random.Random(4)
     texts = [t for _, t in copies(rng, 150)]
     sets = [s for s in (shingle_set(t, 4) for t in texts)]
