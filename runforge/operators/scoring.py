@@ -54,15 +54,17 @@ def per_task(samples: DataFrame, keys: tuple[str, ...] = KEY, contexts: DataFram
 
     With contexts and n every context counts n samples, repeat_index 0 to n - 1, of which
     those that are missing failed with coverage 0. No row is made for them: sums are divided
-    by n, and a context without any sample has zeros. Rates over n = 0 are 0.
+    by n, and a context without any sample has zeros. Rates over n = 0 are 0. If contexts is
+    samples itself, nothing is joined.
     """
     values = {m: F.coalesce(F.col(m), F.lit(False)).cast("double") for m in BOOL_METRICS} | {"overall_coverage": F.coalesce("overall_coverage", F.lit(0.0))}
-    if contexts is not None:
-        samples = samples.where(F.col("repeat_index").between(0, n - 1))
-    aggs = [f(v).alias(f"{m}_{x}") for m, v in values.items() for f, x in ((F.sum, "sum"), (F.max, "k"))]
+    counts = F.lit(True) if contexts is None else F.col("repeat_index").between(0, n - 1)
+    aggs = [f(F.when(counts, v)).alias(f"{m}_{x}") for m, v in values.items() for f, x in ((F.sum, "sum"), (F.max, "k"))]
     got = samples.groupBy(*keys).agg(F.count("*").alias("_n"), *aggs)
+    if contexts is not None and contexts is not samples:
+        got = contexts.select(*keys).distinct().join(got, list(keys), "left")
     if contexts is not None:
-        got = contexts.select(*keys).distinct().join(got, list(keys), "left").withColumn("_n", F.lit(n))
+        got = got.withColumn("_n", F.lit(n))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     each = [F.struct(F.lit(m).alias("metric"), share(zero(F.col(f"{m}_sum")), F.col("_n")).alias("at_1"), zero(F.col(f"{m}_k")).alias("at_k")) for m in values]
     return got.select(*keys, F.explode(F.array(*each)).alias("m")).select(*keys, "m.*")

@@ -87,7 +87,7 @@ def evaluate_samples(samples: DataFrame, contexts: DataFrame, n: int, cohorts: d
         "metrics": scoring.macro(tasks),
         "per_task": tasks,
         "mean_cov": scoring.mean_sim_pass_cov(slim, by=by),
-        "mean_cov_padded": scoring.mean_sim_pass_cov(slim, every, n, by=by),
+        "mean_cov_padded": scoring.mean_sim_pass_cov(slim, tasks.where("metric = 'overall_coverage'"), n, by=by),
         "cohorts": scoring.cohort_pass_rates(tasks, cohorts),
     } | ({"tokens": scoring.token_usage(slim)} if len(stats) == len(scoring.STATS) else {})
 
