@@ -103,27 +103,32 @@ def print_classes(prints: DataFrame) -> DataFrame:
     return some.groupBy("class_key").agg(F.min("media_id").alias("class_id"), F.any_value("prints").alias("prints"))
 
 
-def posted_at(prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of four lists, of which each leaves out one byte, the positions that post in it: where the other bytes change, and each HOLD-th after that. Silence posts nothing."""
+def posted_at(prints: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of four lists, of which each leaves out one byte, the places in prints that post in it: where the other bytes change, and each HOLD-th after that. Silence posts nothing; first marks where a recording begins."""
     at = np.arange(len(prints))
     for i in range(4):
         x = prints & (0xFFFFFFFF ^ 0xFF << 8 * i)
-        changed = np.r_[True, x[1:] != x[:-1]][: len(x)]
+        changed = first.copy()
+        changed[1:] |= x[1:] != x[:-1]
         since = at - np.maximum.accumulate(np.where(changed, at, 0))
         yield i, np.flatnonzero((prints != 0) & (since % HOLD == 0))
 
 
 def _posted(classes: DataFrame, side: str) -> DataFrame:
-    """(posting, list, key, at, integer) of classes, the last three named by side."""
+    """(posting, list, key, at, integer) of classes, the last four named by side."""
     names = ["posting", f"{side}_list", f"{side}_key", f"{side}_at", f"{side}_v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, prints in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                v = prints.values.to_numpy()
-                for i, at in posted_at(v):
+            for part in range(0, b.num_rows, 1000):
+                c = b.slice(part, 1000)
+                sizes = np.array([len(p) for p in c.column(1)], np.int64)
+                v = c.column(1).flatten().to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                key, place = np.repeat(c.column(0).to_numpy(), sizes), np.arange(len(v)) - np.repeat(starts, sizes)
+                for i, at in posted_at(v, place == 0):
                     x = v[at]
-                    cols = [x & (0xFFFFFFFF ^ 0xFF << 8 * i) | i << 32, np.full(len(at), i, np.int32), np.full(len(at), key, np.int64), at.astype(np.int32), x]
+                    cols = [x & (0xFFFFFFFF ^ 0xFF << 8 * i) | i << 32, np.full(len(at), i, np.int32), key[at], place[at].astype(np.int32), x]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     kinds = ("bigint", "int", "bigint", "int", "bigint")
