@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import fnmatch
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runforge.lineage import cut, discard
 from runforge.operators import designs
 from runforge.schemas import RESULT_JSON, ROUND_HISTORY, ROUND_INPUTS, SFT_RAW
 from runforge.sources.versions import current
@@ -31,28 +35,104 @@ def load_dataset(spark: SparkSession, name: str, registry: dict[str, tuple]) ->
     return normalize_contexts(raw, layout, name, *order)
 
 
-def _below(path: Column, root: str) -> Column:
-    """The path below root in parts."""
-    base, whole = _path(F.lit(root.rstrip("/") + "/")), _path(path)
-    return F.split(F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole)), "/")
+#: Directories that a task lists, and files and bytes that it reads, where there are more than tasks to share them.
+DIRS_IN_TASK, FILES_IN_TASK, BYTES_IN_TASK = 1_000, 20_000, 256 << 20
+#: Files and bytes that a task holds at once.
+HELD_FILES, HELD_BYTES = 1_000, 16 << 20
 
 
-def whole_files(spark: SparkSession, root: str, name_glob: str, modified_after: str | None = None) -> DataFrame:
-    """(parts, name, raw): the path below root in parts, and the whole text, of each file of that name at any depth."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
-    files = (reader if modified_after is None else reader.option("modifiedAfter", modified_after)).text(root, wholetext=True)
-    return files.select(_below(F.col("_metadata.file_path"), root).alias("parts"), F.col("value").alias("raw")).withColumn("name", F.element_at("parts", -1))
+def _qualified(spark: SparkSession, root: str) -> str:
+    """root as tasks open it: with its scheme, local ones as a plain path. A missing one is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        raise FileNotFoundError(f"no such path: {root}")
+    whole = store.makeQualified(path).toString().rstrip("/")
+    return "/" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else whole
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def _tasks(spark: SparkSession, least: int, most: int) -> int:
+    return max(1, min(most, max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def listed_files(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """(parts, length, modified) of the files of that name; none is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(root)
-    return files.select(_below(F.col("path"), root).alias("parts"), "length", F.col("modificationTime").alias("modified"))
+    """(parts, length, modified) of the files at any depth below root whose name fits (*, ? and [..]); none is opened. A root that is a file is listed itself.
+
+    Tasks list directories, a level of them at a time, into the shared folder, so that the
+    driver holds no path however many files there are. Hidden names are passed over; empty
+    files count.
+    """
+    whole = _qualified(spark, root)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(whole)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                top = store.get_file_info(base) if not folder else None
+                alone = top is not None and top.type == fs.FileType.File
+                found = [top] if alone else store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                for at in range(0, len(found), 10_000):
+                    rows = []
+                    for x in found[at : at + 10_000]:
+                        is_dir = x.type == fs.FileType.Directory
+                        if alone or not _hidden(x.base_name) and (is_dir or fnmatch.fnmatchcase(x.base_name, name_glob)):
+                            rows.append({"path": f"{folder}/{x.base_name}" if folder else x.base_name, "is_dir": is_dir, "length": x.size, "ms": (x.mtime_ns or 0) // 1_000_000})
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    kinds = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("ms", pa.int64())])
+    levels, dirs, n = [], spark.range(1).select(F.lit("").alias("path")), 1
+    while n:
+        dealt = dirs.repartition(_tasks(spark, -(-n // DIRS_IN_TASK), n), "path")
+        levels.append(cut(dealt.mapInArrow(below, "path string, is_dir boolean, length bigint, ms bigint")))
+        dirs = levels[-1].where("is_dir").select("path")
+        n = dirs.count()
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    out = cut(every.where("not is_dir").select(F.split("path", "/").alias("parts"), "length", F.timestamp_millis("ms").alias("modified")).coalesce(_tasks(spark, 0, 1_000_000)))
+    discard(*levels)
+    return out
 
 
-def _path(c: Column) -> Column:
-    """Without a file scheme, and decoded."""
-    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*(?=/)", "")
+def whole_files(spark: SparkSession, root: str, name_glob: str, modified_after: str | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """(parts, name, raw): the path below root in parts, and the whole text, of each file of that name at any depth.
+
+    Of those that are listed, if given, else of listed_files(). Tasks open files by the paths
+    that they are dealt; bytes are kept as they are.
+    """
+    listed = listed_files(spark, root, name_glob) if listed is None else listed
+    if modified_after is not None:
+        listed = listed.where(F.col("modified") > F.lit(modified_after).cast("timestamp"))
+    whole = _qualified(spark, root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(whole)
+        alone = store.get_file_info(base).type == fs.FileType.File
+        paths, raw, size = [], [], 0
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raw, pa.binary())], names=["path", "raw"])
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with store.open_input_stream(base if alone else f"{base}/{path}") as f:
+                    raw.append(f.read())
+                paths.append(path)
+                size += len(raw[-1])
+                if len(raw) >= HELD_FILES or size >= HELD_BYTES:
+                    yield held()
+                    paths, raw, size = [], [], 0
+        yield held()
+
+    n, length = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    dealt = listed.select(F.array_join("parts", "/").alias("path")).repartition(_tasks(spark, max(n // FILES_IN_TASK, length // BYTES_IN_TASK), n), "path")
+    parts = F.split("path", "/")
+    return dealt.mapInArrow(read, "path string, raw binary").select(parts.alias("parts"), F.col("raw").cast("string").alias("raw"), F.element_at(parts, -1).alias("name"))
 
 
 def _dataset(depth: int) -> Column:
@@ -148,8 +228,7 @@ def read_best_entries(spark: SparkSession, path: str, run_dir: str) -> DataFrame
     down to what follows; other absolute keys and keys of less than two parts are left out.
     """
     entry = "struct<run_id: string, is_pass_xrun: boolean, has_coverage: boolean, overall_coverage: double, is_pass_targets: boolean, misc: map<string, double>>"
-    stats = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    stats = stats.select(F.from_json("value", f"best_results_output map<string, {entry}>, best_rids map<string, string>").alias("s"))
+    stats = whole_files(spark, path, "*.json").select(F.from_json("raw", f"best_results_output map<string, {entry}>, best_rids map<string, string>").alias("s"))
     if stats.where("s.best_results_output is null and s.best_rids is null").head(1) or not stats.head(1):
         raise ValueError(f"{path} has neither best_results_output nor best_rids")
     full = stats.where("s.best_results_output is not null").select(F.explode("s.best_results_output").alias("key", "e"))
