@@ -156,6 +156,7 @@ def _split(marked: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
 RESULT_COLUMNS = ("dataset", "context_id", "run_id", "result_json", "result")
 HISTORY_COLUMNS = ("dataset", "context_id", "run_id", "entry")
 INPUT_COLUMNS = ("dataset", "context_id", "repeat_index", "entries")
+HISTORY_FILE = "agentic_round_history.json"
 
 
 def parse_run_results(files: DataFrame) -> DataFrame:
@@ -205,7 +206,9 @@ def read_round_histories(spark: SparkSession, root: str) -> tuple[DataFrame, Dat
     beside the file, or null. Left out are shorter paths and files that hold no list, or an
     empty one, or one that doesn't end in an object.
     """
-    return _split(parse_round_histories(whole_files(spark, root, "agentic_round_history.json"), listed_files(spark, root)), *HISTORY_COLUMNS)
+    every = listed_files(spark, root)
+    histories = every.where(F.element_at("parts", -1) == HISTORY_FILE)
+    return _split(parse_round_histories(whole_files(spark, root, HISTORY_FILE, None, histories), every), *HISTORY_COLUMNS)
 
 
 def parse_round_inputs(files: DataFrame) -> DataFrame:

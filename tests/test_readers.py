@@ -41,3 +41,13 @@ def test_names_and_bytes_of_files(spark, tmp_path):
     assert readers.whole_files(spark, str(tmp_path / "nothing"), "*").count() == 0
     with pytest.raises(FileNotFoundError, match="no such path"):
         readers.listed_files(spark, str(tmp_path / "none"))
+
+
+def test_histories_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    _put(tmp_path, {f"ds/x/c{i}/agentic_round_history.json": json.dumps([{"run_id": "h"}]) for i in range(3)} | {f"ds/x/c{i}/r{j}/tb.sv": "t" for i in range(3) for j in range(1 + i % 2)})
+    walks, real = [], readers.listed_files
+    monkeypatch.setattr(readers, "listed_files", lambda *a: walks.append(a) or real(*a))
+    good, bad = readers.read_round_histories(spark, str(tmp_path))
+    assert len(walks) == 1  # the files and what lies beside them
+    assert _listed_by_driver(good) == _listed_by_driver(bad) == []
+    assert {(r.dataset, r.context_id, r.run_id) for r in good.collect()} == {("ds/x", "c0", "r0"), ("ds/x", "c1", None), ("ds/x", "c2", "r0")}
