@@ -57,15 +57,17 @@ def compact(spark: SparkSession, root: str, table: str, kind: str, bundle_bytes:
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
     glob, parse, columns = KINDS[kind]
-    listed = readers.listed_files(spark, root, glob).withColumn("path", F.array_join("parts", "/"))
+    # Histories are told by what lies beside them, other kinds by their own path.
+    every = readers.listed_files(spark, root, "*" if kind == "histories" else glob)
+    listed = (every.where(F.element_at("parts", -1) == glob) if kind == "histories" else every).withColumn("path", F.array_join("parts", "/"))
     known = manifest_of(spark, table).select("path", "length", "modified").distinct()
     new = cut(listed.join(known, ["path", "length", "modified"], "left_anti").select("path", "parts", "length", "modified"))
     n, since = new.agg(F.count("*"), F.date_format(F.min("modified") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss")).first()
     if n:
         batch = str(uuid.uuid4())
-        files = readers.whole_files(spark, root, glob, since).withColumn("path", F.array_join("parts", "/")).join(new.select("path", "length", "modified"), "path")
+        files = readers.whole_files(spark, root, glob, since, new).withColumn("path", F.array_join("parts", "/")).join(new.select("path", "length", "modified"), "path")
         # One pass over the files: good rows and reasons are told apart from what it has written.
-        taken = cut(parse(files, readers.listed_files(spark, root)).select(*columns, "path", "length", "modified", "reason"))
+        taken = cut(parse(files, every).select(*columns, "path", "length", "modified", "reason"))
         good = taken.where("reason is null")
         bundles = good.groupBy("dataset").agg(F.ceil(F.sum("length") / bundle_bytes).alias("bundles"))
         dealt = good.join(bundles, "dataset").withColumn("bundle", F.pmod(F.xxhash64("path"), F.col("bundles")))
@@ -73,7 +75,7 @@ def compact(spark: SparkSession, root: str, table: str, kind: str, bundle_bytes:
         rows.write.mode("append").partitionBy("batch", "dataset").parquet(f"{table}/data")
         taken.select("path", "length", "modified", "reason", F.lit(batch).alias("batch")).coalesce(1 + n // 1_000_000).write.mode("append").parquet(f"{table}/manifest")
         discard(taken)
-    discard(new)
+    discard(new, every)
     return n
 
 

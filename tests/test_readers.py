@@ -51,3 +51,16 @@ def test_histories_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert len(walks) == 1  # the files and what lies beside them
     assert _listed_by_driver(good) == _listed_by_driver(bad) == []
     assert {(r.dataset, r.context_id, r.run_id) for r in good.collect()} == {("ds/x", "c0", "r0"), ("ds/x", "c1", None), ("ds/x", "c2", "r0")}
+
+
+def test_compaction_lists_by_tasks(spark, tmp_path, monkeypatch):
+    root, table, walks, seen = tmp_path / "runs", str(tmp_path / "table"), [], []
+    _put(root, {f"ds/c{i}/r/x_result.json": json.dumps({"status": "success"}) for i in range(4)} | {"ds/c9/r/x_result.json": ""})
+    real, cut = readers.listed_files, compaction.cut
+    monkeypatch.setattr(readers, "listed_files", lambda *a: walks.append(a) or real(*a))
+    monkeypatch.setattr(compaction, "cut", lambda df: seen.extend(_listed_by_driver(df)) or cut(df))
+    assert compaction.compact(spark, str(root), table, "results") == 5
+    assert len(walks) == 1 and seen == []
+    rows, bad = compaction.compacted(spark, table, "results")
+    assert {r.context_id for r in rows.collect()} == {f"c{i}" for i in range(4)}
+    assert [(r.path, r.reason) for r in bad.collect()] == [("ds/c9/r/x_result.json", "no JSON object")]
