@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def parse_result(raw: str = "result_json") -> Column:
     return F.from_json(raw, RESULT_JSON)
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once however often of() names it: what is given may be a whole parse."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def top_entry(result: Column, top: Column) -> Column:
     """The first summary row of the top module at level 0, or null."""
     return F.try_element_at(F.filter(result["cov_info"]["summary"], lambda m: (m["name"] == top) & (m["level"] == 0)), F.lit(1))
@@ -28,7 +35,7 @@ def metrics_of(entry: Column) -> Column:
 
 def coverage_categories(result: Column, top: Column) -> Column:
     """The metrics of the top module; null if anything on the way to them is missing."""
-    return metrics_of(top_entry(result, top))
+    return _once(top_entry(result, top), metrics_of)
 
 
 def score_coverage(runs: DataFrame) -> DataFrame:

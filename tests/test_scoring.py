@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runforge.operators import scoring
+from runforge.operators import coverage, scoring
 from runforge.plans import jobs, staging
 
 SAMPLE = "dataset string, context_id string, repeat_index int, is_pass_xrun boolean, has_coverage boolean, is_pass_targets boolean, overall_coverage double"
@@ -70,3 +70,13 @@ def test_reports_without_samples(spark):
     out = jobs.evaluate_samples(none, none, 0, {"a": "a"})
     assert {k: [tuple(r) for r in v.collect()] for k, v in out.items()} == {"metrics": [], "per_task": [], "mean_cov": [(0.0, 0.0)], "mean_cov_padded": [(0.0, 0.0)], "cohorts": [("a", 0, 0.0, 0.0)]}
     assert scoring.pad_missing(none, none, 3).count() == 0
+
+
+def test_categories_parse_once(spark):
+    """A result is parsed once for all metrics; null, other tops and null metrics stay as they are."""
+    rows = [(1, '{"cov_info":{"summary":[{"name":"top","level":1,"Toggle":0.9},{"name":"top","level":0,"Toggle":0.5,"Block":null},{"name":"top","level":0,"Toggle":0.7}]}}'), (2, '{"cov_info":{"summary":[{"name":"sub","level":0,"Toggle":0.5}]}}')]
+    rows += [(3, '{"cov_info":{}}'), (4, "[1"), (5, None), (6, '{"cov_info":{"summary":[null,{"name":"top","level":0}]}}')]
+    df = spark.createDataFrame(rows, "id int, result_json string").repartition(1)
+    got = df.select("id", coverage.coverage_categories(coverage.parse_result(), F.lit("top")).alias("c"))
+    assert {r.id: r.c for r in got.collect()} == {1: {"Toggle": 0.5}, 2: None, 3: None, 4: None, 5: None, 6: {}}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
