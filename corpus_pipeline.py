@@ -22,7 +22,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies, by SimHash over the index of fingerprint bytes and by similar shingles, the document with the smallest doc_id stays."""
     return simhash.keep_one_of_each(docs)
 
 

@@ -112,6 +112,14 @@ def linked_fingerprints(prints: DataFrame) -> DataFrame:
     return pairs.union(meet)
 
 
+def labelled_fingerprints(docs: DataFrame, n_words: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): doc_id, row_key, fp for every row of docs; fp, least_id, label for every fingerprint, where label tells components of links of at most MAX_BITS bits apart."""
+    rows = cut(fingerprints(docs, n_words))
+    each = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    labels = connected_components(linked_fingerprints(each.select("fp")))
+    return rows, each.join(labels, each["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
+
+
 def simhash_components(docs: DataFrame, n_words: int = 3) -> DataFrame:
     """(doc_id, row_key, fingerprint, component_id) for every row of docs (doc_id, text).
 
@@ -120,10 +128,7 @@ def simhash_components(docs: DataFrame, n_words: int = 3) -> DataFrame:
     fingerprint zero and link like any other. Rows with a null doc_id link too but give no
     id; a component of such rows only has a null component_id. Other columns are ignored.
     """
-    rows = cut(fingerprints(docs, n_words))
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    labels = connected_components(linked_fingerprints(each.select("fp")))
-    labelled = each.join(labels, each["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
+    rows, labelled = labelled_fingerprints(docs, n_words)
     ids = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     found = labelled.join(ids, "label").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", "row_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -233,13 +238,27 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8)
     return rows.join(named.join(ids, "label").select("node", "label", "component_id"), "node").select("doc_id", "row_key", "label", "component_id")
 
 
+def with_fingerprint_links(docs: DataFrame, found: DataFrame, print_words: int = 3) -> DataFrame:
+    """found (row_key and label of rows of docs) with one label for what the byte index links by fingerprints."""
+    rows, labelled = labelled_fingerprints(docs, print_words)
+    prints = rows.select("row_key", "fp").distinct().join(labelled.select("fp", F.col("label").alias("by_print")), "fp").select("row_key", "by_print")
+    meet = cut(found.select("row_key", "label").distinct().join(prints, "row_key").select("by_print", "label").distinct())
+    # Labels that a component of fingerprints has are linked with the smallest of them.
+    least = meet.groupBy("by_print").agg(F.min("label").alias("a"), F.count("*").alias("n")).where("n > 1")
+    labels = connected_components(meet.join(least, "by_print").where("a <> label").select("a", F.col("label").alias("b")))
+    joined = labels.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    return found.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
+
+
 def keep_one_of_each(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs but for near copies: of each component the row with the smallest doc_id stays.
 
-    Of rows that share this doc_id one stays. Columns are those of docs. A component without
-    any doc_id keeps one row.
+    Components are of links of two kinds: fingerprints within MAX_BITS bits, which the byte
+    index finds as in simhash_components(), and sets of shingles of that similarity, which may
+    differ in more bits and which near_duplicates() finds. Of rows that share this doc_id one
+    stays. Columns are those of docs. A component without any doc_id keeps one row.
     """
-    found = near_duplicates(docs, n_words, similarity)
+    found = with_fingerprint_links(docs, cut(near_duplicates(docs, n_words, similarity).select("doc_id", "row_key", "label")))
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("keep"))
     keep = best.select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_key").alias("keep_key")).distinct()
     marked = docs.withColumn("keep_row", row_key("doc_id", "text")).dropDuplicates(["doc_id", "keep_row"])

@@ -514,6 +514,21 @@ def test_line_dedup(spark, monkeypatch):
     assert [(r.first, r.n) for r in first.keep_runs] == [(0, 3), (4, 1)]
 
 
+def test_fingerprint_links_count_in_near_dedup(spark):
+    """A passage that is repeated sets all bits of both fingerprints, while the sets of shingles are less than 0.8 alike."""
+    passage, tail = (" ".join(f"{x}{i}" for i in range(100)) for x in "pt")
+    a, b = (" ".join([passage] * 60 + [f"{x} {tail[: len(tail) // 3]}".replace("t", x)]) for x in "ab")
+    rows = [(7, a), (3, b), (5, passage), (9, tail), (None, a), (3, b)]
+    docs = docs_of(spark, rows)
+    labels = {r.doc_id: r.label for r in simhash.near_duplicates(docs).collect()}
+    assert labels[7] != labels[3]
+    prints = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert prints[7] == prints[3] == 3
+    kept = sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect())
+    assert kept == sorted({prints[i] for i in (7, 3, 5, 9)})
+
+
+
 # pipeline
 
 
