@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +50,11 @@ class Grams:
         #: Where each text begins among the positions that have a gram or stand before a text.
         self.first = np.cumsum([0, *sizes], dtype=np.int64)[:-1]
 
-    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def windows(self, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(grams, the text of each)."""
-        n = max(0, len(self.bytes) - self.depth)
-        for lo in range(0, n, WINDOW):
-            hi = min(n, lo + WINDOW)
+        n, size = max(0, len(self.bytes) - self.depth), size or WINDOW
+        for lo in range(0, n, size):
+            hi = min(n, lo + size)
             gram = np.zeros(hi - lo, np.uint64)
             for d in range(1, self.depth + 1):
                 gram = (gram << np.uint64(8)) | self.bytes[lo + self.depth - d : hi + self.depth - d]
@@ -77,10 +78,14 @@ class Grams:
         return every, counts
 
     def sums(self, gram: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        """For each of n texts the sum of its grams' values; gram is sorted and has all of them."""
-        out = np.zeros(n)
-        for g, text in self.windows():
-            out += np.bincount(text, value[np.searchsorted(gram, g)], n)
+        """For each of n texts the sum of its grams' values; gram has all of them once, in any order.
+
+        Text gives grams in no order, in which a hash table finds them three times as fast as
+        a binary search; windows are half as long to make room for it.
+        """
+        out, places = np.zeros(n), pd.Index(gram)
+        for g, text in self.windows(max(1, WINDOW // 2)):
+            out += np.bincount(text, value[places.get_indexer(g)], n)
         return out
 
 
@@ -310,9 +315,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
         is_word = known["word"].is_valid().to_numpy()
         value = known["value"].to_numpy()
         count = dict(zip(known.filter(pa.array(is_word))["word"].to_pylist(), value[is_word].tolist(), strict=True))
-        gram = known.filter(pa.array(~is_word))["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        gram, value = gram[order], value[~is_word][order]
+        gram, value = known.filter(pa.array(~is_word))["gram"].to_numpy().view(np.uint64), value[~is_word]
         rows = []
 
         def texts() -> Iterator[bytes]:

@@ -529,6 +529,18 @@ def test_fingerprint_links_count_in_near_dedup(spark):
 
 
 
+def test_sums_of_grams_in_any_order(monkeypatch):
+    monkeypatch.setattr(context_tree, "WINDOW", 8)
+    texts = [b"banana bandana", b"", b"nab"]
+    every, _ = context_tree.Grams(texts).counts(np.ones(3, bool))
+    mixed = np.random.default_rng(7).permutation(every)
+    value = (mixed % np.uint64(1009)).astype(float)
+    of = dict(zip(mixed.tolist(), value.tolist(), strict=True))
+    want = [sum(of[g] for g in next(context_tree.Grams([t]).windows(100))[0].tolist()) for t in texts]
+    assert context_tree.Grams(texts).sums(mixed, value, 3).tolist() == want
+
+
+
 # pipeline
 
 
