@@ -3,9 +3,10 @@
 Token boundaries that both tokenizers have cut a text into groups. Most groups hold one token
 of each side with the same bytes, so a table from A ids to the B id of the same bytes is made
 beforehand, and these pairs are counted in a vector as long as the vocabulary. Other pairs
-are counted by a shuffle, once for each block of documents: a block is one row that holds the
-distinct pairs of its documents and, for each document, which it has how often. The counts
-come back to the blocks and are added up there.
+are counted by a shuffle, once for each block of documents: a block is a row for each of its
+documents, which says which of the block's distinct pairs it has how often, and rows of at
+most PAIR_ROWS of these pairs, so that no row, and no batch of rows, is larger than a few
+documents. The counts come back to the blocks and are added up there.
 
 Neither tokenizer joins anything across a space that follows a printing character, so a text
 is cut there and each distinct piece is tokenized and aligned once.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from runforge.llm.common import cut, discard, load
 PIECE = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 #: Links that a block holds, unless its only document has more; pieces that a task remembers, and letters of pieces that are tokenized as one text.
 BLOCK_LINKS, KNOWN_PIECES, ROW_LETTERS = 400_000, 300_000, 500_000
+#: Distinct pairs of a block in one row. Spark reads 4096 rows at once.
+PAIR_ROWS = 1000
 #: Groups of more links are counted by distinct ids.
 LARGE_GROUP = 4096
 
@@ -213,27 +217,31 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def alignment_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """A row for each block of documents: their digests, the block's distinct pairs with the number of its documents that have each, and each document's pairs."""
+    """Rows of two kinds for each block of documents: its documents (doc_id to links: digests, and how often it has which of the block's pairs, which are numbered by code), and its distinct pairs with the number of its documents that have each (a, b, docs). The columns of the other kind are null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"block bigint, doc_id array<{kind}>, " + ", ".join(f"{c} array<bigint>" for c in COUNTS)
-    fields += ", groups_sha256 array<string>, a array<int>, b array<int>, docs array<int>, sizes array<int>, pair array<int>, links array<int>"
+    fields = f"block bigint, doc_id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    fields += ", groups_sha256 string, pair array<int>, links array<int>, a array<int>, b array<int>, docs array<int>"
     names = [f.strip().split(" ")[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, part, held, size, n = aligner(*paths), TaskContext.get().partitionId(), [], 0, 0
         ids: list[pa.Scalar] = []
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.asarray(values, np.int32)))
+        ints = pa.list_(pa.int32())
 
-        def given() -> pa.RecordBatch:
+        def given() -> Iterator[pa.RecordBatch]:
             nonlocal n, size
             codes, pair = np.unique(np.concatenate([c for _, c, _ in held]), return_inverse=True)
-            lists = [np.array([part << 32 | n], np.int64), *(np.array([d[k] for d, _, _ in held], np.int64) for k in range(4))]
-            ints = [codes // both.b_size, codes % both.b_size, np.bincount(pair, minlength=len(codes)), [len(c) for _, c, _ in held], pair, np.concatenate([x for _, _, x in held])]
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            cols = [pa.array(lists[0]), one(pa.array([i.as_py() for i in ids], b.column(0).type)), *(one(pa.array(x)) for x in lists[1:]), one(pa.array([d[4] for d, _, _ in held], pa.string())), *(one(pa.array(np.asarray(x, np.int32))) for x in ints)]
+            block, counts = part << 32 | n, [np.array([d[k] for d, _, _ in held], np.int64) for k in range(4)]
+            ends, to = np.cumsum([len(c) for _, c, _ in held]), np.r_[np.arange(PAIR_ROWS, len(codes), PAIR_ROWS), len(codes)]
+            doc_id = pa.array([i.as_py() for i in ids], b.column(0).type)
+            mine = [doc_id, *map(pa.array, counts), pa.array([d[4] for d, _, _ in held], pa.string()), lists(ends, pair), lists(ends, np.concatenate([x for _, _, x in held]))]
+            pairs = [lists(to, x) for x in (codes // both.b_size, codes % both.b_size, np.bincount(pair, minlength=len(codes)))]
             held.clear()
             ids.clear()
             n, size = n + 1, 0
-            return pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc_id), block)), *mine, *(pa.nulls(len(doc_id), ints) for _ in pairs)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), block)), *(pa.nulls(len(to), x.type) for x in mine), *pairs], names=names)
 
         for b in batches:
             for lo in range(0, b.num_rows, 100):
@@ -243,45 +251,44 @@ def alignment_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                     ids.append(i)
                     size += len(found[1]) + 10
                     if size > BLOCK_LINKS:
-                        yield given()
+                        yield from given()
         if held:
-            yield given()
+            yield from given()
 
     return docs.select("doc_id", "text").mapInArrow(run, fields)
 
 
-def _same_pairs(blocks: DataFrame, paths: tuple[str, str]) -> np.ndarray:
+def _same_pairs(pairs: DataFrame, paths: tuple[str, str]) -> np.ndarray:
     """How many documents have each A id linked with the B id of the same bytes: vectors as long as the vocabulary, one a task, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = aligner(*paths).same
         total = np.zeros(len(same), np.int64)
         for batch in batches:
-            a, b, docs = (batch.column(i).values.to_numpy() for i in range(3))
+            a, b, docs = (batch.column(c).flatten().to_numpy() for c in ("a", "b", "docs"))
             mine = same[a] == b
             np.add.at(total, a[mine], docs[mine])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["a", "n"])
 
-    got = blocks.select("a", "b", "docs").mapInArrow(run, "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("n")).toArrow()
+    got = pairs.select("a", "b", "docs").mapInArrow(run, "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(aligner(*paths).same), np.int64)
     out[got.column("a").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
-def _other_pairs(blocks: DataFrame, paths: tuple[str, str]) -> DataFrame:
+def _other_pairs(pairs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(block, code, docs): the pairs of each block that have different bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(*paths)
         for batch in batches:
-            for row in range(batch.num_rows):
-                a, b, docs = (batch.column(i)[row].values.to_numpy() for i in (1, 2, 3))
-                other = both.same[a] != b
-                codes = a[other].astype(np.int64) * both.b_size + b[other]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), batch.column(0)[row].as_py(), np.int64)), pa.array(codes), pa.array(docs[other].astype(np.int64))], names=["block", "code", "docs"])
+            block = np.repeat(batch.column("block").to_numpy(), batch.column("a").value_lengths().to_numpy())
+            a, b, docs = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("a", "b", "docs"))
+            other = both.same[a] != b
+            yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (block, a * both.b_size + b, docs)], names=["block", "code", "docs"])
 
-    return blocks.select("block", "a", "b", "docs").mapInArrow(run, "block bigint, code bigint, docs bigint")
+    return pairs.select("block", "a", "b", "docs").mapInArrow(run, "block bigint, code bigint, docs bigint")
 
 
 def align_tokens(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -294,8 +301,9 @@ def align_tokens(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataF
     """
     paths = paths or tokenizer_paths()
     blocks = cut(alignment_blocks(docs, paths))
-    same_n = _same_pairs(blocks, paths)
-    other = cut(_other_pairs(blocks, paths))
+    pairs = blocks.where(F.col("a").isNotNull())
+    same_n = _same_pairs(pairs, paths)
+    other = cut(_other_pairs(pairs, paths))
     counts = cut(other.groupBy("code").agg(F.sum("docs").alias("n")))
     b_size = aligner(*paths).b_size
     # As many rows at most as A has ids.
@@ -303,31 +311,25 @@ def align_tokens(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataF
     best = same_n.copy()
     np.maximum.at(best, top.column("a").to_numpy().astype(np.int64), top.column("n").to_numpy())
     known = docs.sparkSession.sparkContext.broadcast((same_n, best))
-    back = other.join(counts, "code").groupBy("block").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
-    joined = blocks.join(back, "block", "left")
+    back = other.join(counts, "code").select("block", "code", "n")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *COUNTS, "n_best", "count_sum", "groups_sha256"]
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(block: pa.Table, counted: pa.Table) -> pa.Table:
         both, (same_n, best) = aligner(*paths), known.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cell = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
-                a, b, sizes, pair, links = (cell[c].values.to_numpy().astype(np.int64) for c in ("a", "b", "sizes", "pair", "links"))
-                n = np.where(both.same[a] == b, same_n[a], 0)
-                if cell["codes"].is_valid:
-                    codes, counts = (cell[c].values.to_numpy() for c in ("codes", "counts"))
-                    order = np.argsort(codes)
-                    mine = a * both.b_size + b
-                    at = np.minimum(np.searchsorted(codes[order], mine), len(codes) - 1)
-                    n = np.where(codes[order][at] == mine, counts[order][at], n)
-                starts = np.cumsum(sizes) - sizes
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (links * (n[pair] == best[a[pair]]), links * n[pair])]
-                of_doc = [pa.array(s[starts + sizes] - s[starts]) for s in sums]
-                yield pa.RecordBatch.from_arrays([cell["doc_id"].values, *(cell[c].values for c in COUNTS), *of_doc, cell["groups_sha256"].values], names=names)
-
-    used = joined.select("doc_id", *COUNTS, "groups_sha256", "a", "b", "sizes", "pair", "links", "codes", "counts")
-    out = cut(used.mapInArrow(add_up, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names[1:-1]) + ", groups_sha256 string"))
+        is_pairs = pc.is_valid(block["a"])
+        mine = block.filter(pc.invert(is_pairs))
+        a, b, pair, links = (pc.list_flatten(t[c]).to_numpy().astype(np.int64) for t, c in ((block.filter(is_pairs), "a"), (block.filter(is_pairs), "b"), (mine, "pair"), (mine, "links")))
+        codes = np.sort(a * both.b_size + b)
+        a, b = codes // both.b_size, codes % both.b_size
+        n = np.where(both.same[a] == b, same_n[a], 0)
+        n[np.searchsorted(codes, counted["code"].to_numpy())] = counted["n"].to_numpy()
+        ends = np.r_[0, np.cumsum(pc.list_value_length(mine["pair"]).to_numpy())]
+        sums = [np.r_[0, np.cumsum(x)][ends] for x in (links * (n[pair] == best[a[pair]]), links * n[pair])]
+        return pa.table([mine["doc_id"], *(mine[c] for c in COUNTS), *(pa.array(np.diff(s)) for s in sums), mine["groups_sha256"]], names=names)
+
+    together = blocks.groupBy("block").cogroup(back.groupBy("block"))
+    out = cut(together.applyInArrow(add_up, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names[1:-1]) + ", groups_sha256 string"))
     discard(blocks, other, counts)
     return out
 

@@ -197,3 +197,22 @@ def test_pieces_join_nothing():
 def test_alignment_of_empty_tables(spark):
     assert token_align.align_tokens(docs_of(spark, [])).count() == 0
     assert aligned(token_align.align_tokens(docs_of(spark, [(1, None)]))) == {(1, 0, 0, 0, 0, 0, 0, ""): 1}
+
+
+@pytest.mark.parametrize("pair_rows", [1000, 7])
+def test_rows_of_blocks_are_bounded(spark, monkeypatch, pair_rows):
+    """A block's documents and pairs don't lie in one row, which Spark would hold a whole file of at once."""
+    monkeypatch.setattr(token_align, "PAIR_ROWS", pair_rows, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice(["un", "believ", "é", "tok", "en", "日"]) for _ in range(3)) for _ in range(30))) for i in range(200)] + ODD
+    docs = docs_of(spark, rows, 1)
+    blocks = token_align.alignment_blocks(docs, token_align.tokenizer_paths()).persist()
+    most = blocks.select(*(F.max(F.size(c)).alias(c) for c in ("pair", "links", "a", "b", "docs"))).first()
+    both = token_align.aligner(*token_align.tokenizer_paths())
+    of_one = max(len(codes) for _, codes, _ in both.documents([t for _, t in rows]))
+    assert most["pair"] == most["links"] == of_one
+    assert blocks.select("block").distinct().count() == 1 and blocks.where("a is null").count() == len(rows)
+    n_pairs = blocks.agg(F.sum(F.when(F.col("a").isNotNull(), F.size("a")))).first()[0]
+    assert n_pairs > of_one and most["a"] == most["b"] == most["docs"] == min(pair_rows, n_pairs)
+    blocks.unpersist()
+    assert aligned(token_align.align_tokens(docs)) == brute_alignment(rows)
